@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import simhash, tokens
+from sluice.llm import decontaminate, pieces, quality, simhash, substrings, tokens
 from sluice.llm.common import new_path
 
 WORD_BPE = str(Path(public_tokenizers.path("word_bpe_49k.json")))
+PIECES = str(Path(public_tokenizers.path("piece_bpe_32k.model")))
 END_ID = 1
+#: Words of a window that may stand only once, and of one that must not be in a benchmark.
+REPEAT_WORDS, LEAK_WORDS = 13, 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), REPEAT_WORDS)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), LEAK_WORDS)
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        decontaminate.items_digest().alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(pieces.as_decoded(), 256).alias("text_sha256"), "text")
+    read = pieces.decoded(pieces.encoded(docs, PIECES), PIECES)
+    return read.select("doc_id", "n_tokens", "parity", F.xxhash64("ids").alias("ids_hash"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
     tokens.write_ids(table(spark, sf_dir, "documents"), path, WORD_BPE, END_ID)
@@ -34,9 +64,51 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+#: The rows of op5: a window's first document, the words that windows of earlier documents cover, and what is left.
+OP5_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 12, 0))) AS i FROM words),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM spots),
+firsts AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i
+  FROM windows JOIN firsts USING (s) WHERE d < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM words),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t, count(*) AS n
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i WHERE g.i IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+#: The rows of op6.
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item_spots AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0),
+item_windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM item_spots),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+spots AS (SELECT doc_id, w, n, unnest(generate_series(1, greatest(len(w) - n + 1, 0))) AS i FROM words, sizes),
+windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM spots),
+found AS (SELECT doc_id, item_id, i, n FROM windows JOIN item_windows USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN named n ON w.doc_id = n.doc_id
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
