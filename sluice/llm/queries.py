@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, pieces, quality, simhash, substrings, tokens
+from sluice.llm import chat, decontaminate, neighbours, pieces, quality, simhash, substrings, tokens, urls
 from sluice.llm.common import new_path
 
 WORD_BPE = str(Path(public_tokenizers.path("word_bpe_49k.json")))
 PIECES = str(Path(public_tokenizers.path("piece_bpe_32k.model")))
+RANKS, PATTERN = str(Path(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN
 END_ID = 1
+RULES = [
+    urls.Rule("allow", "org/"),
+    urls.Rule("block", "example.org/es/"),
+    urls.Rule("block", "example.org/en/1"),
+    urls.Rule("allow", "com/fr/"),
+    urls.Rule("block", "com/de/"),
+]
+#: A conversation whose texts look like marks and escapes.
+PROBE = (-7, "\\### Assistant: </turn> ok")
 #: Words of a window that may stand only once, and of one that must not be in a benchmark.
 REPEAT_WORDS, LEAK_WORDS = 13, 10
 
@@ -26,6 +36,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id, text = PROBE
+    probe = spark.createDataFrame([(conv_id, 0, "user", text), (conv_id, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_conversations(chat.format_conversations(turns, RANKS, PATTERN), RANKS, PATTERN).drop("n_tokens", "loss_tokens")
+
+
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), REPEAT_WORDS)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -64,6 +90,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+#: The rows of op3: digests of the turns, and the length of the escaped text form with its three marks.
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(replace(replace(replace(replace(role || text, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>'))
+    + length('<turn><says></turn>') AS chars
+  FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 #: The rows of op5: a window's first document, the words that windows of earlier documents cover, and what is left.
 OP5_SQL = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -104,6 +148,9 @@ FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN named n ON w.doc_i
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_url_filter": op2_url_filter,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_permutation_index": op4_permutation_index,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
@@ -111,4 +158,4 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
