@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sluice.queries import gold, observe, quality, sources, tables
+
+_MODULES = (sources, quality, tables, gold, observe)
+QUERIES = {name: q for m in _MODULES for name, q in m.BOOK.queries.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.BOOK.sql.items()}
