@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+import pytest
+from conftest import rows
+
+from sluice.functions.calendar import batch_calendar, context
+from sluice.operators.rules import Rule, load_rules, validate
+
+
+def failing(spark, data, schema, *rules, **more):
+    v = validate(spark.createDataFrame(data, schema), list(rules), **more)
+    return sorted((tuple(r) for r in v.flagged.select(*v.columns, "_failed_rules").collect() if r[-1]), key=str)
+
+
+def ids(found):
+    return sorted(r[0] for r in found)
+
+
+VALUES = [(1, 0.0), (2, 5.0), (3, 10.0), (4, -1.0), (5, 11.0), (6, None), (7, float("nan"))]
+
+
+def test_row_rules(spark):
+    schema = "id int, x double"
+    assert ids(failing(spark, VALUES, schema, Rule("r", "not_null", "x"))) == [6]
+    assert ids(failing(spark, VALUES, schema, Rule("r", "range", "x", params={"min": 0, "max": 10}))) == [4, 5, 7]
+    assert ids(failing(spark, VALUES, schema, Rule("r", "range", "x", params={"min": 0}))) == [4]
+    assert ids(failing(spark, VALUES, schema, Rule("r", "in_set", "x", params={"values": [5.0, 10.0]}))) == [1, 4, 5, 7]
+    assert ids(failing(spark, VALUES, schema, Rule("r", "expression", None, params={"expr": "x > 1"}))) == [1, 4, 6]
+    text = [(1, "abc"), (2, "xbx"), (3, "z"), (4, None)]
+    assert ids(failing(spark, text, "id int, s string", Rule("r", "regex", "s", params={"pattern": "b"}))) == [3]
+
+
+def test_referential(spark):
+    ref = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    rule = Rule("r", "referential", "z", params={"ref_table": "t", "ref_column": "k"})
+    assert ids(failing(spark, [(1, 1), (2, 9), (3, None)], "id int, z long", rule, refs={"t": ref})) == [2]
+    with pytest.raises(KeyError):
+        failing(spark, [(1, 1)], "id int, z long", rule)
+
+
+def test_unique(spark):
+    rule = Rule("r", "unique", "k")
+    data = [(3, "a"), (1, "a"), (2, "b"), (5, None), (4, None), (6, "c"), (6, "c"), (6, "c")]
+    assert failing(spark, data, "id int, k string", rule) == [(3, "a", ["r"]), (5, None, ["r"]), (6, "c", ["r"]), (6, "c", ["r"])]
+    batched = [(1, "a", "x"), (2, "a", "y"), (3, "a", "y")]
+    assert ids(failing(spark, batched, "id int, k string, b string", rule, batch="b")) == [3]
+
+
+def test_unique_against_ranking(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select((F.col("id") % 7).alias("k"), (F.col("id") % 11).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("w"))
+    v = validate(df, [Rule("r", "unique", "k")])
+    ranked = df.withColumn("bad", F.row_number().over(Window.partitionBy("k").orderBy(*(F.col(c).asc_nulls_first() for c in df.columns))) > 1)
+    want = rows(ranked.groupBy("k", "v", "w", "bad").count())
+    assert rows(v.flagged.groupBy("k", "v", "w", (F.size("_failed_rules") > 0).alias("bad")).count()) == want
+
+
+def test_split_conserves_and_explains(spark):
+    data = [(1, 5.0, 1), (None, 5.0, 1), (3, -5.0, 1), (4, -1.0, 9)]
+    df = spark.createDataFrame(data, "id long, amount double, zone long").selectExpr("*", "'b' AS _batch_id", "timestamp_ntz'2024-01-01 00:00:00.123456' AS at")
+    rules = [Rule("id_known", "not_null", "id", "id required"), Rule("amount_range", "range", "amount", "", {"min": 0}), Rule("zone_exists", "referential", "zone", "unknown", {"ref_table": "z", "ref_column": "k"})]
+    v = validate(df, rules, refs={"z": spark.createDataFrame([(1,)], "k long")}, keep=("_batch_id",))
+    assert v.check_conserved() == (4, 1, 3)
+    assert v.valid.columns == df.columns
+    bad = {json.loads(r._record).get("id"): r for r in v.quarantine.collect()}
+    assert bad[4]._failed_rules == ["amount_range", "zone_exists"] and bad[4]._reasons == "amount_range; zone_exists: unknown"
+    assert bad[None]._reasons == "id_known: id required"
+    assert json.loads(bad[3]._record)["at"] == "2024-01-01T00:00:00.123456"
+
+
+def test_no_rules_and_no_rows(spark):
+    df = spark.createDataFrame([(1,)], "a int")
+    assert validate(df, []).check_conserved() == (1, 1, 0)
+    none = validate(df.where("a > 5"), [Rule("r", "not_null", "a"), Rule("u", "unique", "a")])
+    assert none.check_conserved() == (0, 0, 0) and rows(none.quarantine) == []
+
+
+def test_placeholders_of_one_batch_and_of_many(spark):
+    rule = Rule("w", "expression", None, params={"expr": "ts >= '{late_start}' AND ts < '{batch_end}'"})
+    data = [(1, datetime(2023, 12, 24), "2024-01"), (2, datetime(2023, 12, 28), "2024-01"), (3, datetime(2024, 2, 1), "2024-01"), (4, None, "2024-01"), (5, datetime(2024, 2, 1), "2024-02")]
+    schema = "id int, ts timestamp, _batch_id string"
+    assert ids(failing(spark, data[:4], schema, rule, context=context("2024-01"))) == [1, 3, 4]
+    assert ids(failing(spark, data, schema, rule, calendar=batch_calendar(spark, "2024-01", "2024-02"), batch="_batch_id")) == [1, 3, 4]
+
+
+def test_loading():
+    spec = {"t": [{"name": "a_range", "type": "range", "column": "a", "min": 1}]}
+    assert load_rules(spec, "t")[0].params == {"min": 1}
+    for bad in ([{"name": "A", "type": "range", "column": "a"}], [{"name": "a", "type": "odd", "column": "a"}], [{"name": "a", "type": "range"}], spec["t"] * 2):
+        with pytest.raises(ValueError):
+            load_rules({"t": bad}, "t")
+    with pytest.raises(KeyError):
+        load_rules(spec, "u")
