@@ -49,10 +49,12 @@ def add_columns(
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
     drop: tuple[str, ...] = (),
+    most: int = 4 << 20,
 ) -> DataFrame:
     """df with columns computed batch by batch; a column of the same name is replaced, `drop` goes.
 
-    make() runs once in each task and returns the function from a batch to the new arrays.
+    make() runs once in each task and returns the function from a batch of about `most`
+    bytes to the new arrays.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
@@ -62,14 +64,14 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 made = [a if a.type == t else a.cast(t) for a, t in zip(f(part), types)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *(x.name for x in fields)])
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes, so that memory follows neither text nor batch length."""
     n = batch.num_rows
     if not n:
@@ -79,6 +81,30 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(i, min(step, n - i))
 
 
+class Remembered:
+    """What has been computed for a key, in two generations of about `most` keys each; keys of over `longest` live for one call."""
+
+    def __init__(self, most: int, longest: int = 256) -> None:
+        self.now, self.before, self.long, self.most, self.longest = {}, {}, [], most, longest
+
+    def of(self, lists: list[list], compute: Callable[[list], list]) -> dict:
+        """A table with all keys of the lists; compute(keys) gives the values of those not seen lately."""
+        for k in self.long:
+            del self.now[k]
+        if len(self.now) > self.most:
+            self.before, self.now = self.now, {}
+        now, before, missing = self.now, self.before, []
+        for k in {k for keys in lists for k in keys if k not in now}:
+            v = before.get(k)
+            if v is None:
+                missing.append(k)
+            else:
+                now[k] = v
+        now.update(zip(missing, compute(missing)))
+        self.long = [k for k in missing if len(k) > self.longest]
+        return now
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, nulls as empty, and its n + 1 offsets."""
     column = column.cast(pa.large_binary()).fill_null(b"")

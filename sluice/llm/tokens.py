@@ -9,18 +9,22 @@ bounded table from word to ids; words not in it go to the library in batches.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import add_columns, slices
+from sluice.llm.common import Remembered, add_columns, slices, written
 
-#: Words that one Python worker remembers; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+#: Words that one Python worker remembers, twice over.
+CACHE_WORDS = 250_000
+#: Bytes of text that are encoded at a time.
+SLICE = 8 << 20
 #: Ids are written in this form.
 ID = np.dtype("<u4")
 
@@ -28,29 +32,84 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """text -> packed ids, through a bounded word table."""
+    """text -> packed ids, through a bounded word table.
+
+    A new word of Latin letters, with or without points behind it, goes to the
+    library's BPE model in the form that the file's normaliser and byte-level
+    pre-tokenizer give it, where these are the usual ones; any other goes through
+    the whole tokenizer.
+    """
+
+    POINTS = ".,;:!?"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def packed(self, texts: list[bytes]) -> list[bytes]:
-        """For each text the little-endian 32-bit ids, joined."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, ID).tobytes()
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in new:
-            if len(w) > 256:
-                del known[w]
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.stems, self.points = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS), {}
+        # Byte-level form: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.form = {b: 256 + i for i, b in enumerate(rest)}
+        probe = "Éa"
+        shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe))
+        self.direct = [x for x, _ in shown] == [self._form(probe.lower())] and self.tokenizer.encode("Éa,b.", add_special_tokens=False).ids == [*self._model("éa"), *self._whole([","])[0], *self._model("b"), *self._whole(["."])[0]]
+
+    def _form(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.form)
+
+    def _model(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(self._form(word))]
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(words), 4_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 4_000], add_special_tokens=False)]
+
+    def _new(self, texts: list[str]) -> list[bytes]:
+        stems = [t.rstrip(self.POINTS) for t in texts]
+        # lower-case forms of these letters do not depend on what is around them
+        simple = [self.direct and s.isalpha() and max(s) < "\u0250" and "\u0130" not in s for s in stems]
+        lower = [s.lower() if ok else "" for s, ok in zip(stems, simple)]
+        model = self._model
+        known = self.stems.of([lower], lambda new: [array("I", model(s) if s else []).tobytes() for s in new])
+        other = [t for t, ok in zip(texts, simple) if not ok]
+        other += {t[len(s) :] for t, s, ok in zip(texts, stems, simple) if ok and len(s) < len(t)} - self.points.keys()
+        whole = {t: array("I", x).tobytes() for t, x in zip(other, self._whole(other))}
+        if len(self.points) < CACHE_WORDS:
+            self.points |= {t: x for t, x in whole.items() if not t.strip(self.POINTS)}
+        points = whole | self.points
+        return [known[l] + (points[t[len(s) :]] if len(s) < len(t) else b"") if ok else whole[t] for t, s, l, ok in zip(texts, stems, lower, simple)]
+
+    def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Where each text's words begin (and the last end), each word's number, and the packed ids of the words by number."""
+        split = pc.ascii_split_whitespace(column.cast(pa.string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.words.of([distinct], self._new)
+        return np.asarray(split.offsets).astype(np.int64), np.asarray(coded.indices), [known[w] for w in distinct]
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        at, word, ids = self._words(column)
+        total = np.zeros(len(word) + 1, np.int64)
+        np.cumsum(self._sizes(ids)[word], out=total[1:])
+        return np.diff(total[at])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin (and the last end)."""
+        at, word, ids = self._words(column)
+        sizes = self._sizes(ids)
+        begin = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(ids), ID)
+        of = sizes[word]
+        total = np.zeros(len(word) + 1, np.int64)
+        np.cumsum(of, out=total[1:])
+        place = np.repeat(begin[word] - total[:-1], of)
+        place += np.arange(total[-1])
+        return flat[place], total[at]
+
+    @staticmethod
+    def _sizes(ids: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, ids), np.int64, len(ids)) // ID.itemsize
 
 
 def encoder(path: str) -> WordEncoder:
@@ -60,10 +119,6 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.large_binary()).fill_null(b"").to_pylist()
-
-
 def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """(n_tokens, n_docs): how many texts have each encoded length.
 
@@ -75,9 +130,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch):
-                sizes = np.fromiter((len(x) // ID.itemsize for x in enc.packed(texts_of(part.column(0)))), np.int64)
-                n_tokens, n_docs = np.unique(sizes, return_counts=True)
+            for part in slices(batch, SLICE):
+                n_tokens, n_docs = np.unique(enc.counts(part.column(0)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_docs, pa.int64())], ["n_tokens", "n_docs"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")
@@ -94,7 +148,8 @@ def with_suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
     Sums run within blocks of lengths, and over the blocks' totals: one task sees
     one block, or one row for each block. An empty histogram gives no rows.
     """
-    h = histogram.select("n_tokens", "n_docs", F.expr(f"n_tokens div {block}").alias("b"), (F.col("n_tokens") * F.col("n_docs")).alias("t"))
+    h = written(histogram, "histogram")
+    h = h.select("n_tokens", "n_docs", F.expr(f"n_tokens div {block}").alias("b"), (F.col("n_tokens") * F.col("n_docs")).alias("t"))
     after = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = h.groupBy("b").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))
@@ -149,17 +204,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: s
     the ids before the document in the files of its task.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("task_offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    end = np.array([end_id], ID).tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(tokenizer), 0
         for batch in batches:
-            for part in slices(batch, 2 << 20):
-                packed = [x + end for x in enc.packed(texts_of(part.column("text")))]
-                ends = np.cumsum([0, *map(len, packed)]) // ID.itemsize
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(before + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), ids], ["doc_id", "task_offset", "n_tokens", "ids"])
-                before += int(ends[-1])
+            for part in slices(batch, SLICE):
+                ids, at = enc.encode(part.column("text"))
+                n = len(at) - 1
+                ids = np.insert(ids, at[1:], end_id).view(np.int32)
+                at = at + np.arange(n + 1)
+                column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+                made = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(before + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), column], ["doc_id", "task_offset", "n_tokens", "ids"])
+                before += int(at[-1])
+                yield from slices(made)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
