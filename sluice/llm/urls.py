@@ -47,7 +47,7 @@ def with_rules(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
     """
     order = sorted(rules, key=lambda r: (-len(r.pattern), r.pattern))
     out = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    found = F.coalesce(*(F.when(r.fits(F.col("host"), F.col("path")), F.struct(F.lit(r.pattern).alias("rule"), F.lit(r.verdict).alias("verdict"))) for r in order), F.lit(None))
+    found = F.coalesce(*(F.when(r.fits(F.col("host"), F.col("path")), F.struct(F.lit(r.pattern).alias("rule"), F.lit(r.verdict).alias("verdict"))) for r in order), F.lit(None).cast("struct<rule: string, verdict: string>"))
     return out.withColumn("__found", found).withColumns({"rule": F.col("__found.rule"), "verdict": F.col("__found.verdict")}).drop("__found")
 
 
