@@ -9,11 +9,13 @@ class Book:
     def __init__(self) -> None:
         self.queries, self.sql = {}, {}
 
-    def query(self, sql: str | None = None):
+    def query(self, sql: str | None = None, name: str | None = None):
+        """Adds a function under its name, or under `name` where that is an operator's own."""
+
         def add(f):
-            self.queries[f.__name__] = f
+            self.queries[name or f.__name__] = f
             if sql:
-                self.sql[f.__name__] = sql
+                self.sql[name or f.__name__] = sql
             return f
 
         return add

@@ -115,7 +115,8 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(
-    f"""WITH {FACT_SQL} SELECT l_suppkey, lines, s_name AS label FROM (SELECT l_suppkey, sum(lines)::BIGINT AS lines FROM fact GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15) LEFT JOIN supplier ON l_suppkey = s_suppkey"""
+    f"""WITH {FACT_SQL} SELECT l_suppkey, lines, s_name AS label FROM (SELECT l_suppkey, sum(lines)::BIGINT AS lines FROM fact GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15) LEFT JOIN supplier ON l_suppkey = s_suppkey""",
+    name="top_zones",
 )
 def top_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("label"))

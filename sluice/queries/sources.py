@@ -49,13 +49,18 @@ def bronze_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(
-    """SELECT * FROM (VALUES
+    """SELECT t.*, n.nulls FROM (VALUES
     ('o_orderkey', 'widened', 'bigint', 'double'), ('o_custkey', 'same', 'bigint', 'bigint'), ('o_totalprice', 'breaking', 'double', 'int'),
     ('o_orderdate', 'widened', 'timestamp_ntz', 'timestamp'), ('o_clerk', 'missing', NULL, 'string'), ('o_region', 'breaking', NULL, 'bigint'),
-    ('o_orderstatus', 'added', 'string', NULL), ('o_orderpriority', 'added', 'string', NULL)) t("column", status, got, want)"""
+    ('o_orderstatus', 'added', 'string', NULL), ('o_orderpriority', 'added', 'string', NULL)) t("column", status, got, want)
+    LEFT JOIN (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice', 'o_orderdate', 'o_orderstatus', 'o_orderpriority']) AS "column",
+      unnest([count(*) FILTER (o_orderkey IS NULL), count(*) FILTER (o_custkey IS NULL), count(*) FILTER (o_totalprice IS NULL), count(*) FILTER (o_orderdate IS NULL),
+        count(*) FILTER (o_orderstatus IS NULL), count(*) FILTER (o_orderpriority IS NULL)]) AS nulls FROM orders) n USING ("column")"""
 )
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift_rows(spark, ORDERS, dict(read(spark, sf_dir, "orders").dtypes))
+    orders = read(spark, sf_dir, "orders")
+    nulls = table_columns({"orders": orders}).select("column", "nulls")
+    return drift_rows(spark, ORDERS, dict(orders.dtypes)).join(nulls, "column", "left")
 
 
 @BOOK.query(
@@ -77,7 +82,8 @@ def schema_evolve_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'labels', p::INT, c, t, n, (SELECT count(*) FROM labels) FROM (VALUES
       (0, 'doc_id', 'bigint', (SELECT count(*) FILTER (doc_id IS NULL) FROM labels)),
       (1, 'quality', 'int', (SELECT count(*) FILTER (quality IS NULL) FROM labels)),
-      (2, 'toxic', 'int', (SELECT count(*) FILTER (toxic IS NULL) FROM labels))) v(p, c, t, n)"""
+      (2, 'toxic', 'int', (SELECT count(*) FILTER (toxic IS NULL) FROM labels))) v(p, c, t, n)""",
+    name="table_columns",
 )
 def table_columns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_columns({t: read(spark, sf_dir, t) for t in ("nation", "labels")})
@@ -92,7 +98,7 @@ def parallel_arrays_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parallel_arrays_to_rows(rows, "time", {"high": "double", "low": "double", "rain": "double"}, keep=["vec_id"])
 
 
-@BOOK.query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'")
+@BOOK.query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'", name="asof_snapshot")
 def asof_snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_snapshot(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderdate", CUTOFF, ["o_orderkey"])
 
@@ -143,7 +149,8 @@ def batch_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(
     """SELECT l_orderkey, l_linenumber, sha256(concat_ws('|', coalesce(l_orderkey::VARCHAR, '~'), coalesce(l_linenumber::VARCHAR, '~'),
-      coalesce(l_suppkey::VARCHAR, '~'), coalesce(strftime(nullif(l_shipdate, TIMESTAMP '1998-05-05'), '%Y-%m-%d %H:%M:%S'), '~'), coalesce(l_returnflag, '~'))) AS row_id FROM lineitem"""
+      coalesce(l_suppkey::VARCHAR, '~'), coalesce(strftime(nullif(l_shipdate, TIMESTAMP '1998-05-05'), '%Y-%m-%d %H:%M:%S'), '~'), coalesce(l_returnflag, '~'))) AS row_id FROM lineitem""",
+    name="row_id",
 )
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")

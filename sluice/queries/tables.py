@@ -13,7 +13,7 @@ from sluice.queries.book import Book, read
 BOOK = Book()
 
 
-@BOOK.query("SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+@BOOK.query("SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1", name="latest_per_key")
 def latest_per_key_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"])
 
@@ -57,7 +57,8 @@ def _loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @BOOK.query(
     f"""WITH {LOADS_SQL} SELECT coalesce(t.k, s.k) AS k, CASE WHEN u THEN s.status ELSE t.status END AS status, CASE WHEN u THEN s.price ELSE t.price END AS price, CASE WHEN u THEN s.batch ELSE t.batch END AS batch
-    FROM (SELECT t, s, s.k IS NOT NULL AND (t.k IS NULL OR s.batch >= t.batch) AS u FROM t FULL JOIN s ON t.k = s.k)"""
+    FROM (SELECT t, s, s.k IS NOT NULL AND (t.k IS NULL OR s.batch >= t.batch) AS u FROM t FULL JOIN s ON t.k = s.k)""",
+    name="merge_upsert",
 )
 def merge_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = _loads(spark, sf_dir)
@@ -66,14 +67,15 @@ def merge_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(
     f"""WITH {LOADS_SQL} SELECT k, status, price, batch FROM t WHERE NOT coalesce(price > 300000, false)
-    UNION ALL SELECT k, status, price, batch FROM s WHERE price > 300000"""
+    UNION ALL SELECT k, status, price, batch FROM s WHERE price > 300000""",
+    name="replace_where",
 )
 def replace_where_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = _loads(spark, sf_dir)
     return replace_where(t, s.where("price > 300000"), "price > 300000")
 
 
-@BOOK.query()
+@BOOK.query(name="fingerprint")
 def fingerprint_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints({t: read(spark, sf_dir, t) for t in ("orders", "customer", "supplier", "part", "nation", "region", "lineitem")})
 
@@ -88,7 +90,8 @@ def fingerprint_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query(
     """SELECT * FROM (SELECT 'orders' AS "table", (SELECT count(*) FROM orders) AS rows_before, (SELECT count(*) FROM orders) AS rows_after, true AS equal
     UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer), (SELECT count(*) FROM customer WHERE c_acctbal < 0) = 0
-    UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), NULL, false)"""
+    UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), NULL, false)""",
+    name="fingerprint_diff",
 )
 def fingerprint_diff_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: read(spark, sf_dir, n) for n in ("orders", "customer", "nation")}
@@ -101,7 +104,8 @@ POLICY = [("analyst", "orders"), ("analyst", "nation"), ("analyst", "absent"), (
 
 @BOOK.query(
     """SELECT role, t AS "table", n AS rows FROM (VALUES ('analyst', 'orders'), ('analyst', 'nation'), ('operator', 'orders'), ('operator', 'customer'), ('operator', 'nation')) p(role, t)
-    JOIN (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'nation', count(*) FROM nation) USING (t)"""
+    JOIN (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'nation', count(*) FROM nation) USING (t)""",
+    name="role_tables",
 )
 def role_tables_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")}
