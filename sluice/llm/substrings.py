@@ -1,10 +1,11 @@
 """Repeated word windows through super-k-mer partitioning.
 
-A window is `width` consecutive words. Its minimiser is the least hash of the
-MINIMISER-word sequences inside it. Consecutive windows of a text that share
+A window is `width` consecutive words. Its minimiser is the word of it that comes
+first in an order by length, long words first, and then by hash: frequent words are
+short, so that no partition gets what contains one of them. Consecutive windows of a text that share
 their minimiser travel as one packed string (the words they span) to the
 minimiser's partition, so that equal windows of all texts meet there although
-each word travels only about three times. There the windows are sorted and
+each word of a 13-word window travels less than three times. There the windows are sorted and
 each learns the first document that has it.
 """
 
@@ -14,19 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import ODD, ODD2, add_columns, mixed, range_sums, slices, utf8, word_hashes, words_of
+from sluice.llm.common import ODD, ODD2, add_columns, mixed, range_sums, slices, utf8, word_hashes, words_of, written
 
-#: Words of a minimiser.
-MINIMISER = 3
+#: Lengths of words, in bytes, fall in classes of STEP up to the longest one.
+STEP, CLASSES = 2, 16
 #: A super-k-mer has at most so many windows; a longer run of one minimiser goes in pieces.
-MOST_WINDOWS = 256
+MOST_WINDOWS = 64
+#: Pairs of an occurrence and a window that are looked at at a time.
+PAIRS = 1 << 20
+
+#: Bytes of text that are cut, and of strings that are sorted, at a time.
+SLICE = 4 << 20
+#: Buckets of the table that tells which documents lose words at most; see _touched.
+MOST_BUCKETS = 1 << 26
 
 KEY = "__row_key"
-SPANS = "__spans"
+SPANS, DOC, MAYBE = "__spans", "__doc_id", "__maybe"
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -44,10 +53,8 @@ def _super_kmers(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     starts, ends, row = words_of(raw, offsets)
     if len(starts) < width:
         return none
-    k = min(MINIMISER, width)
-    h = word_hashes(raw, starts, ends)
-    at = np.arange(len(h) - k + 1)
-    least = _sliding_min(mixed(range_sums(h, ODD2, at, at + k)), width - k + 1)
+    short = CLASSES - 1 - np.minimum((ends - starts) // STEP, CLASSES - 1)
+    least = _sliding_min(short.astype(np.uint64) << np.uint64(60) | word_hashes(raw, starts, ends) >> np.uint64(4), width)
     window = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
     if not len(window):
         return none
@@ -66,53 +73,51 @@ def _super_kmers(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
 
 
 def _sent(width: int):
-    """Batches (key, doc_id, text) -> super-k-mers with who has them, one row for each distinct string of a batch.
+    """Batches (key, doc_id, text) -> super-k-mers with who has them, one row for each distinct string of a slice.
 
-    A string that many rows of a batch share is sent once with its occurrences, so
-    that a passage in every document costs sixteen bytes for each, not its text.
+    A string that many rows of a slice share is sent once with its occurrences, so
+    that a passage in every document costs WHO bytes for each, not its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_of_part(part, width) for part in slices(batch)]
-            sent = pa.concat_tables(found)
-            if sent.num_rows:
-                sent = sent.group_by("packed", use_threads=False).aggregate([("minimiser", "min"), ("doc_id", "min"), ("doc_id", "list"), (KEY, "list"), ("word", "list")])
-                sent = pa.Table.from_arrays([sent.column(c).combine_chunks() for c in ("minimiser_min", "doc_id_min", "packed", "doc_id_list", f"{KEY}_list", "word_list")], schema=SENT)
-                for part in sent.to_batches():
-                    yield from slices(part)
+            for part in slices(batch, SLICE):
+                yield from slices(_of_part(part, width))
 
     return run
 
 
-SENT = pa.schema(
-    [("minimiser", pa.int64()), ("first_doc", pa.int64()), ("packed", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("row_keys", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))]
-)
-SENT_DDL = "minimiser long, first_doc long, packed binary, doc_ids array<long>, row_keys array<long>, words array<int>"
+#: A further occurrence of a string: document, row key, and the first word's place in the row.
+WHO = np.dtype([("doc_id", "<i8"), ("key", "<i8"), ("word", "<i4")])
+#: A string with its first occurrence; `more` has the others, in order, null without.
+SENT_DDL = "minimiser int, first_doc long, key long, word int, packed binary, more binary"
 
 
-def _of_part(part: pa.RecordBatch, width: int) -> pa.Table:
+def _of_part(part: pa.RecordBatch, width: int) -> pa.RecordBatch:
     raw, offsets = utf8(part.column("text"))
     minimiser, a, b, row, word = _super_kmers(raw, offsets, width)
     whole = raw.tobytes()
-    return pa.table(
-        {
-            "packed": pa.array([whole[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary()),
-            "minimiser": pa.array(minimiser.view(np.int64)),
-            "doc_id": part.column("doc_id").take(pa.array(row)),
-            KEY: part.column(KEY).take(pa.array(row)),
-            "word": pa.array(word.astype(np.int32)),
-        }
-    )
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.asarray(column.offsets)
-    return np.asarray(column.values)[offsets[0] : offsets[-1]], np.diff(offsets)
+    packed = pa.array([whole[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary()).dictionary_encode()
+    who = np.empty(len(a), WHO)
+    who["doc_id"], who["key"], who["word"] = np.asarray(part.column("doc_id"))[row], np.asarray(part.column(KEY))[row], word
+    number = np.asarray(packed.indices)
+    order = np.lexsort((who["doc_id"], number))
+    who, at = who[order], np.searchsorted(number[order], np.arange(len(packed.dictionary) + 1))
+    first = who[at[:-1]]
+    further = np.delete(who, at[:-1])
+    ends = ((at - np.arange(len(at))) * WHO.itemsize).astype(np.int32)
+    alone = pa.array(ends[1:] == ends[:-1])
+    more = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(further.tobytes())])
+    least = np.empty(len(first), np.uint64)
+    least[number] = minimiser
+    # the class of lengths says little; the hash's upper bits deal and group
+    dealt = (least << np.uint64(4) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    columns = [pa.array(dealt), *(pa.array(np.ascontiguousarray(first[c])) for c in WHO.names), packed.dictionary, pc.if_else(alone, pa.scalar(None, pa.binary()), more)]
+    return pa.RecordBatch.from_arrays(columns, ["minimiser", "first_doc", "key", "word", "packed", "more"])
 
 
 def _found(width: int):
-    """Rows of SENT sorted by (minimiser, first_doc) -> (doc_id, key, a, b): words a to b of the row are in a window that an earlier document has.
+    """Rows of SENT_DDL sorted by (minimiser, first_doc) -> (doc_id, key, a, b): words a to b of the row are in a window that an earlier document has.
 
     As rows come in order of their first document, the first row with a window has
     the window's first document, and rows leave as they come. Held over are only the
@@ -122,7 +127,7 @@ def _found(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (0, np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 minimiser = np.asarray(part.column("minimiser"))
                 raw, offsets = utf8(part.column("packed"))
                 starts, ends, row = words_of(raw, offsets)
@@ -163,36 +168,56 @@ def _first_docs(minimiser, hashes, of, doc, held):
 
 def _spans(part, of, at, first, width):
     """Spans of words for each occurrence with a window that an earlier document has; at: the window's place in its row."""
-    docs, sizes = _lists(part.column("doc_ids"))
-    keys, _ = _lists(part.column("row_keys"))
-    words, _ = _lists(part.column("words"))
-    begin = np.cumsum(sizes) - sizes
     rows, where = np.unique(of, return_index=True)
     if not len(rows):
         return None
-    windows = np.diff(np.append(where, len(of)))
-    latest, earliest = np.maximum.reduceat(docs, begin)[rows], np.minimum.reduceat(first, where)
-    chosen = np.flatnonzero(earliest < latest)
-    if not len(chosen):
+    who, begin = _occurrences(part)
+    n_occ, n_win = np.diff(begin)[rows], np.diff(np.append(where, len(of)))
+    begin = begin[rows]
+    latest = np.maximum.reduceat(who["doc_id"], begin)
+    least, most = np.minimum.reduceat(first, where), np.maximum.reduceat(first, where)
+    found = []
+    # All windows of a row have one first document: an occurrence is covered whole or not at all.
+    even = np.flatnonzero((least < latest) & (least == most))
+    occ = _ranges(begin[even], n_occ[even])
+    hit = np.repeat(least[even], n_occ[even]) < who["doc_id"][occ]
+    found.append((occ[hit], np.zeros(hit.sum(), np.int64), np.repeat(n_win[even], n_occ[even])[hit]))
+    # Else every occurrence is looked at with every window, so many pairs at a time.
+    odd = np.flatnonzero((least < latest) & (least != most))
+    for some in np.split(odd, np.flatnonzero(np.diff(np.cumsum(n_occ[odd] * n_win[odd]) // PAIRS)) + 1):
+        occ = _ranges(begin[some], n_occ[some])
+        per = np.repeat(n_win[some], n_occ[some])
+        place = _ranges(np.zeros_like(per), per)
+        owner = np.repeat(occ, per)
+        hit = first[np.repeat(np.repeat(where[some], n_occ[some]), per) + place] < who["doc_id"][owner]
+        owner, place = owner[hit], place[hit]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
+        a = np.flatnonzero(new)
+        found.append((owner[a], place[a], place[np.append(a[1:], len(owner))[: len(a)] - 1] + 1))
+    occ, a, b = (np.concatenate(x) for x in zip(*found))
+    if not len(occ):
         return None
-    # every occurrence of the chosen rows with every window
-    n_occ, n_win = sizes[rows[chosen]], windows[chosen]
-    occ = np.repeat(begin[rows[chosen]] - (np.cumsum(n_occ) - n_occ), n_occ) + np.arange(n_occ.sum())
-    per = np.repeat(n_win, n_occ)
-    base = np.repeat(where[chosen], n_occ)
-    pos = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    win, who = np.repeat(base, per) + pos, np.repeat(occ, per)
-    hit = first[win] < docs[who]
-    win, who, pos = win[hit], who[hit], pos[hit]
-    if not len(win):
-        return None
-    new = np.ones(len(win), bool)
-    new[1:] = (who[1:] != who[:-1]) | (pos[1:] != pos[:-1] + 1)
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(win)) - 1
-    begin_word = words[who[a]] + pos[a]
-    end_word = words[who[b]] + pos[b] + width
-    return pa.RecordBatch.from_arrays([pa.array(docs[who[a]]), pa.array(keys[who[a]]), pa.array(begin_word, pa.int32()), pa.array(end_word, pa.int32())], ["doc_id", KEY, "a", "b"])
+    who = who[occ]
+    spans = [who["doc_id"], who["key"], (who["word"] + a).astype(np.int32), (who["word"] + b - 1 + width).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in spans], ["doc_id", KEY, "a", "b"])
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. of each size, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _occurrences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All occurrences of the rows' strings, the first of each in front, and where each row's begin (and the last end)."""
+    flat, ends = utf8(part.column("more"))
+    further, n = np.frombuffer(flat.tobytes(), WHO), ends // WHO.itemsize
+    begin = n + np.arange(len(n))
+    who = np.empty(begin[-1], WHO)
+    for name, column in zip(WHO.names, ("first_doc", "key", "word")):
+        who[name][begin[:-1]] = np.asarray(part.column(column))
+    who[np.delete(np.arange(len(who)), begin[:-1])] = further
+    return who, begin
 
 
 def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
@@ -202,6 +227,25 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(_found(width), f"doc_id long, {KEY} long, a int, b int")
 
 
+def _touched(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with MAYBE: false only where no span is of the document, whose text then need not be shuffled.
+
+    Ids are hashed to buckets, sixteen for each id with spans and MOST_BUCKETS at most,
+    whose bits fill up to MOST_BUCKETS / 64 rows: a bound on what is broadcast. With far
+    more ids the buckets fill up, and more documents go through the join in vain.
+    """
+    n = spans.select(DOC).distinct().count()
+    buckets = 64
+    while buckets < min(16 * n, MOST_BUCKETS):
+        buckets *= 2
+    at = F.xxhash64(F.col(DOC), F.lit(1)).bitwiseAND(F.lit(buckets - 1))
+    place = {"__word": F.shiftrightunsigned("__at", 6), "__bit": F.expr("shiftleft(1L, cast(__at & 63 as int))")}
+    bits = spans.select(DOC, at.alias("__at")).withColumns(place).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    out = docs.withColumn("__at", at).withColumns(place).join(F.broadcast(bits), "__word", "left")
+    maybe = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    return out.withColumn(MAYBE, maybe).drop("__at", "__word", "__bit", "__bits")
+
+
 def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept_text: each word goes that a window covers whose words also start in a smaller doc_id.
 
@@ -211,11 +255,16 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     rows of the same doc_id do not remove from each other. Other columns pass through;
     columns named as the three new ones are replaced. No rows give no rows.
     """
-    keyed = docs.withColumn(KEY, F.xxhash64(text))
-    rows = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), KEY, F.col(text).alias("text"))
-    spans = repeated_spans(rows, width).groupBy("doc_id", KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias(SPANS))
-    spans = spans.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed(KEY, "__key")
-    joined = keyed.join(spans, (keyed[doc_id].cast("long") == spans["__doc_id"]) & (keyed[KEY] == spans["__key"]), "left").drop("__doc_id", "__key")
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias(KEY))
+    several = ids.groupBy("doc_id").agg((F.min(KEY) != F.max(KEY)).alias("differ")).where("differ and doc_id is not null").limit(1).count()
+    # Rows are told apart by their text's hash, which is only sent where an id has several texts.
+    keyed = docs.withColumns({KEY: F.xxhash64(text) if several else F.lit(0).cast("long"), DOC: F.col(doc_id).cast("long")})
+    spans = repeated_spans(keyed.select(F.col(DOC).alias("doc_id"), KEY, F.col(text).alias("text")), width)
+    spans = spans.groupBy(F.col("doc_id").alias(DOC), KEY).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias(SPANS))
+    spans = written(spans, "spans")
+    keyed = _touched(keyed, spans)
+    joined = keyed.where(MAYBE).drop(MAYBE).join(spans, [DOC, KEY], "left")
+    joined = joined.unionByName(keyed.where(~F.col(MAYBE)).drop(MAYBE), allowMissingColumns=True)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
 
     def make():
@@ -239,4 +288,4 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
 
         return cut
 
-    return add_columns(joined, fields, make, drop=(KEY, SPANS))
+    return add_columns(joined, fields, make, drop=(KEY, DOC, SPANS))
