@@ -39,8 +39,9 @@ NAMES = (
 )
 
 
-def _share(n: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return n / np.maximum(of, 1)
+def _share(n: np.ndarray, of: np.ndarray, more: int = 5) -> np.ndarray:
+    """n of `of` and a few more, so that one capital or symbol in a few words says little."""
+    return n / (of + more)
 
 
 def text_statistics(column: pa.Array) -> np.ndarray:
@@ -78,8 +79,8 @@ def text_statistics(column: pa.Array) -> np.ndarray:
     twice[1:] = (closed[order][1:] == closed[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
     repeated = np.bincount(line_row[order][twice], minlength=n)
     out = [
-        np.log1p(words), np.log1p(size), _share(size - kinds[:, 6], words), *(_share(kinds[:, k], size) for k in (1, 2, 3, 4, 5, 6, 7)),
-        distinct / np.sqrt(np.maximum(words, 1)), _share(same, words), _share(top, words), _share(short, words), _share(long, words),
+        np.log1p(words), np.log1p(size), (size - kinds[:, 6]) / np.maximum(words, 1), *(_share(kinds[:, k], size, 20) for k in (1, 2, 3, 4, 5, 6, 7)),
+        distinct / np.sqrt(np.maximum(words, 1)), _share(same, words), _share(np.maximum(top - 1, 0), words), _share(short, words), _share(long, words),
         np.log1p(lines), _share(repeated, lines), _share(ends_in_symbol, words),
     ]
     return np.stack(out, axis=1).astype(np.float64)
