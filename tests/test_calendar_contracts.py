@@ -38,7 +38,7 @@ def test_arrival(spark):
     assert [r[0] for r in df.select(C.arrival("d")).collect()] == ["rejected", "late", "late", "on_time", "on_time", "rejected", "rejected"]
 
 
-TRIPS = K.Contract("trips", {"id": "bigint", "fare": "double", "at": "timestamp", "note": "string", "paid": "decimal(18,2)"}, frozenset({"id", "fare"}))
+RIDES = K.Contract("rides", {"id": "bigint", "fare": "double", "at": "timestamp", "note": "string", "paid": "decimal(18,2)"}, frozenset({"id", "fare"}))
 
 
 def test_widening():
@@ -49,22 +49,22 @@ def test_widening():
 
 
 def test_drift():
-    d = K.drift(TRIPS, {"id": "int", "fare": "double", "at": "timestamp_ntz", "paid": "decimal(10,2)", "tip": "double"})
+    d = K.drift(RIDES, {"id": "int", "fare": "double", "at": "timestamp_ntz", "paid": "decimal(10,2)", "tip": "double"})
     assert d.added == {"tip": "double"} and d.missing == ["note"] and not d.breaking
     assert d.widened == {"id": ("int", "bigint"), "at": ("timestamp_ntz", "timestamp"), "paid": ("decimal(10,2)", "decimal(18,2)")}
     with pytest.raises(K.BreakingSchema, match="id: required.*fare: string"):
-        K.enforce(TRIPS, {"fare": "string"})
+        K.enforce(RIDES, {"fare": "string"})
     with pytest.raises(ValueError):
         K.Contract("x", {"a": "int"}, frozenset({"b"}))
 
 
 def test_conform(spark):
     df = spark.createDataFrame([(1, 2.5, "x")], "ID int, Fare double, Extra string")
-    out, drift = K.conform(df, TRIPS)
+    out, drift = K.conform(df, RIDES)
     assert out.dtypes == [("id", "bigint"), ("fare", "double"), ("at", "timestamp"), ("note", "string"), ("paid", "decimal(18,2)"), ("extra", "string")]
     assert out.collect()[0][:2] == (1, 2.5) and drift.added == {"extra": "string"}
     with pytest.raises(K.BreakingSchema, match="same lower-case name"):
-        K.conform(spark.createDataFrame([(1, 2)], "a int, A int"), TRIPS)
+        K.conform(spark.createDataFrame([(1, 2)], "a int, A int"), RIDES)
 
 
 def test_evolve_union(spark):

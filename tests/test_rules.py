@@ -82,7 +82,7 @@ def test_no_rules_and_no_rows(spark):
 
 def test_placeholders_of_one_batch_and_of_many(spark):
     rule = Rule("w", "expression", None, params={"expr": "ts >= '{late_start}' AND ts < '{batch_end}'"})
-    data = [(1, datetime(2023, 12, 24), "2024-01"), (2, datetime(2023, 12, 28), "2024-01"), (3, datetime(2024, 2, 1), "2024-01"), (4, None, "2024-01"), (5, datetime(2024, 2, 1), "2024-02")]
+    data = [(1, datetime(2023, 12, 24), "2024-01"), (2, datetime(2023, 12, 27), "2024-01"), (3, datetime(2024, 2, 1), "2024-01"), (4, None, "2024-01"), (5, datetime(2024, 2, 1), "2024-02")]
     schema = "id int, ts timestamp, _batch_id string"
     assert ids(failing(spark, data[:4], schema, rule, context=context("2024-01"))) == [1, 3, 4]
     assert ids(failing(spark, data, schema, rule, calendar=batch_calendar(spark, "2024-01", "2024-02"), batch="_batch_id")) == [1, 3, 4]

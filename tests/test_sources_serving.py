@@ -29,7 +29,7 @@ def test_parallel_arrays(spark, tmp_path):
 
 
 def test_batches_by_name(spark, tmp_path):
-    for name, v in (("trips_2024-01.parquet", 1), ("trips_2024-02.parquet", 2), ("other.parquet", 3)):
+    for name, v in (("rides_2024-01.parquet", 1), ("rides_2024-02.parquet", 2), ("other.parquet", 3)):
         spark.createDataFrame([(v,)], "v int").coalesce(1).toPandas().to_parquet(tmp_path / name)
     assert rows(L.read_batches(spark, str(tmp_path)).select("v", "_batch_id")) == [(1, "2024-01"), (2, "2024-02"), (3, None)]
 
