@@ -129,6 +129,21 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
+def gathered(values: list[bytes], number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers packed in values[number], one after the other, and where those of each run of `number` begin (and the last end); at: the runs."""
+    sizes = packed_sizes(values)
+    begin, of = np.cumsum(sizes) - sizes, sizes[number]
+    total = np.zeros(len(number) + 1, np.int64)
+    np.cumsum(of, out=total[1:])
+    place = np.repeat(begin[number] - total[:-1], of)
+    place += np.arange(total[-1])
+    return np.frombuffer(b"".join(values), "<u4")[place], total[at]
+
+
+def packed_sizes(values: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, values), np.int64, len(values)) // 4
+
+
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 

@@ -11,24 +11,28 @@ the SentencePiece library.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import add_columns
+from sluice.llm.common import Remembered, add_columns, gathered
 
 MARK = "▁"
 #: Types of pieces, and of models, in the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks that one Python worker remembers, and the longest it does.
-CACHE_CHUNKS, CACHE_BYTES = 400_000, 256
+#: Chunks that one Python worker remembers, twice over.
+CACHE_CHUNKS = 150_000
+#: Chunks of a batch of the tokenizers library, and of a text in it; bytes of text that are encoded at a time.
+AT_ONCE, GROUP, SLICE = 4_000, 100, 2 << 20
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -121,42 +125,87 @@ class PieceCodec:
     """Encodes and decodes with a model file; it lives as long as a worker."""
 
     def __init__(self, path: str) -> None:
+        # as many threads as Spark gives a Python worker (spark.task.cpus)
+        os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         import sentencepiece
 
         with open(path, "rb") as f:
             self.model = PieceModel(f.read())
-        self.tokenizer = self.model.tokenizer()
+        self.tokenizer, self.threads = self.model.tokenizer(), int(os.environ.get("OMP_NUM_THREADS", "1"))
         self.check = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes, self.known, self.apart = self.model.piece_bytes(), {}, self.model.plain()
+        self.bad: set[str] = set()  # chunks that the two libraries encode differently
+        self.bytes, self.known, self.apart = self.model.piece_bytes(), Remembered(CACHE_CHUNKS), self.model.plain()
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        # as the SentencePiece library encodes a lone space: two markers, less the one it puts in front
         self.mark = [i for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK]
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """For each text its ids (packed, 32 bits each), and whether the SentencePiece library has the same; if not, its ids are taken."""
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's begin (and the last end), and whether both libraries have the same for it; if not, the SentencePiece library's are taken."""
+        texts = column.cast(pa.string()).fill_null("")
         if not self.apart:
-            ids, want = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)], self.check.encode(texts, num_threads=1)
-            return [np.array(y, np.int32).tobytes() for y in want], [x == y for x, y in zip(ids, want)]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
-        known = self.known
-        split = [(MARK + t.replace(" ", MARK)).split(MARK)[1:] if t else [] for t in texts]
-        chunks = [_joined(x) for x in split]
-        known[""] = (np.array(self.mark, np.int32).tobytes(), True)  # a marker at the end of a text
-        new = list({c for x in chunks for c in x if c not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            own = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            for c, e, ids in zip(part, own, self.check.encode([x.replace(MARK, " ") for x in part], num_threads=1)):
-                known[c] = (np.array(ids, np.int32).tobytes(), e.ids == ids)
-        found = [[known[c] for c in x] for x in chunks]
-        out = [b"".join([f[0] for f in x]) for x in found], [all([f[1] for f in x]) for x in found]
-        for c in new:
-            if len(c) > CACHE_BYTES:
-                del known[c]
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+            rows = texts.to_pylist()
+            own, want = self.tokenizer.encode_batch_fast(rows, add_special_tokens=False), self._check(rows)
+            ids = [array("I", x).tobytes() for x in want]
+            return *gathered(ids, np.arange(len(ids)), np.arange(len(ids) + 1)), np.array([e.ids == x for e, x in zip(own, want)], bool)
+        # a text's chunks are what its markers part; only where markers run on are chunks not simply words
+        runs = pc.match_substring_regex(pc.replace_substring(texts, MARK, " "), "^ |  | $").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")
+        at = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        number, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        if runs.any():
+            place, parts, sizes = {c: i for i, c in enumerate(distinct)}, [], np.diff(at)
+            for i in np.flatnonzero(runs).tolist():
+                chunks = _joined([distinct[k] for k in number[at[i] : at[i + 1]]])
+                parts.append((i, np.array([place.setdefault(c, len(place)) for c in chunks], number.dtype)))
+                sizes[i] = len(chunks)
+            distinct, pieces = list(place), np.split(number, at[1:-1])
+            for i, chunks in parts:
+                pieces[i] = chunks
+            number, at = np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes)])
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        if empty.any():  # an empty text has no chunk
+            sizes = np.where(empty, 0, np.diff(at))
+            number, at = number[~np.repeat(empty, np.diff(at))], np.concatenate([[0], np.cumsum(sizes)])
+        known = self.known.of([distinct], self._new)
+        ids, ends = gathered([known[c] for c in distinct], number, at)
+        same = np.ones(len(texts), bool)
+        if not self.bad.isdisjoint(distinct):
+            wrong = np.array([c in self.bad for c in distinct])[number]
+            same = np.diff(np.concatenate([[0], np.cumsum(wrong)])[at]) == 0
+        return ids, ends, same
+
+    def _check(self, texts: list[str]) -> list[list[int]]:
+        return self.check.encode(texts, num_threads=self.threads)
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of new chunks. Those of one marker go as texts of many; their first ids tell them apart."""
+        found: dict[str, list[int]] = {"": self.mark}  # a lone marker, at the end of a text, is the empty chunk
+        single = [c for c in chunks if c and not c.startswith(MARK)]
+        for i in range(0, len(single), AT_ONCE):
+            groups = [single[k : k + GROUP] for k in range(i, min(i + AT_ONCE, len(single)), GROUP)]
+            texts = [" ".join(g) for g in groups]
+            own = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            for group, e, want in zip(groups, own, self._check(texts)):
+                first = np.flatnonzero(self.marked[want]).tolist()
+                if e.ids == want and len(first) == len(group):
+                    found.update(zip(group, (want[a:b] for a, b in zip(first, [*first[1:], None]))))
+        rest = [c for c in chunks if c not in found]
+        for i in range(0, len(rest), AT_ONCE):
+            part = rest[i : i + AT_ONCE]
+            own = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            for c, e, want in zip(part, own, self._check([c.replace(MARK, " ") for c in part])):
+                found[c] = want
+                if e.ids != want:
+                    self.bad.add(c)
+        return [array("I", found[c]).tobytes() for c in chunks]
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of runs of ids."""
+        table, at = self.bytes, at.tolist()
+        parts = [table[i] for i in ids.tolist()]
+        texts = [b"".join(parts[a:b]).decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts] if self.model.dummy_prefix else texts
 
 
 def _joined(words: list[str]) -> list[str]:
@@ -185,9 +234,12 @@ def codec(path: str) -> PieceCodec:
 ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType())]
 
 
-def encoded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = False) -> DataFrame:
     """docs with ids, n_tokens and parity (the SentencePiece library gives the same ids) in place of the text.
 
+    verify adds round_trip: the ids, decoded, give the text again, with the marker
+    itself as a space. It is done in the same pass, so that a task has one worker.
+
     Whole texts are encoded; a null text is empty and has no ids. Other columns pass
     through, and those named as the new ones are replaced. No rows give no rows.
     """
@@ -196,14 +248,18 @@ def encoded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
         c = codec(model)
 
         def encode(batch: pa.RecordBatch) -> list[pa.Array]:
-            packed, same = c.encode(batch.column(text).fill_null("").to_pylist())
-            ends = np.cumsum([0, *map(len, packed)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            return [ids, pa.array(np.diff(ends), pa.int64()), pa.array(same)]
+            ids, ends, same = c.encode(batch.column(text))
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+            made = [column, pa.array(np.diff(ends), pa.int64()), pa.array(same)]
+            if verify:
+                texts = pc.replace_substring(batch.column(text).cast(pa.string()).fill_null(""), MARK, " ")
+                made.append(pc.equal(pa.array(c.decode(ids, ends), pa.string()), texts))
+            return made
 
         return encode
 
-    return add_columns(docs, ENCODED, make, drop=(text,))
+    fields = [*ENCODED, T.StructField("round_trip", T.BooleanType())] if verify else ENCODED
+    return add_columns(docs, fields, make, drop=(text,), most=SLICE)
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -214,14 +270,8 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -
 
         def decode(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(ids)
-            values, at = np.asarray(column.values).tolist(), np.asarray(column.offsets).tolist()
-            return [pa.array([c.decode(values[a:b]) for a, b in zip(at, at[1:])], pa.string())]
+            return [pa.array(c.decode(np.asarray(column.values), np.asarray(column.offsets)), pa.string())]
 
         return decode
 
-    return add_columns(rows, [T.StructField(text, T.StringType())], make)
-
-
-def as_decoded(text: str = "text") -> F.Column:
-    """What a text must be after encoding and decoding: the marker itself becomes a space."""
-    return F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(" "))
+    return add_columns(rows, [T.StructField(text, T.StringType())], make, most=SLICE)

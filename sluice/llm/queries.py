@@ -70,9 +70,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(pieces.as_decoded(), 256).alias("text_sha256"), "text")
-    read = pieces.decoded(pieces.encoded(docs, PIECES), PIECES)
-    return read.select("doc_id", "n_tokens", "parity", F.xxhash64("ids").alias("ids_hash"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+    ids = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, verify=True)
+    return ids.select("doc_id", "n_tokens", "parity", F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
