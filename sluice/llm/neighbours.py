@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import least_hashed, written
 
 #: Pivots (a sample of the vectors, by hash), places that are posted, files that a query opens.
 PIVOTS, POSTED, OPENED = 192, 96, 32
@@ -110,9 +110,10 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id
     entries = written(entries, "entries")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     asked = written(asked.join(entries.select("v", "entry"), "v").select("query_id", "entry"), "asked")
-    pivots = np.array([r.v for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(PIVOTS).select("v").collect()], np.float32)
+    n_entries = entries.count()
+    pivots = np.array([r.v for r in least_hashed(entries, ["entry"], PIVOTS, n_entries).select("v").collect()], np.float32)
     queries = written(asked.select("entry").distinct().join(entries.select("entry", "v"), "entry"), "queries")
-    n_entries, n_queries = entries.count(), queries.count()
+    n_queries = queries.count()
     shards, blocks = -(-n_entries // SHARD), -(-n_queries // BLOCK)
     parts = lambda n: F.pmod(F.xxhash64("entry"), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

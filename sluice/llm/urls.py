@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import least_hashed, written
 
-#: Labelled URLs that the trees are trained on at most, those of least hash.
+#: Distinct labelled URLs that the trees are trained on at most, those of least hash.
 MAX_TRAINING = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
 #: A suffix's share of blocked URLs counts as many more URLs of the overall share.
@@ -102,9 +102,10 @@ class UrlModel:
         from pyspark.ml.classification import GBTClassifier
 
         rows = labelled.where(F.col("verdict").isin("allow", "block"))
-        rows = rows.select(url, "host", "path", (F.col("verdict") == "block").cast("double").alias("label"))
-        rows = rows.orderBy(F.xxhash64(url), url).limit(MAX_TRAINING)
-        rows = written(with_features(rows, url), "labelled_urls")
+        rows = rows.select(F.coalesce(url, F.lit("")).alias(url), "host", "path", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
+        rows = written(rows, "labelled_urls")
+        rows = least_hashed(rows, [url, "label"], MAX_TRAINING, rows.count())
+        rows = written(with_features(rows, url), "training_urls")
         n, blocked = rows.agg(F.count("*"), F.sum("label")).first()
         self.constant = None if n and 0 < blocked < n else "block" if n and blocked else "allow"
         self.statistics: dict[str, DataFrame] = {}
