@@ -61,7 +61,7 @@ def add_columns(
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
     drop: tuple[str, ...] = (),
-    most: int = 4 << 20,
+    most: int = 2 << 20,
 ) -> DataFrame:
     """df with columns computed batch by batch; a column of the same name is replaced, `drop` goes.
 
@@ -83,7 +83,7 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes, so that memory follows neither text nor batch length."""
     n = batch.num_rows
     if not n:

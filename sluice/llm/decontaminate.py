@@ -172,38 +172,57 @@ def with_hits(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "
     no words; without items nothing is hit; rows are judged one by one, so repeated
     rows stay. Other columns pass through; those named as the new ones are replaced.
     """
-    out, spark = docs, docs.sparkSession
-    for k, automaton in enumerate(automata(items, window)):
-        held = spark.sparkContext.broadcast(automaton)
-        out = add_columns(written(out, "hits") if k else out, list(FOUND.fields), _matcher(held, text, merge=k > 0))
-    if out is docs:
-        held = spark.sparkContext.broadcast(ItemAutomaton([], window))
-        out = add_columns(docs, list(FOUND.fields), _matcher(held, text, merge=False))
+    return _searched(docs, items, window, text, cut=False)
+
+
+def _searched(docs: DataFrame, items: DataFrame, window: int, text: str, cut: bool) -> DataFrame:
+    """with_hits, one pass for each automaton; `cut` takes the hit words out of the text in the last one."""
+    spark, out, first = docs.sparkSession, docs, True
+    coming = automata(items, window)
+    automaton = next(coming, None) or ItemAutomaton([], window)
+    while automaton:
+        after = next(coming, None)
+        fields = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut and not after else [])]
+        out = add_columns(out, fields, _matcher(spark.sparkContext.broadcast(automaton), text, merge=not first, cut=cut and not after))
+        out, automaton, first = written(out, "hits") if after else out, after, False
     return out
 
 
-def _matcher(held, text: str, merge: bool):
+def _matcher(held, text: str, merge: bool, cut: bool):
     def make():
         automaton = held.value
 
         def match(batch: pa.RecordBatch) -> list[pa.Array]:
-            n_words, spans, names = [], [], []
+            n_words, spans, names, left = [], [], [], []
             before = [(s.as_py(), n.as_py()) for s, n in zip(batch.column("hit_spans"), batch.column("hit_items"))] if merge else None
-            for i, t in enumerate(batch.column(text).cast(pa.large_binary()).fill_null(b"").to_pylist()):
-                n, found, items = automaton.match(t)
+            for i, t in enumerate(batch.column(text).cast(pa.large_binary()).to_pylist()):
+                n, found, items = automaton.match(t or b"")
                 if merge:
                     found = _united([*found, *((s["a"], s["b"]) for s in before[i][0])])
                     items = items | set(before[i][1])
                 n_words.append(n)
                 spans.append([{"a": a, "b": b} for a, b in found])
                 names.append(sorted(items))
-            return [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(names, pa.list_(pa.string()))]
+                if cut:
+                    left.append(_cut(t, found) if found else t)
+            out = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(names, pa.list_(pa.string()))]
+            return [*out, pa.array(left, pa.large_binary()).cast(pa.large_string())] if cut else out
 
         return match
 
     return make
 
 
+def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without what goes from the first to the last word of each span."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    kept, done = [], 0
+    for a, b in spans:
+        kept.append(text[done : at[a][0]])
+        done = at[b - 1][1]
+    return b"".join([*kept, text[done:]])
+
+
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -231,24 +250,6 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = 10, most_share
     those of docs.
     """
     own = {c: f"__own_{c}" for c in docs.columns if c in FOUND.names}
-    found = with_hits(docs.withColumnsRenamed(own), items, window, text)
+    found = _searched(docs.withColumnsRenamed(own), items, window, text, cut=True)
     found = found.where(~((F.col("n_words") > 0) & (n_hit() > most_share * F.col("n_words"))))
-
-    def make():
-        def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = []
-            for t, s in zip(batch.column(text).cast(pa.large_binary()).to_pylist(), batch.column("hit_spans")):
-                if len(s):
-                    at = [m.span() for m in _WORD.finditer(t)]
-                    kept, done = [], 0
-                    for x in s.as_py():
-                        kept.append(t[done : at[x["a"]][0]])
-                        done = at[x["b"] - 1][1]
-                    t = b"".join([*kept, t[done:]])
-                out.append(t)
-            return [pa.array(out, pa.large_binary()).cast(pa.large_string())]
-
-        return cut
-
-    cut = add_columns(found, [T.StructField(text, T.StringType())], make, drop=("hit_spans", "hit_items"))
-    return cut.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    return found.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))

@@ -30,7 +30,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks that one Python worker remembers, twice over.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
 #: Chunks of a batch of the tokenizers library, and of a text in it; bytes of text that are encoded at a time.
 AT_ONCE, GROUP, SLICE = 4_000, 100, 2 << 20
 

@@ -22,6 +22,8 @@ from sluice.llm.common import add_columns, utf8, words_of, word_hashes, written
 
 #: Random features, their seed, ridge penalty per row, and bins of the calibration.
 FEATURES, SEED, RIDGE, BINS = 256, 20, 1e-3, 512
+#: Bytes of text that are looked at at a time.
+SLICE = 1 << 20
 #: Partial sums meet in so many groups before the last one.
 GROUPS = 16
 
@@ -99,7 +101,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return stats
 
-    return add_columns(docs, [STATS], make, drop=(text,))
+    return add_columns(docs, [STATS], make, drop=(text,), most=SLICE)
 
 
 @dataclass
@@ -228,7 +230,7 @@ def scored(docs: DataFrame, model: Model, text: str | None = None) -> DataFrame:
 
         return score
 
-    return add_columns(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, drop=() if text else ("stats",))
+    return add_columns(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, drop=() if text else ("stats",), most=SLICE)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -30,7 +30,7 @@ MOST_WINDOWS = 64
 PAIRS = 1 << 20
 
 #: Bytes of text that are cut, and of strings that are sorted, at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Buckets of the table that tells which documents lose words at most; see _touched.
 MOST_BUCKETS = 1 << 26
 
