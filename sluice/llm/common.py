@@ -147,8 +147,9 @@ def gathered(values: list[bytes], number: np.ndarray, at: np.ndarray) -> tuple[n
     begin, of = np.cumsum(sizes) - sizes, sizes[number]
     total = np.zeros(len(number) + 1, np.int64)
     np.cumsum(of, out=total[1:])
-    place = np.repeat(begin[number] - total[:-1], of)
-    place += np.arange(total[-1])
+    kind = np.int32 if max(total[-1], begin[-1] if len(begin) else 0) < 1 << 31 else np.int64
+    place = np.repeat((begin[number] - total[:-1]).astype(kind), of)
+    place += np.arange(total[-1], dtype=kind)
     return np.frombuffer(b"".join(values), "<u4")[place], total[at]
 
 

@@ -8,6 +8,7 @@ bounded table from word to ids; words not in it go to the library in batches.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import Remembered, add_columns, slices, written
+from sluice.llm.common import Remembered, add_columns, gathered, packed_sizes, slices, written
 
 #: Words that one Python worker remembers, twice over.
 CACHE_WORDS = 250_000
 #: Bytes of text that are encoded at a time.
-SLICE = 8 << 20
+SLICE = 12 << 20
 #: Ids are written in this form.
 ID = np.dtype("<u4")
 
@@ -43,6 +44,8 @@ class WordEncoder:
     POINTS = ".,;:!?"
 
     def __init__(self, path: str) -> None:
+        # as many threads as Spark gives a Python worker (spark.task.cpus)
+        os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -91,25 +94,13 @@ class WordEncoder:
         """The number of ids of each text."""
         at, word, ids = self._words(column)
         total = np.zeros(len(word) + 1, np.int64)
-        np.cumsum(self._sizes(ids)[word], out=total[1:])
+        np.cumsum(packed_sizes(ids)[word], out=total[1:])
         return np.diff(total[at])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (and the last end)."""
         at, word, ids = self._words(column)
-        sizes = self._sizes(ids)
-        begin = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(ids), ID)
-        of = sizes[word]
-        total = np.zeros(len(word) + 1, np.int64)
-        np.cumsum(of, out=total[1:])
-        place = np.repeat(begin[word] - total[:-1], of)
-        place += np.arange(total[-1])
-        return flat[place], total[at]
-
-    @staticmethod
-    def _sizes(ids: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(len, ids), np.int64, len(ids)) // ID.itemsize
+        return gathered(ids, word, at)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -197,7 +188,7 @@ def length_quantile(sums: DataFrame, q: float) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write (doc_id, task_offset, n_tokens, ids) as ORC files in ascending doc_id order.
 
-    Null ids come first; rows of one id follow in the order of their texts; a null
+    Null ids come first; rows of one id follow in the order of their texts' hashes; a null
     text is empty and has the end id alone. Texts are dealt by range before they are
     encoded, as they are smaller than ids. Integer columns are run-length encoded by
     ORC; each stripe has row indexes and a Bloom filter on doc_id. task_offset counts
@@ -218,8 +209,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: s
                 yield from slices(made)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, schema).write.options(
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows.drop("h").mapInArrow(encode, schema).write.options(
         **{"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
     ).orc(path)
 
@@ -237,7 +228,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("task").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "task").select("doc_id", (F.col("base") + F.col("task_offset")).alias("start"), "n_tokens", "ids")
+    # a row for each task that wrote: small enough to send, and the ids stay where they are read
+    return rows.join(F.broadcast(bases), "task").select("doc_id", (F.col("base") + F.col("task_offset")).alias("start"), "n_tokens", "ids")
 
 
 def with_crc32(rows: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:
