@@ -9,7 +9,8 @@ import xxhash
 from conftest import DATA, rows
 from pyspark.sql import functions as F
 
-from sluice.llm import components, decontaminate, simhash, substrings
+import corpus_pipeline
+from sluice.llm import components, decontaminate, near_copies, simhash, substrings
 from sluice.llm.queries import OP5_SQL, OP6_SQL, op5_substring_dedup, op6_decontamination, op10_simhash_near_dedup
 
 SF = f"{DATA}/sf0.001"
@@ -103,6 +104,48 @@ def test_near_query(spark):
     assert rows(op10_simhash_near_dedup(spark, SF)) == near_brute(texts)
 
 
+def jaccard_brute(texts):
+    """doc_id -> component over pairs of five-word shingle sets with Jaccard similarity 0.8."""
+    words = [(d, re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for d, t in texts if d is not None]
+    sets = [(d, {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}) for d, w in words]
+    edges = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if 5 * len(x & y) >= 4 * len(x | y)]
+    return roots(edges, {d for d, _ in sets})
+
+
+def edited_copies():
+    """Texts with edited copies at any distance, chains of edits, a large group of copies of one text, and odd rows."""
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    data = []
+    for _ in range(60):
+        words = rng.choice(vocabulary, rng.integers(8, 300))
+        for k in range(4):
+            data.append(" ".join(words))
+            words = words.copy()
+            words[rng.choice(len(words), rng.integers(1, 2 + len(words) // 40), False)] = "edit"
+    base = rng.choice(vocabulary, 200)
+    for k in range(120):
+        words = base.copy()
+        words[rng.choice(200, rng.integers(0, 5), False)] = rng.choice(vocabulary)
+        data.append(" ".join(words))
+    data = [(int(i), t) for i, t in zip(rng.permutation(len(data)) + 100, data)]
+    return data + [(1, None), (2, ""), (4, " \n"), (6, "two words"), (7, "Two\tWords"), (8, "x"), (None, data[0][1]), (5, data[0][1]), (5, data[9][1]), (9, data[0][1].upper())]
+
+
+def test_similar_groups(spark):
+    data = edited_copies()
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_copies.similar_groups(df).collect()} == jaccard_brute(data)
+    assert rows(near_copies.similar_groups(df.where("false"))) == []
+
+
+def test_near_dedup_stage_finds_edited_copies(spark):
+    data = edited_copies()
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()]
+    assert {d for d in kept if d is not None} == set(jaccard_brute(data).values()) and None in kept
+
+
 def repeats_brute(data, width):
     words = [(d, re.findall("[^\x20\x09-\x0d]+", t or "")) for d, t in data]
     first = {}
