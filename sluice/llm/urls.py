@@ -11,6 +11,8 @@ from sluice.llm.common import least_hashed, written
 
 #: Distinct labelled URLs that the trees are trained on at most, those of least hash.
 MAX_TRAINING = 20_000
+#: Suffixes of a table of statistics that is broadcast; larger ones are joined as Spark sees fit.
+BROADCAST = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
 #: A suffix's share of blocked URLs counts as many more URLs of the overall share.
 PRIOR = 5.0
@@ -95,7 +97,7 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 class UrlModel:
-    """Trees trained on at most MAX_TRAINING labelled URLs, with the suffix statistics of these."""
+    """Trees trained on at most MAX_TRAINING labelled URLs, with the suffix statistics of all."""
 
     def __init__(self, labelled: DataFrame, url: str = "url") -> None:
         """labelled: url, host, path and verdict (allow or block; null rows take no part). One verdict alone is given to all, allow without any."""
@@ -104,23 +106,25 @@ class UrlModel:
         rows = labelled.where(F.col("verdict").isin("allow", "block"))
         rows = rows.select(F.coalesce(url, F.lit("")).alias(url), "host", "path", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
         rows = written(rows, "labelled_urls")
-        rows = least_hashed(rows, [url, "label"], MAX_TRAINING, rows.count())
-        rows = written(with_features(rows, url), "training_urls")
         n, blocked = rows.agg(F.count("*"), F.sum("label")).first()
         self.constant = None if n and 0 < blocked < n else "block" if n and blocked else "allow"
         self.statistics: dict[str, DataFrame] = {}
         if self.constant is None:
             self.share = blocked / n
+            every = with_features(rows, url)
             for s in SUFFIXES:
                 stat = ((F.sum("label") + PRIOR * self.share) / (F.count("*") + PRIOR)).alias(f"{s}_share")
-                self.statistics[s] = written(rows.groupBy(s).agg(stat).coalesce(1), "suffix_statistics")
+                found = written(every.groupBy(s).agg(stat), "suffix_statistics")
+                self.statistics[s] = F.broadcast(found) if found.count() <= BROADCAST else found
+            rows = least_hashed(rows, [url, "label"], MAX_TRAINING, n)
+            rows = written(with_features(rows, url), "training_urls")
             self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, checkpointInterval=-1).fit(self._vectors(rows))
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
 
-        for s in SUFFIXES:  # at most MAX_TRAINING rows each
-            rows = rows.join(F.broadcast(self.statistics[s]), s, "left").fillna(self.share, [f"{s}_share"])
+        for s in SUFFIXES:
+            rows = rows.join(self.statistics[s], s, "left").fillna(self.share, [f"{s}_share"])
         return VectorAssembler(inputCols=[*LEXICAL, *(f"{s}_share" for s in SUFFIXES)], outputCol="features").transform(rows)
 
     def verdicts(self, pages: DataFrame, url: str = "url") -> DataFrame:

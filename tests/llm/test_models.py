@@ -125,6 +125,23 @@ def test_trees_learn_from_labels(spark):
     assert sum(got[i] == ("block" if i > 6 else "allow") for i in range(14)) >= 13
 
 
+@pytest.mark.parametrize("broadcast", [0, 20_000])
+def test_suffix_shares_cover_all_labelled_urls(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urls, "MAX_TRAINING", 20)
+    monkeypatch.setattr(urls, "BROADCAST", broadcast)
+    data = [(f"http://x.h{i % 40}.t{i % 7}/{i}", "block" if i % 40 < 15 else "allow") for i in range(400)]
+    labelled = spark.createDataFrame(data, "url string, verdict string").withColumns({"host": urls.host_of(), "path": urls.path_of()})
+    model = urls.UrlModel(labelled)
+    for name, of in (("suffix_1", lambda i: f"t{i % 7}"), ("suffix_2", lambda i: f"h{i % 40}.t{i % 7}"), ("suffix_path", lambda i: f"t{i % 7}/{i}")):
+        blocked, n = {}, {}
+        for i in range(400):
+            n[of(i)] = n.get(of(i), 0) + 1
+            blocked[of(i)] = blocked.get(of(i), 0) + (i % 40 < 15)
+        got = {r[name]: r[f"{name}_share"] for r in model.statistics[name].collect()}
+        assert got == {k: pytest.approx((blocked[k] + urls.PRIOR * 0.375) / (n[k] + urls.PRIOR)) for k in n}
+    assert model.verdicts(labelled).count() == 400
+
+
 def test_features(spark):
     df = urls.with_features(urls.with_rules(spark.createDataFrame([("http://a-b.c.org/x/y?p=1&q=2&&#f",), (None,), ("aab",)], "url string"), RULES))
     a, none, plain = df.collect()
