@@ -5,7 +5,13 @@ inverted file: the vectors that have it among their nearest, with its place in
 their order. A query opens the files of its own nearest pivots, and vectors are
 ranked by the footrule distance, the sum of differences between the places of
 these pivots (a vector that is not in a file counts as one place behind its last).
-The best are reranked by inner product.
+The best are reranked by inner product. How many these are follows the data: a
+sample of a task's queries is compared with all of its shard, and the reranked
+share grows until enough of the sample's true neighbours are in it.
+
+Places come from distances, nearness is the inner product. One component more,
+sqrt(M * M - |v| * |v|) for vectors and zero for queries (M is the longest length),
+makes the order by distance the order by inner product.
 
 The index is dealt in shards and the queries in blocks; a task has one shard and
 one block. Equal vectors are one entry of the index.
@@ -26,8 +32,10 @@ from sluice.llm.common import least_hashed, written
 PIVOTS, POSTED, OPENED = 192, 96, 32
 #: Vectors of a shard, queries of a block.
 SHARD, BLOCK = 20_000, 4_000
-#: Share of a shard's vectors that is reranked for a query, and the least number.
+#: Share of a shard's vectors that is reranked for a query at first, and the least number.
 RERANKED, LEAST = 0.1, 2_000
+#: Queries of a task that are compared with all of the shard; recall that they have together, and each, before the share is wide enough.
+PROBED, RECALL, RECALL_EACH = 64, 0.95, 0.8
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -46,40 +54,76 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Vectors with the inverted files of the pivots."""
+    """Vectors with the inverted files of the pivots (lifted ones); longest: see lifted."""
 
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray) -> None:
-        self.vectors, self.small = vectors, vectors.astype(np.float32)
+    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, longest: float) -> None:
+        small = lifted(vectors, longest)
+        self.vectors, self.small = vectors, np.ascontiguousarray(small[:, :-1])
         self.pivots, self.posted = pivots, min(POSTED, len(pivots))
-        order = places(self.small, pivots)[:, : self.posted]
+        order = places(small, pivots)[:, : self.posted]
         who = np.repeat(np.arange(len(vectors), dtype=np.int32), self.posted)
         where = np.tile(np.arange(self.posted, dtype=np.int16), len(vectors))
         by_pivot = np.argsort(order.ravel(), kind="stable")
         self.ends = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
         self.who, self.where = who[by_pivot], where[by_pivot]
 
+    def saved(self, order: np.ndarray) -> np.ndarray:
+        """For each vector the footrule distance that it saves against one that is in none of the files."""
+        missing = self.posted - np.arange(len(order), dtype=np.int32)
+        saved = np.zeros(len(self.vectors), np.int32)
+        for place, p in enumerate(order):
+            file = slice(self.ends[p], self.ends[p + 1])
+            saved[self.who[file]] += missing[place] - np.abs(self.where[file] - place)
+        return saved
+
+    def depth(self, small: np.ndarray, orders: np.ndarray, k: int) -> int:
+        """How many vectors are reranked for a query, so that a sample of the queries has its neighbours among them."""
+        n = len(self.vectors)
+        depth, k = max(LEAST, int(RERANKED * n)), min(k, n)
+        if depth >= n:
+            return n
+        before = []  # for each neighbour, how many vectors save more; ties are reranked together
+        for i in np.sort(np.random.default_rng(0).permutation(len(small))[:PROBED]):
+            near = np.argpartition(-(self.small @ small[i]), k - 1)[:k]
+            saved = self.saved(orders[i])
+            before.append(n - np.searchsorted(np.sort(saved), saved[near], side="right"))
+        while depth < n and ((recall := (np.array(before) < depth).mean(axis=1)).mean() < RECALL or recall.min() < RECALL_EACH):
+            depth = depth * 5 // 4 + 1
+        return min(depth, n)
+
     def nearest(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the places of its k nearest by inner product among the reranked, and the products."""
-        n, depth = len(self.vectors), max(LEAST, int(RERANKED * len(self.vectors)))
-        for q, order in zip(queries, places(queries.astype(np.float32), self.pivots)[:, :OPENED]):
+        n = len(self.vectors)
+        wanted = unit(queries)
+        orders = places(np.column_stack([wanted, np.zeros(len(wanted), np.float32)]), self.pivots)[:, :OPENED]
+        depth = self.depth(wanted, orders, k)
+        for q, small, order in zip(queries, wanted, orders):
             if depth < n:
-                missing = self.posted - np.arange(len(order), dtype=np.int32)
-                saved = np.zeros(n, np.int32)  # against a vector that is in none of the files
-                for place, p in enumerate(order):
-                    file = slice(self.ends[p], self.ends[p + 1])
-                    saved[self.who[file]] += missing[place] - np.abs(self.where[file] - place)
-                found = np.argpartition(-saved, depth)[:depth]
+                saved = self.saved(order)
+                found = np.flatnonzero(saved >= np.partition(saved, n - depth)[n - depth])
             else:
                 found = np.arange(n)
             if len(found) > 8 * k:  # single precision is sure of these
-                rough = self.small[found] @ q.astype(np.float32)
+                rough = self.small[found] @ small
                 bar = -np.partition(-rough, k)[k]
-                found = found[rough >= bar - 1e-4 * max(1.0, float(np.abs(rough).max()))]
+                found = found[rough >= bar - 1e-4]
             score = dot(q, self.vectors[found])
             best = np.lexsort((found, -score))[:k]
             yield found[best], score[best]
 
 
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """The vectors in units of the longest length, with the component that brings each to length 1."""
+    small = vectors / longest
+    return np.column_stack([small, np.sqrt(np.maximum(0.0, 1.0 - (small**2).sum(1)))]).astype(np.float32)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1: of a query only the direction decides who is near."""
+    top = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return (top / np.sqrt((top**2).sum(1))[:, None]).astype(np.float32)
+
+
 def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """For each vector the pivots, nearest first; ties to the first pivot."""
     return np.argsort(-(vectors @ pivots.T) + 0.5 * (pivots**2).sum(1), axis=1, kind="stable")
@@ -111,7 +155,9 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     asked = written(asked.join(entries.select("v", "entry"), "v").select("query_id", "entry"), "asked")
     n_entries = entries.count()
-    pivots = np.array([r.v for r in least_hashed(entries, ["entry"], PIVOTS, n_entries).select("v").collect()], np.float32)
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    longest = entries.agg(F.sqrt(F.max(squares))).first()[0] or 1.0
+    pivots = lifted(np.array([r.v for r in least_hashed(entries, ["entry"], PIVOTS, n_entries).select("v").collect()]), longest)
     queries = written(asked.select("entry").distinct().join(entries.select("entry", "v"), "entry"), "queries")
     n_queries = queries.count()
     shards, blocks = -(-n_entries // SHARD), -(-n_queries // BLOCK)
@@ -123,9 +169,9 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id
     def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(asked):
-            own = own.sort_values("entry")
+            own, asked = own.sort_values("entry"), asked.sort_values("entry")
             names = own["entry"].to_numpy()
-            shard = Shard(np.stack(own["v"].to_numpy()), pivots)
+            shard = Shard(np.stack(own["v"].to_numpy()), pivots, longest)
             wanted = np.stack(asked["v"].to_numpy())
             for name, (at, score) in zip(asked["entry"], shard.nearest(wanted, k + 1)):
                 out.append(pd.DataFrame({"query": name, "entry": names[at], "score": score}))

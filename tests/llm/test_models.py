@@ -249,6 +249,25 @@ def test_recall_of_the_index(spark, monkeypatch):
     assert hits / (20 * 120) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["dense third", "lengths"])
+def test_recall_follows_the_data(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "LEAST", 100)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6_000, 64))
+    if kind == "dense third":
+        x[::3] = x[1] + 0.1 * x[::3]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "lengths":
+        x *= np.exp(rng.normal(scale=0.3, size=6_000))[:, None]
+    got = found(spark, [(i, v.tolist()) for i, v in enumerate(x)], 20, 50, "array<double>")
+    hits = []
+    for q in range(0, 6_000, 50):
+        score = x @ x[q]
+        score[q] = -9
+        hits.append(len({r[2] for r in got if r[0] == q} & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9 and min(hits) >= 0.5
+
+
 def test_neighbour_query_is_exact_on_a_small_table(spark):
     data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     close(rows_of(op4_permutation_index(spark, SF)), exact(data, 20, 20))
