@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import arrival, bounds, calendar_of
+from sluice.functions.calendar import batch_calendar as month_calendar
 from sluice.jobs.layers import bronze
 from sluice.operators.contracts import Contract, conform, drift_rows, evolve_union
 from sluice.operators.keys import row_id
@@ -110,8 +111,7 @@ def asof_snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def asof_snapshots_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    window = orders.where("o_orderdate >= '2000-01-01' AND o_orderdate < '2001-07-01'")
-    snapshots = asof_snapshots(orders, "o_orderdate", calendar_of(window, "o_orderdate"))
+    snapshots = asof_snapshots(orders, "o_orderdate", month_calendar(spark, "2000-01", "2001-06"))
     return snapshots.groupBy("_batch_id").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_key"))
 
 
