@@ -13,11 +13,13 @@ bounded by a row or by memory.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ from sluice.llm.common import slices
 TURN, SAYS, END = "<turn>", "<says>", "</turn>"
 MARKS = (TURN, SAYS, END)
 LEARNED = "assistant"
+#: The library's matcher fails on white space of far more characters in a run; it gets shorter ones only.
+LONG_RUN = 50_000
+#: Characters that are encoded at a time; a longer piece of the pattern, a word without any break, is cut there.
+AT_ONCE = 1 << 20
+#: Ids that are decoded at a time.
+DECODED = 1 << 20
 
 _MARK = re.compile("|".join(MARKS))
 _ESCAPE = re.compile(r"\\(\\?)")
@@ -50,14 +58,52 @@ class TurnCodec:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        #: the same merges over the whole of what it gets
+        self.whole = tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.pieces, self.threads = regex.compile(pattern), int(os.environ.get("OMP_NUM_THREADS", "1"))
         first = max(ranks.values()) + 1
         self.turn, self.says, self.end = first, first + 1, first + 2
 
-    def segment(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(escape(text))
+    def segments(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """The ids of each distinct text, escaped. Common ones go to the library in one batch."""
+        escaped = {t: escape(t) for t in texts}
+        usual = [t for t, e in escaped.items() if len(e) <= LONG_RUN]
+        made = self.encoding.encode_ordinary_batch([escaped[t] for t in usual], num_threads=self.threads)
+        out = {t: np.array(ids, np.int32) for t, ids in zip(usual, made)}
+        return out | {t: self._long(e) for t, e in escaped.items() if t not in out}
 
-    def text(self, ids: list[int]) -> str:
-        return self.encoding.decode_bytes(ids).decode()
+    def _long(self, text: str) -> np.ndarray:
+        """The ids of a long text, by parts that end where its pieces by the pattern end.
+
+        A piece of white space alone is encoded on its own; other pieces next to each other
+        go together, as nothing in the pattern looks from one into another.
+        """
+        out, begin, end = [], 0, 0
+
+        def flush() -> None:
+            for i in range(begin, end, AT_ONCE):
+                out.append(_ids(self.encoding, text[i : min(i + AT_ONCE, end)]))
+
+        for m in self.pieces.finditer(text):
+            a, b = m.span()
+            blank = text[a].isspace() and text[b - 1].isspace()
+            if blank or b - begin > AT_ONCE:
+                flush()
+                begin = a
+            end = b
+            if blank:
+                out += [_ids(self.whole, text[i : min(i + AT_ONCE, b)]) for i in range(a, b, AT_ONCE)]
+                begin = b
+        flush()
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def text(self, ids: np.ndarray) -> str:
+        decode = self.encoding.decode_bytes
+        return b"".join(decode(ids[i : i + DECODED].tolist()) for i in range(0, len(ids), DECODED)).decode()
+
+
+def _ids(encoding, text: str) -> np.ndarray:
+    return encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int32)
 
 
 _codecs: dict[tuple[str, str], TurnCodec] = {}
@@ -78,7 +124,9 @@ def format_conversations(turns: DataFrame, ranks_path: str, pattern: str) -> Dat
     position counts a conversation's turns, token_start its tokens before the turn.
     Null roles and texts are empty; turns come in ascending order, a null one first;
     rows that share a turn are all kept and follow by role, then by the text's hash.
-    A null conv_id is a conversation of its own. Other columns are ignored.
+    A null conv_id is a conversation of its own. Other columns are ignored. Texts of any
+    length, white space included, are encoded whole; only a piece of the pattern (a word,
+    a run of one kind of characters) of over AT_ONCE characters is cut into such parts.
 
     Segments are encoded where the rows are, before the shuffle; afterwards the rows
     of a conversation pass through one task in order, of which it holds a batch.
@@ -89,20 +137,24 @@ def format_conversations(turns: DataFrame, ranks_path: str, pattern: str) -> Dat
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
+        mark = [np.array([i], np.int32) for i in (c.turn, c.says, c.end)]
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                ids, mask = [], []
-                for role, text in zip(part.column("role").to_pylist(), part.column("text").to_pylist()):
-                    segments = [[c.turn], c.segment(role), [c.says], c.segment(text), [c.end]]
-                    ends = np.cumsum([len(s) for s in segments])
-                    edges = np.zeros(ends[-1] + 1, np.int8)
-                    if role == LEARNED:
-                        edges[ends[2]] += 1
-                        edges[ends[3]] -= 1
-                    ids.append([i for s in segments for i in s])
-                    mask.append(np.cumsum(edges[:-1]).astype(bool))
+                roles, texts = part.column("role").to_pylist(), part.column("text").to_pylist()
+                known, parts, sizes = c.segments(list({*roles, *texts})), [], []
+                for role, text in zip(roles, texts):
+                    parts += [mark[0], known[role], mark[1], known[text], mark[2]]
+                    sizes.append((len(known[role]) + 2, len(known[text]), 1))
+                edges = np.zeros(sum(map(sum, sizes)) + 1, np.int8)  # 1 where the mask begins, -1 where it ends
+                begin = np.cumsum(np.array(sizes, np.int64).ravel()).reshape(-1, 3)
+                learned = np.flatnonzero([r == LEARNED for r in roles])
+                np.add.at(edges, begin[learned, 0], 1)
+                np.add.at(edges, begin[learned, 1], -1)
+                at = pa.array(np.concatenate([[0], begin[:, 2]]), pa.int32())
+                ids = pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts)))
+                mask = pa.ListArray.from_arrays(at, pa.array(np.cumsum(edges[:-1]).astype(bool)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), part.column("turn"), part.column("role"), part.column("h"), pa.array(ids, pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.bool_()))], ["conv_id", "turn", "role", "h", "ids", "loss_mask"]
+                    [part.column("conv_id"), part.column("turn"), part.column("role"), part.column("h"), ids, mask], ["conv_id", "turn", "role", "h", "ids", "loss_mask"]
                 )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +175,10 @@ def format_conversations(turns: DataFrame, ranks_path: str, pattern: str) -> Dat
     return dealt.select("conv_id", "ids", "loss_mask").mapInArrow(number, FORMATTED)
 
 
-def read_turn(c: TurnCodec, ids: list[int]) -> tuple[str, str, int]:
+def read_turn(c: TurnCodec, ids: np.ndarray) -> tuple[str, str, int]:
     """Role, text, and characters of the text form, of a formatted turn."""
-    says = ids.index(c.says)
-    if ids[0] != c.turn or ids[-1] != c.end:
+    says = int(np.argmax(ids == c.says))
+    if ids[says] != c.says or ids[0] != c.turn or ids[-1] != c.end:
         raise ValueError("not a formatted turn")
     role, text = c.text(ids[1:says]), c.text(ids[says + 1 : -1])
     return unescape(role), unescape(text), len(role) + len(text) + sum(map(len, MARKS))
@@ -148,14 +200,15 @@ def read_conversations(formatted: DataFrame, ranks_path: str, pattern: str) -> D
         now, state = (), None
         for batch in batches:
             done = []
-            for conv, ids, mask in zip(batch.column("conv_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("loss_mask")):
+            for conv, ids, mask in zip(batch.column("conv_id").to_pylist(), batch.column("ids"), batch.column("loss_mask")):
+                ids = np.asarray(ids.values)
                 if (conv,) != now:
                     if state:
                         done.append(_result(now[0], state))
                     now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 role, text, chars = read_turn(c, ids)
                 under = np.asarray(mask.values)
-                learned = unescape(c.text(np.asarray(ids)[under].tolist()))
+                learned = unescape(c.text(ids[under]))
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(learned)

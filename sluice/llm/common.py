@@ -45,6 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """A column name that df does not have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def least_hashed(rows: DataFrame, key: list[str], n: int, total: int) -> DataFrame:
     """n rows (all, if there are fewer) of distinct keys: those of least hash, the same in every run.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import least_hashed, written
+from sluice.llm.common import free_name, least_hashed, written
 
 #: Distinct labelled URLs that the trees are trained on at most, those of least hash.
 MAX_TRAINING = 20_000
@@ -16,6 +16,8 @@ BROADCAST = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
 #: A suffix's share of blocked URLs counts as many more URLs of the overall share.
 PRIOR = 5.0
+#: Folds of the labelled URLs, by hash: the share that a URL is trained with leaves its own fold out.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,8 @@ def with_rules(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
     order = sorted(rules, key=lambda r: (-len(r.pattern), r.pattern))
     out = pages.withColumns({"host": host_of(url), "path": path_of(url)})
     found = F.coalesce(*(F.when(r.fits(F.col("host"), F.col("path")), F.struct(F.lit(r.pattern).alias("rule"), F.lit(r.verdict).alias("verdict"))) for r in order), F.lit(None).cast("struct<rule: string, verdict: string>"))
-    return out.withColumn("__found", found).withColumns({"rule": F.col("__found.rule"), "verdict": F.col("__found.verdict")}).drop("__found")
+    name = free_name("found", pages)
+    return out.withColumn(name, found).withColumns({"rule": F.col(f"{name}.rule"), "verdict": F.col(f"{name}.verdict")}).drop(name)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -97,44 +100,69 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 class UrlModel:
-    """Trees trained on at most MAX_TRAINING labelled URLs, with the suffix statistics of all."""
+    """Trees trained on at most MAX_TRAINING labelled URLs, with suffix statistics of all of them.
+
+    A labelled URL is trained with the shares of the other folds, so that its own label is
+    in none of its features; URLs that are judged get the shares of all folds.
+    """
 
     def __init__(self, labelled: DataFrame, url: str = "url") -> None:
         """labelled: url, host, path and verdict (allow or block; null rows take no part). One verdict alone is given to all, allow without any."""
         from pyspark.ml.classification import GBTClassifier
 
         rows = labelled.where(F.col("verdict").isin("allow", "block"))
-        rows = rows.select(F.coalesce(url, F.lit("")).alias(url), "host", "path", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
-        rows = written(rows, "labelled_urls")
+        rows = rows.select(F.coalesce(url, F.lit("")).alias("url"), "host", "path", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
+        rows = written(rows.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(FOLDS)).cast("int")), "labelled_urls")
         n, blocked = rows.agg(F.count("*"), F.sum("label")).first()
         self.constant = None if n and 0 < blocked < n else "block" if n and blocked else "allow"
         self.statistics: dict[str, DataFrame] = {}
         if self.constant is None:
             self.share = blocked / n
-            every = with_features(rows, url)
+            every = with_features(rows)
+            training = least_hashed(rows, ["url", "label"], MAX_TRAINING, n)
+            training = written(with_features(training), "training_urls")
             for s in SUFFIXES:
-                stat = ((F.sum("label") + PRIOR * self.share) / (F.count("*") + PRIOR)).alias(f"{s}_share")
-                found = written(every.groupBy(s).agg(stat), "suffix_statistics")
-                self.statistics[s] = F.broadcast(found) if found.count() <= BROADCAST else found
-            rows = least_hashed(rows, [url, "label"], MAX_TRAINING, n)
-            rows = written(with_features(rows, url), "training_urls")
-            self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, checkpointInterval=-1).fit(self._vectors(rows))
-
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
+                by_fold = written(every.groupBy(s, "fold").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), "suffix_folds")
+                found = written(by_fold.groupBy(s).agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")), "suffix_statistics")
+                self.statistics[s] = _bounded(found.select(s, self._share("blocked", "n").alias(f"{s}_share")), found.count())
+                others = by_fold.join(found.withColumnsRenamed({"blocked": "all_blocked", "n": "all_n"}), s)
+                others = others.select(s, "fold", self._share("all_blocked - blocked", "all_n - n").alias(f"{s}_share"))
+                training = training.join(_bounded(others, by_fold.count()), [s, "fold"], "left").fillna(self.share, [f"{s}_share"])
+            training = written(_vectors(training).select("features", "label", "fold"), "training_vectors")
+            self.fitted = lambda r: GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, checkpointInterval=-1).fit(r)
+            self.training, self.model = training, self.fitted(training)
+
+    def _share(self, blocked: str, n: str) -> Column:
+        return (F.expr(blocked) + PRIOR * self.share) / (F.expr(n) + PRIOR)
+
+    def held_out_accuracy(self, fold: int = 0) -> tuple[float, float]:
+        """The share of one fold's training URLs that trees of the other folds judge as labelled, and that of its more frequent label."""
+        model, rest = self.fitted(self.training.where(F.col("fold") != fold)), self.training.where(F.col("fold") == fold)
+        right = (F.col("prediction") == F.col("label")).cast("double")
+        found, mean = model.transform(rest).agg(F.avg(right), F.avg("label")).first()
+        return found, max(mean, 1 - mean)
+
+    def verdicts(self, pages: DataFrame, name: str, url: str = "url") -> DataFrame:
+        """pages (with host and path) with the column `name`: allow or block; the other columns and rows as they are."""
+        if self.constant is not None:
+            return pages.withColumn(name, F.lit(self.constant))
+        packed = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("own"), F.col(url).alias("url"), "host", "path")
+        rows = with_features(packed)
         for s in SUFFIXES:
             rows = rows.join(self.statistics[s], s, "left").fillna(self.share, [f"{s}_share"])
-        return VectorAssembler(inputCols=[*LEXICAL, *(f"{s}_share" for s in SUFFIXES)], outputCol="features").transform(rows)
+        out = self.model.transform(_vectors(rows))
+        return out.select("own.*", F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias(name))
 
-    def verdicts(self, pages: DataFrame, url: str = "url") -> DataFrame:
-        """pages (with host and path) with `judged`: allow or block; the other columns and rows as they are."""
-        if self.constant is not None:
-            return pages.withColumn("judged", F.lit(self.constant))
-        own = pages.columns
-        packed = pages.select(F.struct(*own).alias("__own"), F.col(url).alias(url), "host", "path")
-        out = self.model.transform(self._vectors(with_features(packed, url)))
-        return out.select("__own.*", F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias("judged"))
+
+def _bounded(table: DataFrame, n: int) -> DataFrame:
+    """A table of n suffixes, to be broadcast if they are few."""
+    return F.broadcast(table) if n <= BROADCAST else table
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=[*LEXICAL, *(f"{s}_share" for s in SUFFIXES)], outputCol="features").transform(rows)
 
 
 def judged(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, url: str = "url") -> DataFrame:
@@ -142,12 +170,13 @@ def judged(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = Non
 
     labelled: (url, verdict); without it the URLs that a rule decides are the labelled
     ones. Null and malformed URLs have an empty host and path and are judged by the
-    trees; repeated rows stay; no rows give no rows.
+    trees; repeated rows stay; no rows give no rows. Columns named as the new ones are
+    replaced; any others pass through, whatever their names.
     """
     found = with_rules(pages, rules, url)
     if labelled is None:
-        labelled = found
+        labelled = found.select(F.col(url).alias("url"), "host", "path", "verdict")
     else:
-        labelled = labelled.withColumns({"host": host_of(url), "path": path_of(url)})
-    model = UrlModel(labelled, url)
-    return model.verdicts(found, url).withColumn("verdict", F.coalesce("verdict", "judged")).drop("judged")
+        labelled = labelled.select(F.col(url).alias("url"), "verdict").withColumns({"host": host_of("url"), "path": path_of("url")})
+    name = free_name("judged", found)
+    return UrlModel(labelled).verdicts(found, name, url).withColumn("verdict", F.coalesce("verdict", name)).drop(name)
