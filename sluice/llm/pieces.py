@@ -3,10 +3,11 @@
 A model file is a protobuf: its pieces with scores and types, the trainer's model
 type and the normaliser's settings are read from it, and an equal tokenizer is
 built: normaliser, metaspace marker, unigram scores or merges in score order, and
-byte fallback. No piece has a marker behind another character, so that a text's
-pieces are those of its chunks (a run of markers and what follows it); each worker
-encodes a distinct chunk once, in batches on all threads, and verifies it against
-the SentencePiece library.
+byte fallback. Its ids are the result. No piece has a marker behind another
+character, so that a text's pieces are those of its chunks (a run of markers and
+what follows it); each worker encodes a distinct chunk once, in batches on all its
+threads. Beside that every chunk is verified against the SentencePiece library, and
+`parity` says whether all chunks of a text agree.
 """
 
 from __future__ import annotations
@@ -93,8 +94,9 @@ class PieceModel:
         else:
             ids = {p: i for i, (p, _, kind) in enumerate(self.pieces)}
             joinable = {p for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED)}
-            merges = [(-s, ids[p[:i]], ids[p[i:]], p[:i], p[i:]) for p, s, kind in self.pieces if kind == NORMAL for i in range(1, len(p)) if p[:i] in joinable and p[i:] in joinable]
-            model = models.BPE(ids, [m[3:] for m in sorted(merges)], unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+            # Pieces of equal score are joined from the left, as long as they can be: the longer left part goes first.
+            merges = [(-s, -i, ids[p[:i]], ids[p[i:]], p[:i], p[i:]) for p, s, kind in self.pieces if kind == NORMAL for i in range(1, len(p)) if p[:i] in joinable and p[i:] in joinable]
+            model = models.BPE(ids, [m[4:] for m in sorted(merges)], unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         out = Tokenizer(model)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
@@ -116,10 +118,6 @@ class PieceModel:
         """Chunks can be encoded apart: the normaliser only marks spaces and puts one in front."""
         return self.chunked and self.dummy_prefix and not self.squeeze and not self.charsmap
 
-    def piece_bytes(self) -> list[bytes]:
-        """What each id decodes to."""
-        return [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() if kind != UNKNOWN else b" \xe2\x81\x87 " for p, _, kind in self.pieces]
-
 
 class PieceCodec:
     """Encodes and decodes with a model file; it lives as long as a worker."""
@@ -133,20 +131,15 @@ class PieceCodec:
             self.model = PieceModel(f.read())
         self.tokenizer, self.threads = self.model.tokenizer(), int(os.environ.get("OMP_NUM_THREADS", "1"))
         self.check = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bad: set[str] = set()  # chunks that the two libraries encode differently
-        self.bytes, self.known, self.apart = self.model.piece_bytes(), Remembered(CACHE_CHUNKS), self.model.plain()
+        self.known, self.apart = Remembered(CACHE_CHUNKS), self.model.plain()
         self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
-        # as the SentencePiece library encodes a lone space: two markers, less the one it puts in front
-        self.mark = [i for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's begin (and the last end), and whether both libraries have the same for it; if not, the SentencePiece library's are taken."""
+        """All ids, where each text's begin (and the last end), and whether the SentencePiece library has the same for it."""
         texts = column.cast(pa.string()).fill_null("")
         if not self.apart:
-            rows = texts.to_pylist()
-            own, want = self.tokenizer.encode_batch_fast(rows, add_special_tokens=False), self._check(rows)
-            ids = [array("I", x).tobytes() for x in want]
-            return *gathered(ids, np.arange(len(ids)), np.arange(len(ids) + 1)), np.array([e.ids == x for e, x in zip(own, want)], bool)
+            made = self._encoded(rows := texts.to_pylist(), rows)
+            return *gathered([x for x, _ in made], np.arange(len(made)), np.arange(len(made) + 1)), np.array([same for _, same in made], bool)
         # a text's chunks are what its markers part; only where markers run on are chunks not simply words
         runs = pc.match_substring_regex(pc.replace_substring(texts, MARK, " "), "^ |  | $").to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")
@@ -168,44 +161,47 @@ class PieceCodec:
             sizes = np.where(empty, 0, np.diff(at))
             number, at = number[~np.repeat(empty, np.diff(at))], np.concatenate([[0], np.cumsum(sizes)])
         known = self.known.of([distinct], self._new)
-        ids, ends = gathered([known[c] for c in distinct], number, at)
+        ids, ends = gathered([known[c][0] for c in distinct], number, at)
         same = np.ones(len(texts), bool)
-        if not self.bad.isdisjoint(distinct):
-            wrong = np.array([c in self.bad for c in distinct])[number]
-            same = np.diff(np.concatenate([[0], np.cumsum(wrong)])[at]) == 0
+        wrong = np.array([not known[c][1] for c in distinct], bool)
+        if wrong.any():
+            same = np.diff(np.concatenate([[0], np.cumsum(wrong[number])])[at]) == 0
         return ids, ends, same
 
     def _check(self, texts: list[str]) -> list[list[int]]:
         return self.check.encode(texts, num_threads=self.threads)
 
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of new chunks. Those of one marker go as texts of many; their first ids tell them apart."""
-        found: dict[str, list[int]] = {"": self.mark}  # a lone marker, at the end of a text, is the empty chunk
+    def _encoded(self, chunks: list[str], as_checked: list[str]) -> list[tuple[bytes, bool]]:
+        """Packed ids of each chunk, and whether the SentencePiece library has the same for its form in as_checked."""
+        out = []
+        for i in range(0, len(chunks), AT_ONCE):
+            own = self.tokenizer.encode_batch_fast(chunks[i : i + AT_ONCE], add_special_tokens=False)
+            out += [(array("I", e.ids).tobytes(), e.ids == want) for e, want in zip(own, self._check(as_checked[i : i + AT_ONCE]))]
+        return out
+
+    def _new(self, chunks: list[str]) -> list[tuple[bytes, bool]]:
+        """Packed ids and parity of new chunks. Those of one marker go as texts of many; their first ids tell them apart."""
+        found: dict[str, tuple[bytes, bool]] = {}
         single = [c for c in chunks if c and not c.startswith(MARK)]
         for i in range(0, len(single), AT_ONCE):
             groups = [single[k : k + GROUP] for k in range(i, min(i + AT_ONCE, len(single)), GROUP)]
             texts = [" ".join(g) for g in groups]
             own = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for group, e, want in zip(groups, own, self._check(texts)):
-                first = np.flatnonzero(self.marked[want]).tolist()
+                first = np.flatnonzero(self.marked[e.ids]).tolist()
                 if e.ids == want and len(first) == len(group):
-                    found.update(zip(group, (want[a:b] for a, b in zip(first, [*first[1:], None]))))
-        rest = [c for c in chunks if c not in found]
-        for i in range(0, len(rest), AT_ONCE):
-            part = rest[i : i + AT_ONCE]
-            own = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for c, e, want in zip(part, own, self._check([c.replace(MARK, " ") for c in part])):
-                found[c] = want
-                if e.ids != want:
-                    self.bad.add(c)
-        return [array("I", found[c]).tobytes() for c in chunks]
+                    found.update(zip(group, ((array("I", e.ids[a:b]).tobytes(), True) for a, b in zip(first, [*first[1:], None]))))
+        rest = [c for c in chunks if c not in found and c]
+        found.update(zip(rest, self._encoded(rest, [c.replace(MARK, " ") for c in rest])))
+        if "" in chunks:  # a lone marker, at the end of a text: that of a letter and a space, less the letter
+            alone, own = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "a "))
+            found[""] = array("I", own[len(alone) :]).tobytes(), own == self._check(["a "])[0]
+        return [found[c] for c in chunks]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
-        """The texts of runs of ids."""
-        table, at = self.bytes, at.tolist()
-        parts = [table[i] for i in ids.tolist()]
-        texts = [b"".join(parts[a:b]).decode("utf-8", "replace") for a, b in zip(at, at[1:])]
-        return [t[1:] if t.startswith(" ") else t for t in texts] if self.model.dummy_prefix else texts
+        """The texts of runs of ids, by the rebuilt decoder."""
+        ids, at = ids.tolist(), at.tolist()
+        return self.tokenizer.decode_batch([ids[a:b] for a, b in zip(at, at[1:])], skip_special_tokens=False)
 
 
 def _joined(words: list[str]) -> list[str]:
@@ -237,6 +233,8 @@ ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_
 def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = False) -> DataFrame:
     """docs with ids, n_tokens and parity (the SentencePiece library gives the same ids) in place of the text.
 
+    The ids are the rebuilt tokenizer's, whatever the library says.
+
     verify adds round_trip: the ids, decoded, give the text again, with the marker
     itself as a space. It is done in the same pass, so that a task has one worker.
 

@@ -25,7 +25,7 @@ from sluice.llm.common import Remembered, add_columns, gathered, packed_sizes, s
 #: Words that one Python worker remembers, twice over.
 CACHE_WORDS = 250_000
 #: Bytes of text that are encoded at a time.
-SLICE = 12 << 20
+SLICE = 4 << 20
 #: Ids are written in this form.
 ID = np.dtype("<u4")
 
@@ -129,7 +129,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def with_suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
+def with_suffix_sums(histogram: DataFrame, block: int = 64) -> DataFrame:
     """The histogram with what every context limit asks for, one row per distinct length.
 
     docs_at_least, tokens_at_least: texts of at least n_tokens, and their tokens.
