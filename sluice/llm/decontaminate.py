@@ -1,159 +1,84 @@
-"""Benchmark decontamination with a generalised suffix automaton of the test items.
+"""Benchmark decontamination with generalised suffix automata of the test items.
 
 Items and documents are read as words: A-Z lower-cased, then maximal runs of
-ASCII letters and digits and of non-ASCII characters. The automaton has every word
-sequence that occurs in an item. A document's words are streamed through it: after
+ASCII letters and digits and of non-ASCII characters. An automaton has every word
+sequence that occurs in its items. Documents' words are streamed through it: after
 each word it holds the longest sequence that ends there and occurs in an item.
+
+Tasks build the automata, each from about ITEM_BYTES of items, and write them to the
+shared folder. Spark brings the files to the executors, where tasks match a batch with
+one after the other: one pass over the documents, whatever the number of automata.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import add_columns, written
-
-#: An automaton is built from items of about so many bytes; more items make more automata.
-ITEM_BYTES = 4 << 20
-
-_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Lower-cases A-Z and turns every other ASCII character but a-z and 0-9 into a space.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+from sluice.llm.automaton import FOLD, Automaton, built, packed
+from sluice.llm.common import add_columns, new_path, utf8, words_of
 
+#: An automaton is built from items of about so many bytes; its arrays have some ten times as many.
+ITEM_BYTES = 1 << 20
+#: Automata that a worker holds at most.
+HELD = 3
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
 
+def automata(items: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> list[str]:
+    """Build automata over all items and bring them to the executors; the names of their files.
 
-class ItemAutomaton:
-    """All word sequences of the items, with the items of each window.
-
-    A window is `window` consecutive words of an item; an item of fewer words is one
-    window as a whole, and an item without words has none.
-    """
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        self.window, self.ids = window, {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.of_window: dict[int, set[str]] = {}
-        self.of_short: dict[int, tuple[int, set[str]]] = {}
-        sequences = [(name, [self.ids.setdefault(w, len(self.ids)) for w in words(text)]) for name, text in items]
-        for _, seq in sequences:
-            last = 0
-            for w in seq:
-                last = self._extend(last, w)
-        for name, seq in sequences:
-            state = length = 0
-            for w in seq:
-                state, length = self.next[state][w], length + 1
-                if length >= window:
-                    self.of_window.setdefault(self.holds(state, window), set()).add(name)
-            if 0 < len(seq) < window:
-                self.of_short.setdefault(state := self.holds(state, len(seq)), (len(seq), set()))[1].add(name)
-        self.least = min([window, *(n for n, _ in self.of_short.values())])
-
-    def _extend(self, last: int, w: int) -> int:
-        if w in self.next[last]:
-            q = self.next[last][w]
-            return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
-        new = self._state(self.length[last] + 1)
-        p = last
-        while p != -1 and w not in self.next[p]:
-            self.next[p][w] = new
-            p = self.link[p]
-        if p == -1:
-            self.link[new] = 0
-        else:
-            q = self.next[p][w]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
-        return new
-
-    def _state(self, length: int) -> int:
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(length)
-        return len(self.next) - 1
-
-    def _clone(self, p: int, w: int, q: int) -> int:
-        new = self._state(self.length[p] + 1)
-        self.next[new] = dict(self.next[q])
-        self.link[new] = self.link[q]
-        self.link[q] = new
-        while p != -1 and self.next[p].get(w) == q:
-            self.next[p][w] = new
-            p = self.link[p]
-        return new
-
-    def holds(self, state: int, length: int) -> int:
-        """The state of the last `length` words of a sequence that ends in `state`."""
-        while self.length[self.link[state]] >= length:
-            state = self.link[state]
-        return state
-
-    def match(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """Number of words, the spans of words (disjoint, ascending) inside windows, and the items of these windows."""
-        known = self.ids.get
-        return self.match_ids([known(w) for w in words(text)])
-
-    def match_ids(self, ids: list) -> tuple[int, list[tuple[int, int]], set[str]]:
-        steps, link, lengths, window, least = self.next, self.link, self.length, self.window, self.least
-        spans: list[list[int]] = []
-        items: set[str] = set()
-        state = length = 0
-        for i, w in enumerate(ids):
-            if w is None:
-                state = length = 0
-                continue
-            to = steps[state].get(w)
-            if to is None:
-                while to is None:  # every known word leaves the root
-                    state = link[state]
-                    to = steps[state].get(w)
-                length = lengths[state] + 1
-            else:
-                length += 1
-            state = to
-            if length < least:
-                continue
-            reach = 0
-            if length >= window:
-                reach = length
-                items |= self.of_window[self.holds(state, window)]
-            if self.of_short:
-                at = state
-                while at > 0:
-                    n, names = self.of_short.get(at, (0, ()))
-                    if 0 < n <= length:
-                        reach = max(reach, n)
-                        items.update(names)
-                    at = link[at]
-            if reach:
-                a = i + 1 - reach
-                while spans and spans[-1][1] >= a:
-                    a = min(a, spans.pop()[0])
-                spans.append([a, i + 1])
-        return len(ids), [(a, b) for a, b in spans], items
-
-
-def automata(items: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> Iterator[ItemAutomaton]:
-    """Automata over all items, each from about ITEM_BYTES of them, which is what the driver holds at a time.
-
-    Items without an id or text take no part.
+    Items without text have no windows; an item without an id has windows, but no id to
+    be listed. What passes the driver is their number and names.
     """
-    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.encode(text, "UTF-8").alias("text"))
-    total = rows.agg(F.sum(F.length("text") + 8)).first()[0] or 0
+    spark = items.sparkSession
+    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.encode(text, "UTF-8").alias("text"))
+    total = rows.agg(F.sum(F.length("text") + 8)).first()[0]
+    if not total:
+        return []
     parts = -(-total // ITEM_BYTES)
-    for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield ItemAutomaton([(r.item_id, bytes(r.text)) for r in part.toLocalIterator()], window)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([packed(built(own, window))], pa.binary())], ["automaton"])
+        for batch in batches:
+            for part, name, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "item_id", "text"))):
+                if part != now and own:
+                    yield done()
+                    own = []
+                now = part
+                own.append((name, raw))
+        if own:
+            yield done()
+
+    path = new_path(spark, "automata")
+    made = rows.repartition("part").sortWithinPartitions("part").mapInArrow(build, "automaton binary")
+    made.write.options(compression="none", maxRecordsPerFile="1").parquet(path)
+    files = spark.read.schema("automaton binary").parquet(path).inputFiles()
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return sorted(f.rsplit("/", 1)[1] for f in files)
+
+
+_held: OrderedDict[str, Automaton] = OrderedDict()
+
+
+def _automaton(name: str) -> Automaton:
+    """The automaton of a file that the executor has; the worker holds those it used last."""
+    if name not in _held:
+        while len(_held) >= HELD:
+            _held.popitem(last=False)
+        _held[name] = Automaton(pq.read_table(SparkFiles.get(name)).column(0)[0].as_py())
+    _held.move_to_end(name)
+    return _held[name]
 
 
 FOUND = T.StructType(
@@ -176,61 +101,63 @@ def with_hits(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "
 
 
 def _searched(docs: DataFrame, items: DataFrame, window: int, text: str, cut: bool) -> DataFrame:
-    """with_hits, one pass for each automaton; `cut` takes the hit words out of the text in the last one."""
-    spark, out, first = docs.sparkSession, docs, True
-    coming = automata(items, window)
-    automaton = next(coming, None) or ItemAutomaton([], window)
-    while automaton:
-        after = next(coming, None)
-        fields = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut and not after else [])]
-        out = add_columns(out, fields, _matcher(spark.sparkContext.broadcast(automaton), text, merge=not first, cut=cut and not after))
-        out, automaton, first = written(out, "hits") if after else out, after, False
-    return out
-
-
-def _matcher(held, text: str, merge: bool, cut: bool):
-    def make():
-        automaton = held.value
-
-        def match(batch: pa.RecordBatch) -> list[pa.Array]:
-            n_words, spans, names, left = [], [], [], []
-            before = [(s.as_py(), n.as_py()) for s, n in zip(batch.column("hit_spans"), batch.column("hit_items"))] if merge else None
-            for i, t in enumerate(batch.column(text).cast(pa.large_binary()).to_pylist()):
-                n, found, items = automaton.match(t or b"")
-                if merge:
-                    found = _united([*found, *((s["a"], s["b"]) for s in before[i][0])])
-                    items = items | set(before[i][1])
-                n_words.append(n)
-                spans.append([{"a": a, "b": b} for a, b in found])
-                names.append(sorted(items))
-                if cut:
-                    left.append(_cut(t, found) if found else t)
-            out = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(names, pa.list_(pa.string()))]
-            return [*out, pa.array(left, pa.large_binary()).cast(pa.large_string())] if cut else out
-
-        return match
-
-    return make
-
-
-def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without what goes from the first to the last word of each span."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    kept, done = [], 0
-    for a, b in spans:
-        kept.append(text[done : at[a][0]])
-        done = at[b - 1][1]
-    return b"".join([*kept, text[done:]])
-
-
-def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    """with_hits; `cut` takes the hit words out of the text."""
+    files = automata(items, window)
+    fields = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut else [])]
+    return add_columns(docs, fields, lambda: lambda batch: _matched(batch.column(text), files, cut))
+
+
+def _matched(column: pa.Array, files: list[str], cut: bool) -> list[pa.Array]:
+    raw, offsets = utf8(column)
+    folded = FOLD[raw]
+    starts, ends, row = words_of(folded, offsets)
+    n = len(offsets) - 1
+    covers = np.zeros(len(starts) + 1, np.int64)
+    names: dict[int, set[str | None]] = {}
+    if files and len(starts):
+        at = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=at[1:])
+        solid = pa.py_buffer(folded[folded != 32])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), solid]).dictionary_encode()
+        number = np.asarray(words.indices)
+        for name in files:
+            automaton = _automaton(name)
+            end, size, mark = automaton.found(words.dictionary, number, row)
+            np.add.at(covers, end - size + 1, 1)
+            np.add.at(covers, end + 1, -1)
+            pairs = np.unique(row[end] * len(automaton.a["marked"]) + mark)
+            who, item = automaton.items_of(pairs % max(len(automaton.a["marked"]), 1))
+            pairs = np.unique((pairs // max(len(automaton.a["marked"]), 1))[who] * len(automaton.names) + item)
+            item = pairs % max(len(automaton.names), 1)
+            given = zip((pairs // max(len(automaton.names), 1)).tolist(), automaton.names.take(pa.array(item)).to_pylist(), automaton.a["nameless"][item].tolist())
+            for r, own, nameless in given:
+                names.setdefault(r, set()).add(None if nameless else own)
+    hit = np.zeros(len(starts) + 2, bool)
+    hit[1:-1] = np.cumsum(covers[:-1]) > 0
+    same = np.ones(len(starts) + 1, bool)  # the word is of the row of the one before
+    same[1:-1] = row[1:] == row[:-1]
+    a = np.flatnonzero(hit[1:-1] & (~hit[:-2] | ~same[:-1]))
+    b = np.flatnonzero(hit[1:-1] & (~hit[2:] | ~same[1:])) + 1
+    words_before = np.searchsorted(row, np.arange(n + 1))
+    of = row[a]
+    spans = pa.StructArray.from_arrays([pa.array((x - words_before[of]).astype(np.int32)) for x in (a, b)], ["a", "b"])
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), spans)
+    listed = [sorted(x for x in names[r] if x is not None) + [None] * (None in names[r]) if r in names else [] for r in range(n)]
+    out = [pa.array(np.diff(words_before), pa.int64()), spans, pa.array(listed, pa.list_(pa.string()))]
+    return [*out, _cut(column, raw, offsets, of, starts[a], ends[b - 1])] if cut else out
+
+
+def _cut(column: pa.Array, raw: np.ndarray, offsets: np.ndarray, of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts without their bytes from begin to end; of: their rows. A null stays."""
+    gone = np.zeros(len(raw) + 1, np.int8)
+    gone[begin] += 1
+    gone[end] -= 1
+    kept = np.cumsum(gone[:-1], dtype=np.int8) == 0
+    left = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(kept, out=left[1:])
+    null = np.packbits(np.asarray(column.is_valid()), bitorder="little")
+    buffers = [pa.py_buffer(null), pa.py_buffer(left[offsets]), pa.py_buffer(raw[kept])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), buffers).cast(pa.large_string())
 
 
 def n_hit(spans: str = "hit_spans") -> Column:

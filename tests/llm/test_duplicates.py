@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA, rows
@@ -208,9 +209,9 @@ def hits_brute(docs, items, width):
     windows = {}
     for name, t in items:
         w = split(t)
-        if name is not None and w:
+        if w:
             for k in [tuple(w[i : i + width]) for i in range(len(w) - width + 1)] or [tuple(w)]:
-                windows.setdefault(k, set()).add(str(name))
+                windows.setdefault(k, set()).add(name if name is None else str(name))
     out = []
     for d, t in docs:
         w = split(t)
@@ -220,7 +221,7 @@ def hits_brute(docs, items, width):
                 if (k := tuple(w[i : i + n])) in windows:
                     hit[i : i + n] = [True] * n
                     names |= windows[k]
-        out.append((d, len(w), sum(hit), sorted(names)))
+        out.append((d, len(w), sum(hit), sorted(names - {None}) + [None] * (None in names)))
     return sorted(out, key=str)
 
 
@@ -237,6 +238,29 @@ def test_hits(spark, monkeypatch, width, item_bytes):
     assert none.where(F.size("hit_spans") > 0).count() == 0 and none.count() == len(docs)
 
 
+def test_long_and_repetitive_items(spark):
+    """Linear in equal words, small in memory, and matched as short ones are."""
+    import time
+
+    from sluice.llm import automaton
+
+    began = time.perf_counter()
+    arrays = automaton.built([("same", b"w " * 20_000)], 10)
+    assert time.perf_counter() - began < 1
+    assert len(automaton.packed(arrays)) < 3_000_000
+    began = time.perf_counter()
+    found = automaton.Automaton(automaton.packed(arrays)).found(pa.array([b"w"], pa.large_binary()), np.zeros(20_000, np.int64), np.zeros(20_000, np.int64))
+    assert time.perf_counter() - began < 1 and len(set(found[0].tolist())) == 20_000 - 9
+    rng = np.random.default_rng(2)
+    words = np.array([f"v{i}" for i in range(5_000)])
+    items = [(i, " ".join(rng.choice(words, 2_000))) for i in range(40)]
+    docs = [(i, " ".join(rng.choice(words, 50)) + " " + " ".join(items[i][1].split()[i : i + 300]) + " end") for i in range(40)]
+    assert max(len(automaton.packed(automaton.built([(str(n), t.encode())], 10))) / len(t) for n, t in items) < 25
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.with_hits(d, i, 10).select("doc_id", "n_words", decontaminate.n_hit().alias("n"), "hit_items")
+    assert rows(got) == hits_brute(docs, items, 10)
+
+
 def test_hits_are_cut(spark):
     item = "alpha beta gamma delta epsilon"
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
