@@ -62,10 +62,10 @@ def automata(items: DataFrame, window: int, item_id: str = "item_id", text: str
     path = new_path(spark, "automata")
     made = rows.repartition("part").sortWithinPartitions("part").mapInArrow(build, "automaton binary")
     made.write.options(compression="none", maxRecordsPerFile="1").parquet(path)
-    files = spark.read.schema("automaton binary").parquet(path).inputFiles()
+    files = sorted(r[0] for r in spark.read.schema("automaton binary").parquet(path).select("_metadata.file_path").collect())  # those with a row
     for f in files:
         spark.sparkContext.addFile(f)
-    return sorted(f.rsplit("/", 1)[1] for f in files)
+    return [f.rsplit("/", 1)[1] for f in files]
 
 
 _held: OrderedDict[str, Automaton] = OrderedDict()
