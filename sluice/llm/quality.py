@@ -13,19 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import add_columns, utf8, words_of, word_hashes, written
+from sluice.llm.common import add_columns, summed, utf8, words_of, word_hashes, written
 
 #: Random features, their seed, ridge penalty per row, and bins of the calibration.
 FEATURES, SEED, RIDGE, BINS = 256, 20, 1e-3, 512
 #: Bytes of text that are looked at at a time.
 SLICE = 1 << 20
-#: Partial sums meet in so many groups before the last one.
-GROUPS = 16
 
 _KIND = np.zeros(256, np.int64)  # 0 other
 _KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
@@ -135,31 +132,6 @@ def _stats_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(values.flatten()).reshape(len(values), -1)
 
 
-def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
-    """The sum over all rows of part(batch), an array of `size` doubles.
-
-    Each task sends one array; they are added group-wise, then together.
-    """
-
-    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, slot = np.zeros(size), TaskContext.get().partitionId() % GROUPS
-        for batch in batches:
-            if batch.num_rows:
-                total += part(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()])], ["slot", "total"])
-
-    def of_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for batch in batches:
-            for x in batch.column("total").to_pylist():
-                total += np.frombuffer(x)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()])], ["slot", "total"])
-
-    ddl = "slot int, total binary"
-    sums = rows.mapInArrow(of_task, ddl).repartition(GROUPS, "slot").mapInArrow(of_group, ddl).coalesce(1).mapInArrow(of_group, ddl)
-    return np.frombuffer(sums.first().total)
-
-
 def _pooled(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The non-decreasing means nearest to y / n with weights n (pool adjacent violators)."""
     blocks: list[list[float]] = []
@@ -185,7 +157,7 @@ def fit(train: DataFrame) -> Model:
         y = np.asarray(batch.column("label"))
         return np.concatenate([[len(x), y.sum()], x.sum(0), (x**2).sum(0)])
 
-    m = _summed(rows, moments, 2 + 2 * d)
+    m = summed(rows, moments, 2 + 2 * d)
     if not m[0]:
         return Model(np.zeros(d), np.ones(d), np.zeros(k), np.array([0.0]), np.array([0.5]))
     mean = m[2 : 2 + d] / m[0]
@@ -197,7 +169,7 @@ def fit(train: DataFrame) -> Model:
         z, y = features(_stats_of(batch)[of], mean, scale), np.asarray(batch.column("label"))[of]
         return np.concatenate([(z.T @ z).ravel(), z.T @ y, [len(y)]])
 
-    e = _summed(rows, equations, k * k + k + 1)
+    e = summed(rows, equations, k * k + k + 1)
     penalty = RIDGE * max(e[-1], 1) * np.eye(k) / FEATURES
     penalty[-1, -1] = 1e-9
     weights = np.linalg.solve(e[: k * k].reshape(k, k) + penalty, e[k * k : -1])
@@ -210,7 +182,7 @@ def fit(train: DataFrame) -> Model:
         at = np.searchsorted(edges, raw)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS), np.bincount(at, raw, BINS)])
 
-    n, y, raw = _summed(rows, binned, 3 * BINS).reshape(3, BINS)
+    n, y, raw = summed(rows, binned, 3 * BINS).reshape(3, BINS)
     full = n > 0
     if e[-1] and full.any():
         model.at, model.value = raw[full] / n[full], _pooled(y[full], n[full])

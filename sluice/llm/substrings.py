@@ -1,17 +1,18 @@
 """Repeated word windows through super-k-mer partitioning.
 
-A window is `width` consecutive words. Its minimiser is the word of it that comes
-first in an order by length, long words first, and then by hash: frequent words are
-short, so that no partition gets what contains one of them. Consecutive windows of a text that share
-their minimiser travel as one packed string (the words they span) to the
-minimiser's partition, so that equal windows of all texts meet there although
-each word of a 13-word window travels less than three times. There the windows are sorted and
-each learns the first document that has it.
+A window is `width` consecutive words. Its minimiser is its rarest word, by how often
+the words of a hash bucket stand in all texts (ties by hash), so that a word in every
+document gathers nothing but what is made of such words. Consecutive windows of a text
+that share their minimiser travel as one packed string (the words they span, one space
+between) to the minimiser's partition, so that equal windows of all texts meet there
+although each word of a 13-word window travels less than three times. There the windows
+are sorted, compared word by word, and each learns the first document that has it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import ODD, ODD2, add_columns, mixed, range_sums, slices, utf8, word_hashes, words_of, written
+from sluice.llm.common import ODD, SPACE, add_columns, mixed, range_sums, slices, summed, utf8, word_hashes, words_of, written
 
-#: Lengths of words, in bytes, fall in classes of STEP up to the longest one.
-STEP, CLASSES = 2, 16
+#: Words are counted in 2 ** BITS buckets of their hash; so many classes of rarity for each doubling.
+BITS, FINE = 15, 4
+#: Windows that a minimiser may have; the windows of one whose bucket could have more are dealt by their second rarest word too.
+GROUP_WINDOWS = 2 << 20
+#: Where the rarest word of a window is of a bucket with over this share of all words, windows are dealt one by one.
+HOT_SHARE = 1 / 64
 #: A super-k-mer has at most so many windows; a longer run of one minimiser goes in pieces.
 MOST_WINDOWS = 64
 #: Pairs of an occurrence and a window that are looked at at a time.
@@ -38,6 +43,32 @@ KEY = "__row_key"
 SPANS, DOC, MAYBE = "__spans", "__doc_id", "__maybe"
 
 
+@dataclass
+class WordCounts:
+    """What is known of the words of each bucket; its size is fixed."""
+
+    rarity: np.ndarray  # class, 0 for the rarest
+    groups: np.ndarray  # that the windows of a minimiser are dealt to
+    hot: int  # the least class whose windows are dealt one by one
+
+
+def word_counts(rows: DataFrame, width: int) -> WordCounts:
+    """Counts of all words of the texts of (.., text, ..), by bucket."""
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros(1 << BITS)
+        for part in slices(batch, SLICE):
+            raw, offsets = utf8(part.column(0))
+            starts, ends, _ = words_of(raw, offsets)
+            total += np.bincount((word_hashes(raw, starts, ends) >> np.uint64(64 - BITS)).view(np.int64), minlength=1 << BITS)
+        return total
+
+    n = summed(rows.select("text"), count, 1 << BITS)
+    rarity = lambda x: np.minimum(np.log2(x + 1) * FINE, 254).astype(np.uint8)
+    groups = np.clip(np.ceil(n * width / GROUP_WINDOWS), 1, 1 << 30).astype(np.int64)
+    return WordCounts(rarity(n), groups, int(rarity(n.sum() * HOT_SHARE)) + 1)
+
+
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive values."""
     width = 1
@@ -47,18 +78,18 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
-def _super_kmers(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Of the rows' texts: minimiser, first byte, end byte, row, first word (within its row) of each super-k-mer."""
-    none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+def _super_kmers(raw: np.ndarray, offsets: np.ndarray, width: int, known: WordCounts) -> tuple[np.ndarray, ...]:
+    """Of the rows' texts: minimiser, first and last word (of all), row, first word (within its row) of each super-k-mer; first byte and end of each word."""
     starts, ends, row = words_of(raw, offsets)
+    none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, starts, ends)
     if len(starts) < width:
         return none
-    short = CLASSES - 1 - np.minimum((ends - starts) // STEP, CLASSES - 1)
-    least = _sliding_min(short.astype(np.uint64) << np.uint64(60) | word_hashes(raw, starts, ends) >> np.uint64(4), width)
+    h = word_hashes(raw, starts, ends)
+    order = known.rarity[(h >> np.uint64(64 - BITS)).view(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
     window = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
     if not len(window):
         return none
-    least = least[window]
+    least = _dealt(_sliding_min(order, width)[window], order, window, width, known)
     new = np.ones(len(window), bool)
     new[1:] = (least[1:] != least[:-1]) | (row[window][1:] != row[window][:-1])
     first = np.flatnonzero(new)
@@ -68,11 +99,27 @@ def _super_kmers(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
         first = np.flatnonzero(into % MOST_WINDOWS == 0)
         size = np.diff(first, append=len(window))
     word = window[first]
-    row_first = np.searchsorted(row, row[word])
-    return least[first], starts[word], ends[word + size - 1 + width - 1], row[word], word - row_first
-
-
-def _sent(width: int):
+    return least[first], word, word + size - 1 + width - 1, row[word], word - np.searchsorted(row, row[word]), starts, ends
+
+
+def _dealt(least: np.ndarray, order: np.ndarray, window: np.ndarray, width: int, known: WordCounts) -> np.ndarray:
+    """What deals each window: a number made of its minimiser; with the second rarest word, or with all words, where that alone could gather too much."""
+    rarity, out = least >> np.uint64(56), mixed(least)
+    parts = known.groups[(least << np.uint64(8) >> np.uint64(64 - BITS)).view(np.int64)]
+    some = np.flatnonzero((parts > 1) & (rarity < known.hot))
+    if len(some):
+        second = np.full(len(some), ~np.uint64(0))
+        for k in range(width):
+            word = order[window[some] + k]
+            second = np.where(word != least[some], np.minimum(second, word), second)
+        out[some] = mixed(out[some] + mixed(second) % parts[some].view(np.uint64))
+    some = np.flatnonzero(rarity >= known.hot)
+    if len(some):
+        out[some] = mixed(range_sums(mixed(order), ODD, window[some], window[some] + width))
+    return out
+
+
+def _sent(width: int, held):
     """Batches (key, doc_id, text) -> super-k-mers with who has them, one row for each distinct string of a slice.
 
     A string that many rows of a slice share is sent once with its occurrences, so
@@ -82,7 +129,7 @@ def _sent(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, SLICE):
-                yield from slices(_of_part(part, width))
+                yield from slices(_of_part(part, width, held.value))
 
     return run
 
@@ -93,11 +140,16 @@ WHO = np.dtype([("doc_id", "<i8"), ("key", "<i8"), ("word", "<i4")])
 SENT_DDL = "minimiser int, first_doc long, key long, word int, packed binary, more binary"
 
 
-def _of_part(part: pa.RecordBatch, width: int) -> pa.RecordBatch:
+def _of_part(part: pa.RecordBatch, width: int, known: WordCounts) -> pa.RecordBatch:
     raw, offsets = utf8(part.column("text"))
-    minimiser, a, b, row, word = _super_kmers(raw, offsets, width)
-    whole = raw.tobytes()
-    packed = pa.array([whole[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary()).dictionary_encode()
+    minimiser, a, b, row, word, starts, ends = _super_kmers(raw, offsets, width, known)
+    space = SPACE[raw]
+    kept = ~space
+    kept[1:] |= kept[:-1] & space[1:]  # a word, and one space behind it
+    at = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(kept, out=at[1:])
+    whole = np.where(space, np.uint8(32), raw)[kept].tobytes()
+    packed = pa.array([whole[x:y] for x, y in zip(at[starts[a]].tolist(), at[ends[b]].tolist())], pa.binary()).dictionary_encode()
     who = np.empty(len(a), WHO)
     who["doc_id"], who["key"], who["word"] = np.asarray(part.column("doc_id"))[row], np.asarray(part.column(KEY))[row], word
     number = np.asarray(packed.indices)
@@ -110,8 +162,7 @@ def _of_part(part: pa.RecordBatch, width: int) -> pa.RecordBatch:
     more = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(further.tobytes())])
     least = np.empty(len(first), np.uint64)
     least[number] = minimiser
-    # the class of lengths says little; the hash's upper bits deal and group
-    dealt = (least << np.uint64(4) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    dealt = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
     columns = [pa.array(dealt), *(pa.array(np.ascontiguousarray(first[c])) for c in WHO.names), packed.dictionary, pc.if_else(alone, pa.scalar(None, pa.binary()), more)]
     return pa.RecordBatch.from_arrays(columns, ["minimiser", "first_doc", "key", "word", "packed", "more"])
 
@@ -121,49 +172,76 @@ def _found(width: int):
 
     As rows come in order of their first document, the first row with a window has
     the window's first document, and rows leave as they come. Held over are only the
-    windows of the minimiser at a batch's end: two 64-bit hashes and a document each.
+    strings of the minimiser at the end that have a window first; rows are looked at when
+    they are as many bytes as these, so that none is sorted more than a few times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (0, np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+        held, waiting, size = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting, size
+            part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+            made, held = _of_rows(part, held, width)
+            if made is not None:
+                yield made
+
         for batch in batches:
             for part in slices(batch, SLICE):
-                minimiser = np.asarray(part.column("minimiser"))
-                raw, offsets = utf8(part.column("packed"))
-                starts, ends, row = words_of(raw, offsets)
-                h = word_hashes(raw, starts, ends)
-                window = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
-                hashes = np.stack([mixed(range_sums(mixed(h ^ salt), base, window, window + width)) for salt, base in ((ODD, ODD2), (ODD2, ODD))], axis=1)
-                of = row[window]
-                doc = np.asarray(part.column("first_doc"))[of]
-                first, held = _first_docs(minimiser, hashes, of, doc, held)
-                made = _spans(part, of, window - np.searchsorted(row, of), first, width)
-                if made is not None:
-                    yield made
+                waiting.append(part)
+                size += part.nbytes
+                if size >= max(SLICE, held.nbytes if held else 0):
+                    yield from done()
+        if waiting:
+            yield from done()
 
     return run
 
 
-def _first_docs(minimiser, hashes, of, doc, held):
-    """The first document of each window, given those that earlier batches had of the same minimiser; what to hold over."""
-    open_key, open_hashes, open_doc = held
-    if len(open_doc) and minimiser[0] != open_key:
-        open_hashes, open_doc = open_hashes[:0], open_doc[:0]
-    n = len(open_doc)
-    every, docs = np.concatenate([open_hashes, hashes]), np.concatenate([open_doc, doc])
-    order = np.argsort(every[:, 0], kind="stable")
-    now = every[order]
-    if ((now[1:, 0] == now[:-1, 0]) & (now[1:, 1] != now[:-1, 1])).any():
-        order = np.lexsort((every[:, 1], every[:, 0]))
-        now = every[order]
+OPEN = ["minimiser", "first_doc", "packed"]
+
+
+def _of_rows(part: pa.RecordBatch, held: pa.RecordBatch | None, width: int) -> tuple[pa.RecordBatch | None, pa.RecordBatch]:
+    """The spans of the rows' occurrences, and the rows (OPEN) to hold over; held: those of earlier calls."""
+    rows = part.select(OPEN)
+    if held is not None and held.num_rows and held.column("minimiser")[0] == part.column("minimiser")[0]:
+        rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+    before = rows.num_rows - part.num_rows
+    raw, offsets = utf8(rows.column("packed"))
+    starts, ends, row = words_of(raw, offsets)
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[~SPACE[raw]])])
+    word = np.asarray(words.dictionary_encode().indices)  # equal words have equal numbers, and no others
+    window = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
+    first = _first_equal(word, window, width)
+    of = row[window]
+    docs = np.asarray(rows.column("first_doc"))[of[first]]
+    minimiser = np.asarray(rows.column("minimiser"))
+    keep = np.zeros(rows.num_rows, bool)
+    keep[of[first == np.arange(len(first))]] = True
+    keep &= minimiser == minimiser[-1]
+    own = int(np.searchsorted(of, before))
+    first_word = np.searchsorted(row, of[own:])
+    return _spans(part, of[own:] - before, window[own:] - first_word, docs[own:], width), rows.filter(pa.array(keep))
+
+
+def _first_equal(word: np.ndarray, window: np.ndarray, width: int) -> np.ndarray:
+    """For each window the first one that has the same words."""
+    h = range_sums(mixed(word.astype(np.uint64) + np.uint64(1)), ODD, window, window + width)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    i, j = window[order[:-1][same]], window[order[1:][same]]
+    if not all(np.array_equal(word[i + k], word[j + k]) for k in range(width)):  # different windows of one hash
+        order = np.lexsort([word[window + k] for k in range(width)][::-1])
+        i, j = window[order[:-1]], window[order[1:]]
+        same = np.logical_and.reduce([word[i + k] == word[j + k] for k in range(width)])
     new = np.ones(len(order), bool)
-    new[1:] = (now[1:] != now[:-1]).any(axis=1)
-    least = np.empty_like(docs)
-    least[order] = docs[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    last = minimiser[-1]
-    keep = order[new]
-    keep = keep[np.where(keep >= n, minimiser[of[np.maximum(keep - n, 0)]] == last, open_key == last)] if len(of) or n else keep
-    return least[n:], (last, every[keep], docs[keep])
+    new[1:] = ~same
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return out
 
 
 def _spans(part, of, at, first, width):
@@ -222,7 +300,9 @@ def _occurrences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     """(doc_id, row key, a, b): words a to b of a row of (doc_id, row key, text) that a window of a smaller doc_id covers."""
-    sent = rows.where("doc_id is not null").select("doc_id", KEY, "text").mapInArrow(_sent(width), SENT_DDL)
+    rows = rows.where("doc_id is not null").select("doc_id", KEY, "text")
+    known = rows.sparkSession.sparkContext.broadcast(word_counts(rows, width))
+    sent = rows.mapInArrow(_sent(width, known), SENT_DDL)
     dealt = sent.repartition("minimiser").sortWithinPartitions("minimiser", "first_doc")
     return dealt.mapInArrow(_found(width), f"doc_id long, {KEY} long, a int, b int")
 

@@ -188,6 +188,50 @@ def test_repeats_in_small_slices(spark, monkeypatch):
     assert repeats(spark, data[:0], 5) == []
 
 
+@pytest.mark.parametrize("share,group", [(1 / 64, 40), (1e-9, 2 << 20), (1.0, 1), (2.0, 2 << 20)])
+def test_repeats_however_windows_are_dealt(spark, monkeypatch, share, group):
+    monkeypatch.setattr(substrings, "HOT_SHARE", share)
+    monkeypatch.setattr(substrings, "GROUP_WINDOWS", group)
+    monkeypatch.setattr(substrings, "SLICE", 2_000)
+    rng = np.random.default_rng(12)
+    word = np.array([f"w{i}" for i in range(40)] + ["https://www.example.org/licence"] * 8)
+    passages = [" ".join(rng.choice(word, 20)) for _ in range(6)]
+    data = [(int(i), " ".join(x for _ in range(3) for x in (" ".join(rng.choice(word, 9)), passages[int(rng.integers(6))]))) for i in rng.permutation(90)]
+    for width in (1, 4, 13):
+        assert repeats(spark, data, width) == repeats_brute(data, width)
+
+
+def test_windows_are_compared_and_not_their_hashes(spark, monkeypatch):
+    """Words that collide in a polynomial modulo 2 ** 64, and windows that all have one hash."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4_096))
+    more = " ".join(f"w{i}" for i in range(12))
+    data = [(1, f"{word} {more}"), (2, f"{word.translate({97: 98, 98: 97})} {more}"), (3, f"{word} {more}")]
+    assert [r[2] for r in repeats(spark, data, 13)] == [0, 0, 13]
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, 4_000)
+    windows = np.arange(3_990)
+    want = {}
+    want = [want.setdefault(tuple(words[i : i + 5]), i) for i in windows]
+    assert substrings._first_equal(words, windows, 5).tolist() == want
+    monkeypatch.setattr(substrings, "range_sums", lambda values, base, first, end: np.zeros(len(first), np.uint64))
+    assert substrings._first_equal(words, windows, 5).tolist() == want
+
+
+def test_a_word_in_every_second_document_gathers_nothing():
+    """Windows around one long word in half of all texts are dealt by their other words."""
+    rng = np.random.default_rng(6)
+    texts = pa.array([" ".join([*rng.choice(5_000, 30).astype(str), *(["https://licence.example.org/long/path/version-2.0"] * (i % 2)), *rng.choice(5_000, 30).astype(str)]) for i in range(2_000)])
+    from sluice.llm.common import utf8, word_hashes, words_of
+
+    raw, offsets = utf8(texts)
+    starts, ends, _ = words_of(raw, offsets)
+    n = np.bincount((word_hashes(raw, starts, ends) >> np.uint64(64 - substrings.BITS)).view(np.int64), minlength=1 << substrings.BITS)
+    known = substrings.WordCounts(np.minimum(np.log2(n + 1) * substrings.FINE, 254).astype(np.uint8), np.ones(len(n), np.int64), 255)
+    dealt, a, b, *_ = substrings._super_kmers(raw, offsets, 13, known)
+    _, windows = np.unique(dealt, return_inverse=True)
+    assert np.bincount(windows, b - a - 11).max() < 0.002 * (b - a - 11).sum()
+
+
 def same_as_sql(spark, query, sql):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
