@@ -34,8 +34,8 @@ MOST_WINDOWS = 64
 #: Pairs of an occurrence and a window that are looked at at a time.
 PAIRS = 1 << 20
 
-#: Bytes of text that are cut, and of strings that are sorted, at a time.
-SLICE = 2 << 20
+#: Bytes of strings that are sorted at a time, and of text that is cut: what texts of a slice share is sent once.
+SLICE, CUT = 2 << 20, 4 << 20
 #: Buckets of the table that tells which documents lose words at most; see _touched.
 MOST_BUCKETS = 1 << 26
 
@@ -128,7 +128,7 @@ def _sent(width: int, held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, SLICE):
+            for part in slices(batch, CUT):
                 yield from slices(_of_part(part, width, held.value))
 
     return run
