@@ -1,20 +1,21 @@
 """Approximate nearest neighbours through a permutation index.
 
-Every vector is represented by its nearest pivots in order. Each pivot has an
-inverted file: the vectors that have it among their nearest, with its place in
-their order. A query opens the files of its own nearest pivots, and vectors are
-ranked by the footrule distance, the sum of differences between the places of
-these pivots (a vector that is not in a file counts as one place behind its last).
-The best are reranked by inner product. How many these are follows the data: a
-sample of a task's queries is compared with all of its shard, and the reranked
-share grows until enough of the sample's true neighbours are in it.
+Every vector is represented by its nearest pivots in order, a permutation. Each pivot
+has an inverted file: the vectors that have it among their POSTED nearest, with its
+place in their order. A query opens the files of its own nearest pivots, by a join on
+the pivot, and what it finds there is ranked by the footrule distance, the sum of the
+differences of places; a pivot that a vector is not posted under counts as one place
+behind the last. The best are reranked by inner product. There is a pivot for every
+PER_PIVOT vectors (up to a bound), so that files, and what a query finds in them, do not
+grow with the table up to there.
+
+How many files are opened, and how many vectors are reranked, follows the data: sample
+queries are compared with all vectors, and both grow until the sample's true neighbours
+are found. At the end of that every file is open and every vector is reranked.
 
 Places come from distances, nearness is the inner product. One component more,
 sqrt(M * M - |v| * |v|) for vectors and zero for queries (M is the longest length),
 makes the order by distance the order by inner product.
-
-The index is dealt in shards and the queries in blocks; a task has one shard and
-one block. Equal vectors are one entry of the index.
 """
 
 from __future__ import annotations
@@ -22,20 +23,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import least_hashed, written
+from sluice.llm.common import written
 
-#: Pivots (a sample of the vectors, by hash), places that are posted, files that a query opens.
-PIVOTS, POSTED, OPENED = 192, 96, 32
-#: Vectors of a shard, queries of a block.
-SHARD, BLOCK = 20_000, 4_000
-#: Share of a shard's vectors that is reranked for a query at first, and the least number.
-RERANKED, LEAST = 0.1, 2_000
-#: Queries of a task that are compared with all of the shard; recall that they have together, and each, before the share is wide enough.
-PROBED, RECALL, RECALL_EACH = 64, 0.95, 0.8
+#: Vectors for each pivot (pivots are a sample of the vectors, by hash); pivots at most, and their bytes, which every worker has.
+PER_PIVOT, MOST_PIVOTS, PIVOT_BYTES = 2, 32_768, 32 << 20
+#: Places that are posted; files that a query opens, and vectors that it reranks, at first.
+POSTED, OPENED, RERANKED = 32, 64, 4_096
+#: Sample queries that are compared with all vectors; recall that they must have together, and each.
+PROBED, RECALL, RECALL_EACH = 64, 0.93, 0.5
+#: Bytes of query vectors that are broadcast; more are joined.
+BROADCAST_BYTES = 32 << 20
+#: Inner products that a task holds at a time.
+AT_ONCE = 8 << 20
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -45,98 +48,120 @@ def usable(vector: str = "embedding") -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
-def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of a row and rows, added up in order of the components."""
-    total = np.zeros(len(b))
-    for i in range(b.shape[1]):
-        total += a[i] * b[:, i]
-    return total
-
-
-class Shard:
-    """Vectors with the inverted files of the pivots (lifted ones); longest: see lifted."""
-
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, longest: float) -> None:
-        small = lifted(vectors, longest)
-        self.vectors, self.small = vectors, np.ascontiguousarray(small[:, :-1])
-        self.pivots, self.posted = pivots, min(POSTED, len(pivots))
-        order = places(small, pivots)[:, : self.posted]
-        who = np.repeat(np.arange(len(vectors), dtype=np.int32), self.posted)
-        where = np.tile(np.arange(self.posted, dtype=np.int16), len(vectors))
-        by_pivot = np.argsort(order.ravel(), kind="stable")
-        self.ends = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
-        self.who, self.where = who[by_pivot], where[by_pivot]
-
-    def saved(self, order: np.ndarray) -> np.ndarray:
-        """For each vector the footrule distance that it saves against one that is in none of the files."""
-        missing = self.posted - np.arange(len(order), dtype=np.int32)
-        saved = np.zeros(len(self.vectors), np.int32)
-        for place, p in enumerate(order):
-            file = slice(self.ends[p], self.ends[p + 1])
-            saved[self.who[file]] += missing[place] - np.abs(self.where[file] - place)
-        return saved
-
-    def depth(self, small: np.ndarray, orders: np.ndarray, k: int) -> int:
-        """How many vectors are reranked for a query, so that a sample of the queries has its neighbours among them."""
-        n = len(self.vectors)
-        depth, k = max(LEAST, int(RERANKED * n)), min(k, n)
-        if depth >= n:
-            return n
-        before = []  # for each neighbour, how many vectors save more; ties are reranked together
-        for i in np.sort(np.random.default_rng(0).permutation(len(small))[:PROBED]):
-            near = np.argpartition(-(self.small @ small[i]), k - 1)[:k]
-            saved = self.saved(orders[i])
-            before.append(n - np.searchsorted(np.sort(saved), saved[near], side="right"))
-        while depth < n and ((recall := (np.array(before) < depth).mean(axis=1)).mean() < RECALL or recall.min() < RECALL_EACH):
-            depth = depth * 5 // 4 + 1
-        return min(depth, n)
-
-    def nearest(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the places of its k nearest by inner product among the reranked, and the products."""
-        n = len(self.vectors)
-        wanted = unit(queries)
-        orders = places(np.column_stack([wanted, np.zeros(len(wanted), np.float32)]), self.pivots)[:, :OPENED]
-        depth = self.depth(wanted, orders, k)
-        for q, small, order in zip(queries, wanted, orders):
-            if depth < n:
-                saved = self.saved(order)
-                found = np.flatnonzero(saved >= np.partition(saved, n - depth)[n - depth])
-            else:
-                found = np.arange(n)
-            if len(found) > 8 * k:  # single precision is sure of these
-                rough = self.small[found] @ small
-                bar = -np.partition(-rough, k)[k]
-                found = found[rough >= bar - 1e-4]
-            score = dot(q, self.vectors[found])
-            best = np.lexsort((found, -score))[:k]
-            yield found[best], score[best]
-
-
-def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
-    """The vectors in units of the longest length, with the component that brings each to length 1."""
-    small = vectors / longest
-    return np.column_stack([small, np.sqrt(np.maximum(0.0, 1.0 - (small**2).sum(1)))]).astype(np.float32)
+def product(a: str, b: str) -> Column:
+    """The inner product of two array columns, added up in order of the components."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     """The vectors at length 1: of a query only the direction decides who is near."""
     top = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (top / np.sqrt((top**2).sum(1))[:, None]).astype(np.float32)
-
-
-def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector the pivots, nearest first; ties to the first pivot."""
-    return np.argsort(-(vectors @ pivots.T) + 0.5 * (pivots**2).sum(1), axis=1, kind="stable")
+    return top / np.sqrt((top**2).sum(1))[:, None]
+
+
+class Pivots:
+    """Pivots in units of the longest vector, and how far the further component of each is below 1."""
+
+    def __init__(self, vectors: np.ndarray, top: float, longest: float) -> None:
+        self.top, self.longest = top, longest
+        self.vectors, self.low = self._lifted(vectors)
+
+    def _lifted(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = vectors / self.top / self.longest
+        s = np.minimum((x**2).sum(1), 1.0)
+        return x.astype(np.float32), (s / (1 + np.sqrt(1 - s))).astype(np.float32)  # 1 - sqrt(1 - s)
+
+    def nearest(self, vectors: np.ndarray, n: int, queries: bool) -> np.ndarray:
+        """For each vector its n nearest pivots in order; ties to the first pivot."""
+        # All pivots have length 1 with the further component, so the nearest have the greatest inner products.
+        x, low = (unit(vectors).astype(np.float32), np.ones(len(vectors), np.float32)) if queries else self._lifted(vectors)
+        out, n = np.empty((len(x), min(n, len(self.low))), np.int32), min(n, len(self.low))
+        step = max(1, AT_ONCE // len(self.low))
+        for i in range(0, len(x), step):
+            near = x[i : i + step] @ self.vectors.T
+            if not queries:
+                near -= np.outer(1 - low[i : i + step], self.low)
+            near = -near
+            best = np.sort(np.argpartition(near, n - 1, axis=1)[:, :n], axis=1)
+            order = np.argsort(np.take_along_axis(near, best, 1), axis=1, kind="stable")
+            out[i : i + step] = np.take_along_axis(best, order, 1)
+        return out
+
+
+def _places(vectors: DataFrame, pivots, n: int, queries: bool) -> DataFrame:
+    """(entry, pivots): the n nearest pivots of (entry, v) in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = pivots.value.nearest(matrix(batch.column("v")), n, queries)
+                at = pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.ListArray.from_arrays(at, pa.array(near.ravel()))], ["entry", "pivots"])
+
+    return vectors.select("entry", "v").mapInArrow(run, "entry long, pivots array<int>")
+
+
+def _true(entries: DataFrame, sample: DataFrame, k: int) -> DataFrame:
+    """(query, entry): the k nearest of all entries to each of a bounded number of queries, by comparing them with all."""
+    own = sample.select("entry", "v").toArrow().combine_chunks()
+    names = np.asarray(own.column("entry").combine_chunks())
+    asked = entries.sparkSession.sparkContext.broadcast((names, unit(matrix(own.column("v").combine_chunks()))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, wanted = asked.value
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("v"))
+                score = wanted @ (x / np.abs(x).max()).T * np.abs(x).max()
+                n = min(k, len(x))
+                best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                made = np.repeat(names, n), np.asarray(batch.column("entry"))[best.ravel()], np.take_along_axis(score, best, 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["query", "entry", "score"])
+
+    found = entries.select("entry", "v").mapInArrow(run, "query long, entry long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).select("query", "entry")
+
+
+def _ranked(asked: DataFrame, index: DataFrame, opened: int) -> DataFrame:
+    """(query, entry, r): what (entry, pivots) queries find in the files of their first `opened` pivots, by footrule distance."""
+    last = max(POSTED, opened)
+    posting = index.select("entry", F.posexplode(F.slice("pivots", 1, POSTED)).alias("at", "pivot"))
+    wanted = asked.select(F.col("entry").alias("query"), F.posexplode(F.slice("pivots", 1, opened)).alias("place", "pivot"))
+    # what a posting saves against a pivot that counts as one place behind the last
+    saved = F.sum(F.lit(last + 1) - F.abs(F.col("at") - F.col("place")))
+    found = wanted.join(posting, "pivot").groupBy("query", "entry").agg(saved.alias("saved"))
+    return found.select("query", "entry", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("saved"), "entry")).alias("r"))
+
+
+def _depth(ranks: np.ndarray, queries: np.ndarray, most: int) -> int | None:
+    """The least number of reranked vectors (RERANKED, doubled) with which the sample finds its neighbours; ranks: of these, 0 if not found."""
+    depth = RERANKED
+    while True:
+        hit = (ranks > 0) & (ranks <= depth)
+        each = np.array([hit[queries == q].mean() for q in np.unique(queries)])
+        if hit.mean() >= RECALL and each.min() >= RECALL_EACH:
+            return depth
+        if depth >= most:
+            return None
+        depth *= 2
 
 
 def nearest(rows: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`, among all other rows.
 
     Nearness is the inner product of the original vectors in double precision; ties
-    go to the smaller id; fewer rows give fewer neighbours. Rows take no part whose id
-    is null, whose vector is null, zero or has a null or non-finite component, or
-    whose vector is not as long as most are (ties: the longer). Repeated rows count
-    once; an id with several vectors is not its own neighbour. No rows give no rows.
+    go to the smaller id; fewer rows give fewer neighbours. Finite vectors of any size
+    take part; a product beyond double precision is infinite, and one that is not a number
+    comes last. Rows take no part whose id is null, whose vector is null, zero or has a
+    null or non-finite component, or whose vector is not as long as most are (ties: the
+    longer). Repeated rows count once; an id with several vectors is not its own
+    neighbour. A query that finds fewer than k + 1 vectors in its files is compared with
+    all, so that none lacks neighbours. No rows give no rows.
 
     Equal vectors are searched, indexed and reranked once. A query's list of distinct
     vectors needs no more than the k + 1 smallest ids of each, which is exact.
@@ -148,42 +173,70 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = written(rows.where(F.size("v") == common.n), "vectors")
-    # One entry for each distinct vector, named by its least id; its k + 1 least ids. Spark limits ranks before the shuffle.
+    # One numbered entry for each distinct vector, with its k + 1 least ids. Spark limits ranks before the shuffle.
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    entries = ranked.groupBy("v").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = written(entries, "entries")
+    entries = ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = written(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     asked = written(asked.join(entries.select("v", "entry"), "v").select("query_id", "entry"), "asked")
-    n_entries = entries.count()
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    longest = entries.agg(F.sqrt(F.max(squares))).first()[0] or 1.0
-    pivots = lifted(np.array([r.v for r in least_hashed(entries, ["entry"], PIVOTS, n_entries).select("v").collect()]), longest)
     queries = written(asked.select("entry").distinct().join(entries.select("entry", "v"), "entry"), "queries")
     n_queries = queries.count()
-    shards, blocks = -(-n_entries // SHARD), -(-n_queries // BLOCK)
-    parts = lambda n: F.pmod(F.xxhash64("entry"), F.lit(n)).cast("int")
-    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = entries.select("entry", "v", parts(max(shards, 1)).alias("shard")).withColumn("block", every_one(max(blocks, 1)))
-    queries = queries.select("entry", "v", parts(max(blocks, 1)).alias("block")).withColumn("shard", every_one(max(shards, 1)))
-
-    def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(asked):
-            own, asked = own.sort_values("entry"), asked.sort_values("entry")
-            names = own["entry"].to_numpy()
-            shard = Shard(np.stack(own["v"].to_numpy()), pivots, longest)
-            wanted = np.stack(asked["v"].to_numpy())
-            for name, (at, score) in zip(asked["entry"], shard.nearest(wanted, k + 1)):
-                out.append(pd.DataFrame({"query": name, "entry": names[at], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "entry": [], "score": []})
-
-    keys = ["shard", "block"]
-    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query long, entry long, score double")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))
-    found = found.withColumn("r", best).where(F.col("r") <= k + 1)
-    lists = found.join(entries.select("entry", "ids"), "entry").groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "ids")).alias("found"))
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    pairs = written(_candidates(entries, queries, k, common.n), "candidates")
+    found = pairs.join(entries.select("entry", "v", "ids"), "entry")
+    wanted = queries.select(F.col("entry").alias("query"), F.col("v").alias("q"))
+    wanted = F.broadcast(wanted) if n_queries * (common.n + 4) * 8 <= BROADCAST_BYTES else wanted
+    found = found.join(wanted, "query").select("query", "entry", "ids", (-product("q", "v")).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("s", F.element_at("ids", 1)))
+    found = found.withColumn("r", rank).where(F.col("r") <= k + 1)
+    lists = found.groupBy("query").agg(F.collect_list(F.struct("s", "ids")).alias("found"))
     flat = F.flatten(F.transform("found", lambda x: F.transform(x["ids"], lambda i: F.struct(x["s"].alias("s"), i.alias("vec_id")))))
     lists = lists.select(F.col("query").alias("entry"), F.slice(F.array_sort(flat), 1, k + 1).alias("found"))
     rows = asked.join(lists, "entry").select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     rows = rows.select("query_id", F.posexplode("found").alias("i", "x"))
     return rows.select("query_id", (F.col("i") + 1).alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
+
+
+def _candidates(entries: DataFrame, queries: DataFrame, k: int, d: int) -> DataFrame:
+    """(query, entry): whom each query is compared with."""
+    spark = entries.sparkSession
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    n, top = entries.agg(F.count("*"), F.max(size)).first()
+    longest = entries.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x / top * (x / top))))).first()[0]
+    n_pivots = max(1, min(n // PER_PIVOT, MOST_PIVOTS, PIVOT_BYTES // (4 * d)))
+    # about so many of least hash, a few more, and of these exactly as many
+    h = F.pmod(F.xxhash64("v"), F.lit(1 << 40))
+    bound = 1 << 40 if n_pivots < 100 else int((1 << 40) * min(1.0, (n_pivots + 6 * n_pivots**0.5) / n))
+    table = entries.select(h.alias("h"), "entry", "v").where(F.col("h") < bound)
+    table = (table if n_pivots >= 100 else table.orderBy("h", "entry").limit(n_pivots)).toArrow().combine_chunks()
+    order = np.lexsort([np.asarray(table.column(c).combine_chunks()) for c in ("entry", "h")])[:n_pivots]
+    held = spark.sparkContext.broadcast(Pivots(matrix(table.column("v").combine_chunks())[order], top, longest))
+    index = written(_places(entries, held, POSTED, queries=False), "places")
+    opened, depth = OPENED, None
+    hashed = queries.withColumn("h", F.xxhash64("v", F.lit(1)))
+    sample = written(hashed.orderBy("h", "entry").limit(PROBED).select("entry", "v"), "sample")
+    true = written(_true(entries, sample, k + 1), "true")
+    while True:
+        places = _places(sample, held, opened, queries=True)
+        found = true.join(_ranked(places, index, opened), ["query", "entry"], "left").select("query", F.coalesce("r", F.lit(0)).alias("r")).toArrow()
+        depth = _depth(np.asarray(found.column("r").combine_chunks()), np.asarray(found.column("query").combine_chunks()), n)
+        if depth or opened >= n_pivots:
+            break
+        opened *= 2
+    depth = depth or n
+    asked = _places(queries, held, opened, queries=True)
+    pairs = written(_ranked(asked, index, opened).where(F.col("r") <= depth).select("query", "entry"), "found")
+    # Who found fewer than are asked for looks at all.
+    few = pairs.groupBy("query").count().where(F.col("count") >= min(k + 1, n)).select(F.col("query").alias("entry"))
+    few = written(queries.select("entry", "v").join(few, "entry", "left_anti"), "few")
+    if n_few := few.count():
+        blocks = [pairs.join(few.select(F.col("entry").alias("query")), "query", "left_anti")]
+        parts = -(-n_few // 1_000)
+        for i in range(parts):
+            block = few.where(F.pmod(F.xxhash64("entry"), F.lit(parts)) == i)
+            blocks.append(_true(entries, block, k + 1))
+        for b in blocks[1:]:
+            blocks[0] = blocks[0].unionByName(b)
+        return blocks[0]
+    return pairs
