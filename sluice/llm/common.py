@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_within: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_within.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at its end; what depends on them must be written elsewhere by then."""
+    path = new_path(spark, "scratch")
+    token = _within.set(path)
+    try:
+        yield
+    finally:
+        _within.reset(token)
+        remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
