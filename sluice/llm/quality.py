@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import add_columns, summed, utf8, words_of, word_hashes, written
+from sluice.llm.common import add_columns, scratch, summed, utf8, words_of, word_hashes, written
 
 #: Random features, their seed, ridge penalty per row, and bins of the calibration.
 FEATURES, SEED, RIDGE, BINS = 256, 20, 1e-3, 512
@@ -231,8 +231,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """The rows of docs that are predicted to be good, with their columns."""
-    stats = written(with_statistics(docs.select("doc_id", "text")), "stats")
-    model = trained(stats, labels, label)
+    with scratch(docs.sparkSession):
+        model = trained(written(with_statistics(docs.select("doc_id", "text")), "stats"), labels, label)
     own = {c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")}
     good = scored(docs.withColumnsRenamed(own), model, text="text").where("predicted = 1")
     return good.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import slices, written
+from sluice.llm.common import new_path, scratch, slices, written
 
 SEED = 42
 MAX_BITS = 2
@@ -187,9 +187,15 @@ def near_groups(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text:
     that repeat a doc_id with another text are that document too, and link through
     it. A null doc_id takes no part: its component is null. No rows give no rows.
     """
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "near_groups")
+    with scratch(spark):
+        _groups(written(fingerprints(docs, shingle, doc_id, text), "fingerprints")).write.parquet(path)
+    return spark.read.schema("doc_id long, fp long, component_id long").parquet(path)
+
+
+def _groups(rows: DataFrame) -> DataFrame:
     from sluice.llm.components import components
 
-    rows = written(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     nodes = rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
     nodes = written(nodes, "nodes")
     several = rows.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("z")).where("x != z").select("doc_id")
