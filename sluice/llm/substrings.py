@@ -27,7 +27,8 @@ from sluice.llm.common import ODD, SPACE, add_columns, mixed, range_sums, slices
 BITS, FINE = 15, 4
 #: Windows that a minimiser may have; the windows of one whose bucket could have more are dealt by their second rarest word too.
 GROUP_WINDOWS = 2 << 20
-#: Where the rarest word of a window is of a bucket with over this share of all words, windows are dealt one by one.
+#: Where the rarest word of a window is of a bucket with over this share of all words, windows are dealt by their sets of words:
+#: nearly one by one, but a text that repeats a few words stays together.
 HOT_SHARE = 1 / 64
 #: A super-k-mer has at most so many windows; a longer run of one minimiser goes in pieces.
 MOST_WINDOWS = 64
@@ -49,7 +50,7 @@ class WordCounts:
 
     rarity: np.ndarray  # class, 0 for the rarest
     groups: np.ndarray  # that the windows of a minimiser are dealt to
-    hot: int  # the least class whose windows are dealt one by one
+    hot: int  # the least class whose windows are dealt by their sets of words
 
 
 def word_counts(rows: DataFrame, width: int) -> WordCounts:
@@ -103,7 +104,7 @@ def _super_kmers(raw: np.ndarray, offsets: np.ndarray, width: int, known: WordCo
 
 
 def _dealt(least: np.ndarray, order: np.ndarray, window: np.ndarray, width: int, known: WordCounts) -> np.ndarray:
-    """What deals each window: a number made of its minimiser; with the second rarest word, or with all words, where that alone could gather too much."""
+    """What deals each window: a number made of its minimiser; with the second rarest word, or of its distinct words, where that alone could gather too much."""
     rarity, out = least >> np.uint64(56), mixed(least)
     parts = known.groups[(least << np.uint64(8) >> np.uint64(64 - BITS)).view(np.int64)]
     some = np.flatnonzero((parts > 1) & (rarity < known.hot))
@@ -114,8 +115,11 @@ def _dealt(least: np.ndarray, order: np.ndarray, window: np.ndarray, width: int,
             second = np.where(word != least[some], np.minimum(second, word), second)
         out[some] = mixed(out[some] + mixed(second) % parts[some].view(np.uint64))
     some = np.flatnonzero(rarity >= known.hot)
-    if len(some):
-        out[some] = mixed(range_sums(mixed(order), ODD, window[some], window[some] + width))
+    for i in range(0, len(some), 20_000):
+        words = np.sort(order[window[some[i : i + 20_000], None] + np.arange(width)], axis=1)
+        new = np.ones(words.shape, bool)
+        new[:, 1:] = words[:, 1:] != words[:, :-1]
+        out[some[i : i + 20_000]] = mixed((mixed(words) * new).sum(axis=1, dtype=np.uint64))
     return out
 
 
