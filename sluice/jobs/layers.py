@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.contracts import Contract, conform
 from sluice.operators.keys import fingerprint_diff, fingerprints, latest_per_key
 from sluice.operators.rollups import window_of
 from sluice.operators.rules import Rule, Validated, validate
-from sluice.operators.tables import merge_upsert, replace_where
+from sluice.operators.tables import exists, merge_upsert, publish, replace_where, upsert_partitions
 
 META = ("_batch_id", "_source", "_ingested_at")
 
@@ -47,24 +47,20 @@ def silver(
     refs: Mapping[str, DataFrame] | None = None,
     target: DataFrame | None = None,
     update_when: str | None = None,
-    partition: str | None = None,
 ) -> Silver:
     """Bronze rows as silver: valid rows projected, one for each key, and merged into the target.
 
     With a calendar the rows of all its batches go at once. latest begins with
-    _batch_id, so that the later batch wins as it does batch by batch. Of the target
-    only partitions that the new rows touch are joined, if `partition` is a key.
+    _batch_id, so that the later batch wins as it does batch by batch. Both sides are
+    read once. A null in a key is a key like others: re-runs change nothing. For a table
+    on disk leave out the target and give the result to tables.upsert_partitions, which
+    reads and writes only what the new rows touch.
     """
     checked = validate(rows, rules, context=context, calendar=calendar, batch="_batch_id" if calendar is not None else None, refs=refs, keep=META)
     new = latest_per_key(checked.valid.select(*(c.alias(n) for n, c in project.items())), keys, latest)
     if target is None:
         return Silver(new, checked)
-    if partition is None:
-        return Silver(merge_upsert(target, new, keys, update_when, checked=True), checked)
-    touched = new.select(partition).distinct()
-    merged = merge_upsert(target.join(touched, partition, "left_semi"), new, keys, update_when, checked=True)
-    rest = target.join(touched, partition, "left_anti")
-    return Silver(rest.unionByName(merged, allowMissingColumns=True), checked)
+    return Silver(merge_upsert(target, new, keys, update_when, checked=True), checked)
 
 
 def gold_refresh(target: DataFrame | None, silver_rows: DataFrame, day: str, start: str, end: str, summarise) -> DataFrame:
@@ -102,8 +98,45 @@ def backfill(
     return Silver(out.table, Validated(out.validated.flagged, columns, META))
 
 
+def build_tables(
+    root: str,
+    rows: DataFrame,
+    rules: Sequence[Rule],
+    calendar: DataFrame,
+    project: Mapping[str, Column],
+    keys: Sequence[str],
+    latest: Sequence[str],
+    partition: str,
+    update_when: str,
+    window: tuple[str, str],
+    summarise,
+    stages: Sequence[str] = ("silver", "gold"),
+) -> None:
+    """Silver and gold on disk under root, from bronze rows of a range of batches: silver by its partitions, the gold days of the window made anew.
+
+    stages: which of them to build; gold alone reads the silver that is there.
+    """
+    spark = rows.sparkSession
+    if "silver" in stages:
+        new = silver(rows, rules, project, keys, latest, calendar=calendar).table
+        upsert_partitions(new, f"{root}/silver", keys, partition, update_when)
+    if "gold" in stages:
+        old = spark.read.parquet(f"{root}/gold") if exists(spark, f"{root}/gold") else None
+        publish(gold_refresh(old, spark.read.parquet(f"{root}/silver"), partition, *window, summarise), f"{root}/gold")
+
+
 def same_after_rerun(build, *inputs: DataFrame) -> DataFrame:
     """fingerprint_diff of the tables (by name) that build(*inputs) makes, and makes again with its own as before."""
     once = build(*inputs, None)
     again = build(*inputs, once)
     return fingerprint_diff(fingerprints(once), fingerprints(again))
+
+
+def same_on_disk(build, tables: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """fingerprint_diff of tables (name -> path) after build() has run once and twice."""
+    found = []
+    for _ in range(2):
+        build()
+        state = fingerprints({name: spark.read.parquet(path) for name, path in tables.items()})
+        found.append(spark.createDataFrame(state.collect(), state.schema))  # a row for each table, as it is now
+    return fingerprint_diff(*found)

@@ -2,20 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from datetime import datetime
+import json
+import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.operators.keys import latest_per_key
+from sluice.operators.tables import exists, merge_upsert, publish
+
 #: The columns of run records.
 RUNS = "stage string, table string, batch_id string, status string, rows_in long, rows_valid long, rows_quarantined long, rows_out long, duration_s double, finished_at timestamp, run_id string"
+#: What a record on disk has besides.
+RECORD = f"{RUNS}, started_at timestamp, error string"
 GAUGES = ("last_success_seconds", "duration_seconds", "failed", "rows_in", "rows_quarantined", "pass_ratio")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """RUNS rows from one JSON document a file; what is not JSON is skipped."""
-    return spark.read.schema(RUNS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """RECORD rows from one JSON document a file; what is not JSON is skipped."""
+    return spark.read.schema(RECORD).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+
+
+class RunRecord:
+    """What a stage has done so far; see recorded."""
+
+    def __init__(self, stage: str, batch_id: str, table: str | None) -> None:
+        self.fields = {"stage": stage, "table": table, "batch_id": batch_id, "run_id": uuid.uuid4().hex}
+        self.seen: dict[str, Observation] = {}
+
+    def count(self, df: DataFrame, name: str = "rows_out") -> DataFrame:
+        """df, whose rows are counted as they are written: no further pass."""
+        self.seen[name] = Observation(f"{name}-{self.fields['run_id']}")
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias(name))
+
+    def split(self, validated: DataFrame) -> DataFrame:
+        """Flagged rows (of a rule run), counted as rows_in, rows_valid and rows_quarantined as they are written."""
+        good = F.size("_failed_rules") == 0
+        self.seen["split"] = Observation(f"split-{self.fields['run_id']}")
+        return validated.observe(self.seen["split"], F.count(F.lit(1)).alias("rows_in"), F.count_if(good).alias("rows_valid"), F.count_if(~good).alias("rows_quarantined"))
+
+
+@contextmanager
+def recorded(spark: SparkSession, path: str, stage: str, batch_id: str, table: str | None = None) -> Iterator[RunRecord]:
+    """Time a stage and append one run record (RECORD) to the folder `path`, for a failed stage too.
+
+    What the stage counts through the record is there if it was written before the end.
+    """
+    record, began = RunRecord(stage, batch_id, table), datetime.now(UTC)
+    end: dict = {"status": "failed"}
+    try:
+        yield record
+        end = {"status": "success"} | {k: v for seen in record.seen.values() for k, v in seen.get.items()}
+    except BaseException as e:
+        end["error"] = f"{type(e).__name__}: {e}"[:2_000]
+        raise
+    finally:
+        done = datetime.now(UTC)
+        times = {"started_at": began.isoformat(), "finished_at": done.isoformat(), "duration_s": (done - began).total_seconds()}
+        row = spark.createDataFrame([(json.dumps(record.fields | end | times),)], "value string")
+        row.coalesce(1).write.mode("append").text(path)
+
+
+def record_lineage(spark: SparkSession, path: str, records: DataFrame) -> None:
+    """Keep records (stage, table, batch_id, inputs, outputs, run_at) in the table at path, one of each key: the last written wins."""
+    lists = {c: F.sort_array(F.array_distinct(c)) for c in ("inputs", "outputs")}
+    keys = ["stage", "table", "batch_id"]
+    new = latest_per_key(records.withColumns(lists), keys, ["run_at"])
+    publish(merge_upsert(spark.read.parquet(path), new, keys, checked=True) if exists(spark, path) else new, path)
 
 
 def pass_ratio(valid: str = "rows_valid", total: str = "rows_in") -> Column:
@@ -53,7 +109,8 @@ def run_gauges(runs: DataFrame) -> DataFrame:
 
 def exposition(gauges: DataFrame, prefix: str) -> DataFrame:
     """A line `name{labels} value` for each gauge, for df.write.text."""
-    text = F.format_string(prefix + '_%s{stage="%s",table="%s",batch="%s"} %s', "metric", "stage", "table", "batch_id", F.col("value").cast("string"))
+    label = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    text = F.format_string(prefix + '_%s{stage="%s",table="%s",batch="%s"} %s', "metric", label("stage"), label("table"), label("batch_id"), F.col("value").cast("string"))
     return gauges.select(text.alias("value"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -46,7 +47,9 @@ def merge_upsert(
 
     update_when sees both sides as t and s; null means no update. Target rows without a
     match stay, or go where delete_unmatched_where (over t) holds. source must have
-    each key once and no null in it; that is checked unless `checked` says it was.
+    each key once and no null in it; that is checked unless `checked` says that each key
+    stands once. A null that is let in so is a key like others, so that merging the same
+    source again changes nothing.
     Columns are the target's, then those that only the source has. One full outer join;
     give it only the partitions of the target that the source touches.
     """
@@ -56,7 +59,7 @@ def merge_upsert(
     s = source.withColumn("__s", F.lit(True)).alias("s")
     on = None
     for k in keys:
-        same = F.col(f"t.{k}") == F.col(f"s.{k}")
+        same = F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}"))
         on = same if on is None else on & same
     joined = t.join(s, on, "full_outer")
     here, there = F.col("t.__t").isNotNull(), F.col("s.__s").isNotNull()
@@ -80,6 +83,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _fs(spark, path)
+    return fs.exists(place)
+
+
 def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """df as the whole table at path: written beside it, then swapped in, so that df may read path.
 
@@ -109,27 +117,76 @@ def publish_partitions(df: DataFrame, path: str, partition_by: str, touched: Dat
     """Replace the touched partitions (one column, named as partition_by) by the rows of df, which must lie in them.
 
     Other partitions are not read or written. A touched partition without rows goes,
-    which a dynamic overwrite alone would leave in place.
+    which a dynamic overwrite alone would leave in place. Old partitions are set aside,
+    new ones renamed in, and the old deleted when all are in place; if a rename fails,
+    what was set aside comes back.
     """
     spark = df.sparkSession
-    fs, _ = _fs(spark, path)
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(staged)
-    sfs, root = _fs(spark, staged)
-    made = {s.getPath().getName(): s.getPath() for s in sfs.listStatus(root) if s.isDirectory()}
-    names = {_folder(partition_by, r[0]) for r in touched.select(partition_by).distinct().toLocalIterator()}
-    if outside := made.keys() - names:
-        raise ValueError(f"rows outside the touched partitions: {sorted(outside)[:3]}")
-    for name in sorted(names):
-        _, place = _fs(spark, f"{path.rstrip('/')}/{name}")
-        fs.mkdirs(place.getParent())
-        if fs.exists(place):
-            fs.delete(place, True)
-        if name in made and not fs.rename(made[name], place):
-            raise OSError(f"could not publish {name}")
-    fs.delete(root, True)
-
-
-def _folder(column: str, value) -> str:
-    """The folder of a partition; values are dates, numbers or plain text."""
-    return f"{column}=__HIVE_DEFAULT_PARTITION__" if value is None or value == "" else f"{column}={value}"
+    path = path.rstrip("/")
+    work = f"{path}.staged-{uuid.uuid4().hex}"
+    fs, root = _fs(spark, path)
+    child = lambda *names: spark._jvm.org.apache.hadoop.fs.Path("/".join(names))
+    try:
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(f"{work}/new")
+        # Spark names the folders of the touched partitions too
+        touched.select(partition_by).distinct().withColumn("touched", F.lit(True)).write.partitionBy(partition_by).parquet(f"{work}/touched")
+        made, names = (_folders(fs, child(work, x)) for x in ("new", "touched"))
+        if outside := made - names:
+            raise ValueError(f"rows outside the touched partitions: {sorted(outside)[:3]}")
+        fs.mkdirs(root)
+        fs.mkdirs(child(work, "old"))
+        moved: list[tuple] = []
+
+        def move(a, b) -> None:
+            if not fs.rename(a, b):
+                raise OSError(f"could not rename {a} to {b}")
+            moved.append((a, b))
+
+        try:
+            for name in sorted(names):
+                if fs.exists(child(path, name)):
+                    move(child(path, name), child(work, "old", name))
+                if name in made:
+                    move(child(work, "new", name), child(path, name))
+        except BaseException:
+            for a, b in reversed(moved):
+                fs.rename(b, a)
+            raise
+    finally:
+        fs.delete(child(work), True)
+
+
+def _folders(fs, place) -> set[str]:
+    return {s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory()} if fs.exists(place) else set()
+
+
+def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], partition: str, update_when: str | None = None) -> None:
+    """Merge rows, each key once, into the partitioned table at path, which is made if it is not there.
+
+    new is computed once, beside the table; of the table only the partitions that it touches are read and written.
+    """
+    spark = new.sparkSession
+    if not exists(spark, path):
+        return publish(new, path, [partition])
+    staged = f"{path.rstrip('/')}.rows-{uuid.uuid4().hex}"
+    try:
+        new.write.parquet(staged)
+        new = spark.read.schema(new.schema).parquet(staged)
+        touched = new.select(F.col(partition).alias("__touched")).distinct()
+        target = spark.read.parquet(path)
+        old = target.join(touched, target[partition].eqNullSafe(F.col("__touched")), "left_semi")
+        publish_partitions(merge_upsert(old, new, keys, update_when, checked=True), path, partition, new.select(partition))
+    finally:
+        fs, place = _fs(spark, staged)
+        fs.delete(place, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; in local mode, where it is unset, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="sluice-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import observe
+from sluice.operators.rules import Rule, validate
+from sluice.operators.tables import scratch_path
 from sluice.queries.book import Book, read
 
 BOOK = Book()
@@ -104,3 +106,38 @@ def lineage_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query(f"""WITH {LINEAGE_SQL} SELECT DISTINCT unnest(inputs) AS upstream, "table" FROM last""")
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.lineage_edges(observe.lineage_latest(_records(spark, sf_dir), "event_id"))
+
+
+@BOOK.query(
+    """SELECT 'orders' AS stage, o_orderpriority AS batch_id, 'success' AS status, count(*)::BIGINT AS rows_in, count(*) FILTER (o_totalprice <= 200000)::BIGINT AS rows_valid,
+      count(*) FILTER (o_totalprice > 200000)::BIGINT AS rows_quarantined, count(*)::BIGINT AS rows_out, true AS timed, false AS failed FROM orders GROUP BY 2
+    UNION ALL SELECT 'orders', 'none', 'failed', NULL, NULL, NULL, NULL, true, true"""
+)
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage for each priority writes its orders and leaves a record of what passed; one fails and leaves one too."""
+    root = scratch_path(spark, "records")
+    orders = read(spark, sf_dir, "orders")
+    rule = Rule("price_range", "range", "o_totalprice", "too dear", {"max": 200_000})
+    for (priority,) in orders.select("o_orderpriority").distinct().collect():  # five
+        with observe.recorded(spark, f"{root}/runs", "orders", priority) as run:
+            flagged = run.split(validate(orders.where(F.col("o_orderpriority") == priority), [rule]).flagged)
+            run.count(flagged).write.parquet(f"{root}/orders/{priority}")
+    try:
+        with observe.recorded(spark, f"{root}/runs", "orders", "none") as run:
+            run.count(orders.where(F.raise_error(F.lit("no such batch")).isNull())).write.parquet(f"{root}/none")
+    except Exception as e:
+        if "no such batch" not in str(e):
+            raise
+    timed = F.col("duration_s").between(0, 86_400) & (F.col("finished_at") >= F.col("started_at"))
+    return observe.read_runs(spark, f"{root}/runs").select("stage", "batch_id", "status", "rows_in", "rows_valid", "rows_quarantined", "rows_out", timed.alias("timed"), F.col("error").isNotNull().alias("failed"))
+
+
+@BOOK.query(f"""WITH {LINEAGE_SQL} SELECT stage, "table", batch_id, array_to_string(list_sort(list_distinct(inputs)), ',') AS inputs, array_to_string(list_sort(list_distinct(outputs)), ',') AS outputs FROM last""")
+def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are written in three runs, the later ones over the earlier, and read back."""
+    path = scratch_path(spark, "lineage")
+    records = _records(spark, sf_dir).withColumnRenamed("event_id", "run_at")
+    last = records.agg(F.max("run_at")).first()[0]
+    for k in range(3):
+        observe.record_lineage(spark, path, records.where(F.expr(f"run_at * 3 div {1 + (last or 0)} = {k}")))
+    return spark.read.parquet(path).select("stage", "table", "batch_id", *(F.array_join(c, ",").alias(c) for c in ("inputs", "outputs")))

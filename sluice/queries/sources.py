@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import arrival, bounds, calendar_of
-from sluice.functions.calendar import batch_calendar as month_calendar
 from sluice.jobs.layers import bronze
 from sluice.operators.contracts import Contract, conform, drift_rows, evolve_union
 from sluice.operators.keys import row_id
-from sluice.operators.observe import table_columns
+from sluice.operators.observe import read_runs, table_columns
+from sluice.operators.tables import scratch_path
 from sluice.queries.book import Book, read
-from sluice.sources.files import manifest, manifest_mismatches, parallel_arrays_to_rows
-from sluice.sources.snapshots import asof_snapshot, asof_snapshots, keyed_lookup
+from sluice.sources.files import manifest, manifest_mismatches, parallel_arrays_to_rows, read_batches, read_payloads, write_batches
+from sluice.sources.snapshots import asof_snapshot, asof_snapshots, keyed_lookup, read_lookup
 
 BOOK = Book()
 CUTOFF = "1998-01-01"
@@ -92,10 +92,10 @@ def table_columns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(
     """SELECT vec_id, i::DOUBLE AS time, embedding[i]::DOUBLE AS high, CASE WHEN i <= 5 THEN embedding[i + 10]::DOUBLE END AS low, NULL::DOUBLE AS rain
-    FROM embeddings, unnest(generate_series(1, 8)) t(i)"""
+    FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)"""
 )
 def parallel_arrays_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.sequence(F.lit(1), F.lit(8)).cast("array<double>").alias("time"), F.slice("embedding", 1, 20).alias("high"), F.slice("embedding", 11, 5).alias("low"), F.lit(None).cast("array<double>").alias("rain"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.sequence(F.lit(1), F.size("embedding")).cast("array<double>").alias("time"), F.concat("embedding", F.slice("embedding", 1, 3)).alias("high"), F.slice("embedding", 11, 5).alias("low"), F.lit(None).cast("array<double>").alias("rain"))
     return parallel_arrays_to_rows(rows, "time", {"high": "double", "low": "double", "rain": "double"}, keep=["vec_id"])
 
 
@@ -105,13 +105,13 @@ def asof_snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(
-    """WITH m AS (SELECT unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2001-06-01', INTERVAL 1 MONTH)) AS b)
+    """WITH m AS (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS b FROM orders)
     SELECT strftime(b, '%Y-%m') AS _batch_id, count(*)::BIGINT AS orders, max(o_orderkey) AS last_key
     FROM m JOIN orders ON o_orderdate < b + INTERVAL 1 MONTH GROUP BY 1"""
 )
 def asof_snapshots_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    snapshots = asof_snapshots(orders, "o_orderdate", month_calendar(spark, "2000-01", "2001-06"))
+    snapshots = asof_snapshots(orders, "o_orderdate", calendar_of(orders, "o_orderdate"))
     return snapshots.groupBy("_batch_id").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_key"))
 
 
@@ -184,3 +184,52 @@ def late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(orders, "l_orderkey")
     rows = rows.select("l_orderkey", "l_linenumber", "l_shipdate", "_batch_id", *bounds(F.col("_batch_id")))
     return rows.select("l_orderkey", "l_linenumber", "_batch_id", arrival("l_shipdate").alias("arrival"))
+
+
+# Sources as files: written from the tables into a fresh folder first, then read as they would be landed.
+
+
+@BOOK.query("SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m') AS _batch_id, 'orders_' || strftime(o_orderdate, '%Y-%m') || '.parquet' AS _source_file FROM orders")
+def read_batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "landed")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    write_batches(orders, path, "month", "orders")
+    return read_batches(spark, path)
+
+
+@BOOK.query("SELECT n_nationkey::VARCHAR AS station, c_name AS time, c_acctbal AS balance, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, NULL::DOUBLE AS rain FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def read_payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document of parallel arrays for each nation, with nulls inside an array and an array that is missing."""
+    path = scratch_path(spark, "payloads")
+    customers = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey")
+    segment = F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).otherwise("")
+    rows = customers.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_name", "c_acctbal", segment.alias("segment")))).alias("x"))
+    station = F.transform("x", lambda _: F.col("c_nationkey").cast("string"))
+    segments = F.transform("x.segment", lambda s: F.nullif(s, F.lit("")))
+    daily = F.struct(station.alias("station"), F.col("x.c_name").alias("time"), F.col("x.c_acctbal").alias("balance"), segments.alias("segment"))
+    rows.select(F.to_json(F.struct(daily.alias("daily")), {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    schema = "daily struct<station: array<string>, time: array<string>, balance: array<double>, segment: array<string>, rain: array<double>>"
+    return read_payloads(spark, path, schema, "daily.time", {"daily.station": "string", "daily.balance": "double", "daily.segment": "string", "daily.rain": "double"})
+
+
+@BOOK.query("SELECT p_brand, p_type, p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey DESC) = 1")
+def read_lookup_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file with a header, in the order of its keys; of a key the last line wins."""
+    path = scratch_path(spark, "lookup")
+    part = read(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", "p_name")
+    part.orderBy("p_partkey").coalesce(1).write.csv(path, header=True)
+    return read_lookup(spark, path, "p_brand string, p_type string, p_partkey long, p_name string", ["p_brand", "p_type"])
+
+
+@BOOK.query(
+    """SELECT event_type AS stage, count(DISTINCT ts::DATE)::BIGINT AS runs, count(*)::BIGINT AS rows_in, max(ts) AS last FROM events WHERE day(ts) % 2 = 1 GROUP BY 1"""
+)
+def read_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run record for each kind of event and day, one JSON document a file; those of even days are cut short, and skipped."""
+    path = scratch_path(spark, "runs")
+    days = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage"), F.to_date("ts").alias("day")).agg(F.count("*").alias("rows_in"), F.max("ts").alias("last"))
+    record = F.to_json(F.struct("stage", "rows_in", F.date_format("last", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("finished_at")))
+    cut = F.when(F.day("day") % 2 == 0, F.expr("left(record, 9)")).otherwise(F.col("record"))
+    days.withColumn("record", record).select(cut.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    runs = read_runs(spark, path).where("stage is not null")
+    return runs.groupBy("stage").agg(F.count("*").alias("runs"), F.sum("rows_in").alias("rows_in"), F.max(F.col("finished_at").cast("timestamp_ntz")).alias("last"))

@@ -20,6 +20,22 @@ def read_batches(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return df.select("*", F.when(month != "", month).alias("_batch_id"), name.alias("_source_file"))
 
 
+def write_batches(df: DataFrame, path: str, batch: str, name: str) -> None:
+    """A Parquet file `name`_YYYY-MM.parquet under path for each month in the column `batch`, which is not in it; read_batches reads them."""
+    spark = df.sparkSession
+    work = f"{path.rstrip('/')}.staged"
+    df.repartition(batch).write.partitionBy(batch).parquet(work)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place(path))
+    for folder in fs.listStatus(place(work)):
+        month = folder.getPath().getName().partition("=")[2]
+        for k, f in enumerate(x for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")) if folder.isDirectory() else ():
+            if not fs.rename(f.getPath(), place(f"{path}/{name}_{month}{f'.{k}' if k else ''}.parquet")):
+                raise OSError(f"could not land {name} of {month}")
+    fs.delete(place(work), True)
+
+
 def parallel_arrays_to_rows(df: DataFrame, index: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """A row for each entry of the array `index`, with the entries of the other arrays at its place.
 

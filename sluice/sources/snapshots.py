@@ -39,7 +39,10 @@ def keyed_lookup(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    """A CSV file with a header as a keyed lookup; the last line of a key wins."""
+    """A CSV file with a header as a keyed lookup; the last line of a key wins.
+
+    Lines are numbered in the one reading that ranks them: ids rise within a file's splits in their order.
+    """
     rows = spark.read.csv(path, header=True, schema=schema)
     return keyed_lookup(rows.withColumn("__line", F.monotonically_increasing_id()), keys, "__line")
 

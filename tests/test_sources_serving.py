@@ -128,5 +128,5 @@ def test_month_snapshots_do_not_need_orders_in_their_months(spark, tmp_path):
     rows_ = [(1, datetime(1999, 5, 1)), (2, datetime(2000, 3, 31, 23)), (3, datetime(2001, 8, 1))]
     spark.createDataFrame(rows_, "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
     got = rows(QUERIES["asof_snapshots_by_month"](spark, str(tmp_path)).select("_batch_id", "orders", "last_key"))
-    months = [f"{y}-{m:02d}" for y in (2000, 2001) for m in range(1, 13)][:18]
-    assert got == [(m, 1, 1) if m < "2000-03" else (m, 2, 2) for m in months]
+    months = [f"{y}-{m:02d}" for y in (1999, 2000, 2001) for m in range(1, 13)][4:32]  # of the first to the last order
+    assert got == [(m, 1, 1) if m < "2000-03" else (m, 2, 2) if m < "2001-08" else (m, 3, 3) for m in months]
