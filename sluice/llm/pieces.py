@@ -134,12 +134,12 @@ class PieceCodec:
         self.known, self.apart = Remembered(CACHE_CHUNKS), self.model.plain()
         self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's begin (and the last end), and whether the SentencePiece library has the same for it."""
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's begin (and the last end), whether the SentencePiece library has the same for it, and whether they decode to the text."""
         texts = column.cast(pa.string()).fill_null("")
         if not self.apart:
             made = self._encoded(rows := texts.to_pylist(), rows)
-            return *gathered([x for x, _ in made], np.arange(len(made)), np.arange(len(made) + 1)), np.array([same for _, same in made], bool)
+            return *gathered([x[0] for x in made], np.arange(len(made)), np.arange(len(made) + 1)), *(np.array([x[k] for x in made], bool) for k in (1, 2))
         # a text's chunks are what its markers part; only where markers run on are chunks not simply words
         runs = pc.match_substring_regex(pc.replace_substring(texts, MARK, " "), "^ |  | $").to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")
@@ -162,40 +162,51 @@ class PieceCodec:
             number, at = number[~np.repeat(empty, np.diff(at))], np.concatenate([[0], np.cumsum(sizes)])
         known = self.known.of([distinct], self._new)
         ids, ends = gathered([known[c][0] for c in distinct], number, at)
-        same = np.ones(len(texts), bool)
-        wrong = np.array([not known[c][1] for c in distinct], bool)
-        if wrong.any():
-            same = np.diff(np.concatenate([[0], np.cumsum(wrong[number])])[at]) == 0
-        return ids, ends, same
+        # a text's ids decode to what its chunks' ids decode to, one after the other
+        flags = []
+        for k in (1, 2):
+            wrong = np.array([not known[c][k] for c in distinct], bool)
+            flags.append(np.diff(np.concatenate([[0], np.cumsum(wrong[number])])[at]) == 0 if wrong.any() else np.ones(len(texts), bool))
+        return ids, ends, *flags
 
     def _check(self, texts: list[str]) -> list[list[int]]:
         return self.check.encode(texts, num_threads=self.threads)
 
-    def _encoded(self, chunks: list[str], as_checked: list[str]) -> list[tuple[bytes, bool]]:
-        """Packed ids of each chunk, and whether the SentencePiece library has the same for its form in as_checked."""
+    def _checked(self, chunks: list[str], ids: list[list[int]], wanted: list[list[int]]) -> list[tuple[bytes, bool, bool]]:
+        """Packed ids of each chunk, whether they are the wanted ones, and whether the rebuilt decoder makes the chunk of them again."""
+        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [(array("I", x).tobytes(), x == want, t == c.replace(MARK, " ")) for c, x, want, t in zip(chunks, ids, wanted, texts)]
+
+    def _encoded(self, chunks: list[str], as_checked: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """Chunks one by one, verified by the SentencePiece library in the form of as_checked."""
         out = []
         for i in range(0, len(chunks), AT_ONCE):
-            own = self.tokenizer.encode_batch_fast(chunks[i : i + AT_ONCE], add_special_tokens=False)
-            out += [(array("I", e.ids).tobytes(), e.ids == want) for e, want in zip(own, self._check(as_checked[i : i + AT_ONCE]))]
+            some = chunks[i : i + AT_ONCE]
+            own = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            out += self._checked(some, [e.ids for e in own], self._check(as_checked[i : i + AT_ONCE]))
         return out
 
-    def _new(self, chunks: list[str]) -> list[tuple[bytes, bool]]:
-        """Packed ids and parity of new chunks. Those of one marker go as texts of many; their first ids tell them apart."""
-        found: dict[str, tuple[bytes, bool]] = {}
+    def _new(self, chunks: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """What is remembered of new chunks. Those of one marker go as texts of many; their first ids tell them apart."""
+        found: dict[str, tuple[bytes, bool, bool]] = {}
         single = [c for c in chunks if c and not c.startswith(MARK)]
         for i in range(0, len(single), AT_ONCE):
             groups = [single[k : k + GROUP] for k in range(i, min(i + AT_ONCE, len(single)), GROUP)]
             texts = [" ".join(g) for g in groups]
             own = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            names, ids = [], []
             for group, e, want in zip(groups, own, self._check(texts)):
-                first = np.flatnonzero(self.marked[e.ids]).tolist()
-                if e.ids == want and len(first) == len(group):
-                    found.update(zip(group, ((array("I", e.ids[a:b]).tobytes(), True) for a, b in zip(first, [*first[1:], None]))))
+                made = e.ids
+                first = np.flatnonzero(self.marked[made]).tolist()
+                if made == want and len(first) == len(group):
+                    names += group
+                    ids += [made[a:b] for a, b in zip(first, [*first[1:], None])]
+            found.update(zip(names, self._checked(names, ids, ids)))
         rest = [c for c in chunks if c not in found and c]
         found.update(zip(rest, self._encoded(rest, [c.replace(MARK, " ") for c in rest])))
         if "" in chunks:  # a lone marker, at the end of a text: that of a letter and a space, less the letter
             alone, own = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "a "))
-            found[""] = array("I", own[len(alone) :]).tobytes(), own == self._check(["a "])[0]
+            found[""] = array("I", own[len(alone) :]).tobytes(), own == self._check(["a "])[0], self.tokenizer.decode(own, skip_special_tokens=False) == "a "
         return [found[c] for c in chunks]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
@@ -236,7 +247,8 @@ def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = Fals
     The ids are the rebuilt tokenizer's, whatever the library says.
 
     verify adds round_trip: the ids, decoded, give the text again, with the marker
-    itself as a space. It is done in the same pass, so that a task has one worker.
+    itself as a space. As decoding goes chunk by chunk, a worker decodes each distinct
+    chunk once, when it encodes it.
 
     Whole texts are encoded; a null text is empty and has no ids. Other columns pass
     through, and those named as the new ones are replaced. No rows give no rows.
@@ -246,12 +258,11 @@ def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = Fals
         c = codec(model)
 
         def encode(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids, ends, same = c.encode(batch.column(text))
+            ids, ends, same, back = c.encode(batch.column(text))
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
             made = [column, pa.array(np.diff(ends), pa.int64()), pa.array(same)]
             if verify:
-                texts = pc.replace_substring(batch.column(text).cast(pa.string()).fill_null(""), MARK, " ")
-                made.append(pc.equal(pa.array(c.decode(ids, ends), pa.string()), texts))
+                made.append(pa.array(back))
             return made
 
         return encode

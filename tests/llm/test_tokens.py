@@ -99,16 +99,16 @@ def test_ids_are_the_rebuilt_tokenizers(monkeypatch):
     c = pieces.codec(PIECES)
     want = c.check.encode(texts)
     monkeypatch.setattr(c, "_check", lambda rows: [[5] for _ in rows])
-    ids, at, same = c.encode(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want and same.tolist() == [not t for t in texts]
+    ids, at, same, back = c.encode(pa.array(texts))
+    assert back.all() and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want and same.tolist() == [not t for t in texts]
     assert c.decode(ids, at) == [t.replace("▁", " ") for t in texts]
 
 
 def test_runs_of_spaces_agree_with_the_library():
     c = pieces.PieceCodec(PIECES)
     texts = [a + " " * n + b for n in range(1, 200) for a in ("", "a") for b in ("", "b")] + [" " * 100_000]
-    ids, at, same = c.encode(pa.array(texts))
-    assert same.all() and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == c.check.encode(texts)
+    ids, at, same, back = c.encode(pa.array(texts))
+    assert same.all() and back.all() and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == c.check.encode(texts)
 
 
 def test_parity_of_the_rebuilt_tokenizer():
