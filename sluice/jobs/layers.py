@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.calendar import LATE_DAYS, batch_calendar, context
 from sluice.operators.contracts import Contract, conform
 from sluice.operators.keys import fingerprint_diff, fingerprints, latest_per_key
 from sluice.operators.rollups import window_of
@@ -125,6 +126,32 @@ def build_tables(
         publish(gold_refresh(old, spark.read.parquet(f"{root}/silver"), partition, *window, summarise), f"{root}/gold")
 
 
+def backfill_range(
+    root: str,
+    rows: DataFrame,
+    first: str,
+    last: str,
+    rules: Sequence[Rule],
+    project: Mapping[str, Column],
+    keys: Sequence[str],
+    latest: Sequence[str],
+    partition: str,
+    update_when: str,
+    summarise,
+    stages: Sequence[str] = ("silver", "gold"),
+    late_days: int = LATE_DAYS,
+) -> None:
+    """The batches from first to last through the chosen stages, all at once; rows of other batches stay out.
+
+    Gold days are made anew from the late window of the first batch to the end of the
+    last, as the batches one after the other would. Running it again changes nothing.
+    """
+    calendar = batch_calendar(rows.sparkSession, first, last, late_days)
+    window = context(first, late_days)["late_start"], context(last, late_days)["batch_end"]
+    wanted = rows.where(F.col("_batch_id").between(first, last))
+    build_tables(root, wanted, rules, calendar, project, keys, latest, partition, update_when, window, summarise, stages)
+
+
 def same_after_rerun(build, *inputs: DataFrame) -> DataFrame:
     """fingerprint_diff of the tables (by name) that build(*inputs) makes, and makes again with its own as before."""
     once = build(*inputs, None)

@@ -36,6 +36,33 @@ def ratio(a: str, b: str, scale: float = 1, digits: int = 2) -> Column:
     return F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")) * scale, digits)
 
 
+def totals(df: DataFrame, sums: Sequence[str], by: Sequence[str] = (), rows: str = "rows", shares: Mapping[str, tuple[str, str, float]] | None = None) -> DataFrame:
+    """Row count, sums and rounded shares, of all rows or for each group, null ones too; without rows one row of nulls, or no group.
+
+    shares: new name -> (a, b, scale), the ratio of their sums. A sum of decimals keeps two digits.
+    """
+    shares, types = shares or {}, dict(df.dtypes)
+    of = dict.fromkeys([*sums, *(c for a, b, _ in shares.values() for c in (a, b))])
+    sum_of = lambda c: F.sum(c).cast("decimal(38,2)") if types[c].startswith("decimal") else F.sum(c)
+    found = df.groupBy(*by).agg(F.count("*").alias(rows), *(sum_of(c).alias(f"__{c}") for c in of))
+    return found.select(*by, rows, *(F.col(f"__{c}").alias(c) for c in sums), *(ratio(f"__{a}", f"__{b}", scale).alias(n) for n, (a, b, scale) in shares.items()))
+
+
+def median_of(df: DataFrame, keys: Sequence[str], column: str, digits: int = 2) -> DataFrame:
+    """The exact median of a column for each key, rounded; nulls don't count, and none but nulls give null."""
+    return df.groupBy(*keys).agg(F.round(F.median(column), digits).alias(column))
+
+
+def dimension(df: DataFrame, columns: Mapping[str, str], *lookups: tuple[DataFrame, str, str]) -> DataFrame:
+    """A dimension whose key is the source's own: columns (new name -> column) of df with lookups joined to it.
+
+    lookups: (table, column so far, its key, which stands once); what has no match has nulls.
+    """
+    for table, column, key in lookups:
+        df = df.join(table, F.col(column) == table[key], "left")
+    return df.select(*(F.col(c).alias(n) for n, c in columns.items()))
+
+
 def is_weekend(day: str) -> Column:
     return F.dayofweek(day).isin(1, 7)
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import calendar_of
-from sluice.jobs.layers import backfill, build_tables, gold_refresh, same_on_disk, silver
+from sluice.jobs.layers import backfill, backfill_range, build_tables, gold_refresh, same_on_disk, silver
 from sluice.operators.contracts import Contract, conform
 from sluice.operators.keys import latest_per_key, row_id
-from sluice.operators.rollups import date_dimension, is_weekend, ratio, resum, rollup_fact, top_k, window_of
+from sluice.operators.rollups import date_dimension, dimension, is_weekend, ratio, resum, rollup_fact, top_k, totals, window_of
 from sluice.operators.rules import Rule, validate
 from sluice.operators.tables import scratch_path
 from sluice.queries.book import Book, read
@@ -94,20 +94,18 @@ def dim_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("SELECT s_suppkey AS supplier_key, s_name AS supplier, n_name AS nation, r_name AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def dim_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    rows = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select(F.col("s_suppkey").alias("supplier_key"), F.col("s_name").alias("supplier"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    columns = {"supplier_key": "s_suppkey", "supplier": "s_name", "nation": "n_name", "region": "r_name"}
+    return dimension(read(spark, sf_dir, "supplier"), columns, (nation, "s_nationkey", "n_nationkey"), (region, "n_regionkey", "r_regionkey"))
 
 
 @BOOK.query(f"WITH {DAILY_SQL} SELECT is_weekend, count(*)::BIGINT AS days, sum(price)::DECIMAL(38,2) AS price, round(sum(tax)::DOUBLE / sum(price)::DOUBLE * 100000, 2) AS tax_share FROM summary GROUP BY 1")
 def weekend_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = daily_summary(spark, sf_dir)
-    sums = daily.groupBy("is_weekend").agg(F.count("*").alias("days"), F.sum("price").cast("decimal(38,2)").alias("price"), F.sum("tax").alias("tax"))
-    return sums.select("is_weekend", "days", "price", ratio("tax", "price", 100_000).alias("tax_share"))
+    return totals(daily_summary(spark, sf_dir), ["price"], ["is_weekend"], rows="days", shares={"tax_share": ("tax", "price", 100_000)})
 
 
 @BOOK.query(f"WITH {DAILY_SQL} SELECT sum(lines)::BIGINT AS lines, sum(price)::DECIMAL(38,2) AS price, count(*)::BIGINT AS days FROM summary")
 def kpi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_of(fact_of(lines(spark, sf_dir))).agg(F.sum("lines").alias("lines"), F.sum("price").cast("decimal(38,2)").alias("price"), F.count("*").alias("days"))
+    return totals(daily_of(fact_of(lines(spark, sf_dir))), ["lines", "price"], rows="days")
 
 
 @BOOK.query(f"WITH {DAILY_SQL} SELECT ship_date, orders, price FROM summary ORDER BY ship_date")
@@ -186,3 +184,19 @@ def backfill_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = read(spark, sf_dir, "lineitem").where("l_suppkey % 3 <> 1 AND l_discount > 0.05").join(orders, "l_orderkey").select(F.col("l_suppkey").alias("s_suppkey"), "_batch_id")
     calendar = calendar_of(read(spark, sf_dir, "orders"), "o_orderdate")
     return backfill(_batched(spark, sf_dir), BATCH_RULES, calendar, _project(), KEYS, LATEST, refs={"l_suppkey": ("supplier", suppliers, "s_suppkey")}).table
+
+
+@BOOK.query(
+    f"""WITH {BATCHED_SQL}, good AS (SELECT * FROM batched WHERE {WINDOW_SQL} AND b >= DATE '1996-01-01' AND b < DATE '1999-01-01'), silver AS ({SILVER_SQL.format(rows='good')})
+    SELECT ship_date, count(*)::BIGINT AS lines, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(38,2) AS price FROM silver
+    WHERE ship_date >= DATE '1995-12-25' AND ship_date < DATE '1997-01-01' OR ship_date >= DATE '1997-05-25' AND ship_date < DATE '1999-01-01' GROUP BY 1""",
+    name="backfill_range",
+)
+def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of months through chosen stages: silver alone, then both over months that overlap, then gold alone of a year whose silver is there."""
+    root = scratch_path(spark, "backfill")
+    rows = _batched(spark, sf_dir)
+    summarise = lambda r: rollup_fact(r, ["ship_date"], {"price": "l_extendedprice"}, {}, rows="lines")
+    for first, last, stages in (("1996-01", "1997-12", ["silver"]), ("1997-06", "1998-12", ["silver", "gold"]), ("1996-01", "1996-12", ["gold"])):
+        backfill_range(root, rows, first, last, BATCH_RULES, _project(), KEYS, LATEST, "ship_date", "s._batch_id >= t._batch_id", summarise, stages)
+    return spark.read.parquet(f"{root}/gold")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import observe
+from sluice.operators.rollups import median_of
 from sluice.operators.rules import Rule, validate
 from sluice.operators.tables import scratch_path
 from sluice.queries.book import Book, read
@@ -75,7 +76,7 @@ def stage_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query("SELECT event_type AS stage, round(median(value), 2) AS median_seconds FROM events GROUP BY 1")
 def latency_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.round(F.median("value"), 2).alias("median_seconds"))
+    return median_of(read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("median_seconds")), ["stage"], "median_seconds")
 
 
 #: Each user's event kinds as inputs and outputs of a stage.

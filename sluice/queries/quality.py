@@ -140,3 +140,46 @@ def dq_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir).counts
 
 
+#: A whole rule set: six values that must be there, five ranges, three expressions and three references.
+ORDER_RULES = [
+    *(Rule(f"{c}_known", "not_null", c, f"{c} required") for c in ("ordered", "shipped", "l_partkey", "l_suppkey", "quantity", "price")),
+    Rule("quantity_range", "range", "quantity", "quantity outside 1..49", {"min": 1, "max": 49}),
+    Rule("price_range", "range", "price", "price outside 2000..90000", {"min": 2000, "max": 90000}),
+    Rule("discount_range", "range", "l_discount", "discount outside 0..0.09", {"min": 0, "max": 0.09}),
+    Rule("tax_range", "range", "l_tax", "tax outside 0..0.07", {"min": 0, "max": 0.07}),
+    Rule("total_range", "range", "o_totalprice", "total outside 2000..400000", {"min": 2000, "max": 400000}),
+    Rule("shipped_after_ordered", "expression", None, "shipped before ordered", {"expr": "shipped >= ordered"}),
+    Rule("shipped_soon", "expression", None, "shipped after 90 days", {"expr": "datediff(shipped, ordered) <= 90"}),
+    Rule("in_window", "expression", None, "outside the batch and its late window", {"expr": "shipped >= '{late_start}' AND shipped < '{batch_end}'"}),
+    Rule("part_exists", "referential", "l_partkey", "unknown part", {"ref_table": "parts", "ref_column": "p_partkey"}),
+    Rule("supplier_exists", "referential", "l_suppkey", "unknown supplier", {"ref_table": "suppliers", "ref_column": "s_suppkey"}),
+    Rule("customer_exists", "referential", "o_custkey", "unknown customer", {"ref_table": "customers", "ref_column": "c_custkey"}),
+]
+
+
+@BOOK.query(
+    """WITH rows AS (SELECT l_orderkey, nullif(l_partkey, 7) AS l_partkey, l_suppkey, o_custkey, nullif(l_quantity, 7) AS quantity, l_extendedprice AS price, l_discount, l_tax, o_totalprice, o_orderdate AS ordered,
+      CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN NULL ELSE l_shipdate END AS shipped, date_trunc('month', o_orderdate) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    flagged AS (SELECT l_orderkey, array_to_string(list_filter([
+      CASE WHEN ordered IS NULL THEN 'ordered_known' END, CASE WHEN shipped IS NULL THEN 'shipped_known' END, CASE WHEN l_partkey IS NULL THEN 'l_partkey_known' END,
+      CASE WHEN l_suppkey IS NULL THEN 'l_suppkey_known' END, CASE WHEN quantity IS NULL THEN 'quantity_known' END, CASE WHEN price IS NULL THEN 'price_known' END,
+      CASE WHEN quantity NOT BETWEEN 1 AND 49 THEN 'quantity_range' END, CASE WHEN price NOT BETWEEN 2000 AND 90000 THEN 'price_range' END,
+      CASE WHEN l_discount NOT BETWEEN 0 AND 0.09::DOUBLE THEN 'discount_range' END, CASE WHEN l_tax NOT BETWEEN 0 AND 0.07::DOUBLE THEN 'tax_range' END, CASE WHEN o_totalprice NOT BETWEEN 2000 AND 400000 THEN 'total_range' END,
+      CASE WHEN NOT coalesce(shipped >= ordered, false) THEN 'shipped_after_ordered' END, CASE WHEN NOT coalesce(datediff('day', ordered, shipped) <= 90, false) THEN 'shipped_soon' END,
+      CASE WHEN NOT coalesce(shipped >= b - INTERVAL 7 DAY AND shipped < b + INTERVAL 1 MONTH, false) THEN 'in_window' END,
+      CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45) THEN 'part_exists' END, CASE WHEN l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) THEN 'supplier_exists' END,
+      CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -500) THEN 'customer_exists' END], lambda x: x IS NOT NULL), ',') AS rules FROM rows)
+    SELECT rules, count(*)::BIGINT AS n, sum(l_orderkey)::BIGINT AS keys FROM flagged GROUP BY 1"""
+)
+def dq_rule_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seventeen rules over all lines with their orders; valid rows are those of no rule."""
+    orders = read(spark, sf_dir, "orders")
+    dated = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice", F.col("o_orderdate").alias("ordered"), F.date_format("o_orderdate", "yyyy-MM").alias("_batch_id"))
+    rows = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.nullif(F.col("l_partkey"), F.lit(7)).alias("l_partkey"), "l_suppkey", F.nullif(F.col("l_quantity"), F.lit(7.0)).alias("quantity"), F.col("l_extendedprice").alias("price"), "l_discount", "l_tax",
+        F.when(~((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)), F.col("l_shipdate")).alias("shipped"),
+    )
+    known = {"parts": ("part", "p_size <= 45"), "suppliers": ("supplier", "s_acctbal >= 0"), "customers": ("customer", "c_acctbal > -500")}
+    refs = {name: read(spark, sf_dir, table).where(condition) for name, (table, condition) in known.items()}
+    flagged = validate(rows.join(dated, "l_orderkey"), ORDER_RULES, calendar=calendar_of(orders, "o_orderdate"), batch="_batch_id", refs=refs).flagged
+    return flagged.groupBy(F.array_join("_failed_rules", ",").alias("rules")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))

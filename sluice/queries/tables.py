@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.keys import first_per_key, fingerprint_diff, fingerprints, latest_per_key, text_fingerprint
 from sluice.operators.serving import capped_sql, page, role_tables, scoped_session
-from sluice.operators.tables import merge_upsert, replace_where
+from sluice.operators.tables import merge_upsert, publish, publish_partitions, replace_where, scratch_path
 from sluice.queries.book import Book, read
 
 BOOK = Book()
@@ -75,6 +75,47 @@ def replace_where_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_where(t, s.where("price > 300000"), "price > 300000")
 
 
+# The same on disk: written, changed in place and read back.
+
+
+@BOOK.query(
+    f"""WITH {LOADS_SQL} SELECT k, status, price, batch FROM t WHERE NOT coalesce(price > 300000, false)
+    UNION ALL SELECT k, status, price, batch FROM s WHERE price > 300000"""
+)
+def replace_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table replaced in part, by a plan that reads it, twice."""
+    path = scratch_path(spark, "replaced")
+    t, s = _loads(spark, sf_dir)
+    publish(t, path)
+    for _ in range(2):
+        publish(replace_where(spark.read.parquet(path), s.where("price > 300000"), "price > 300000"), path)
+    return spark.read.parquet(path)
+
+
+@BOOK.query("SELECT p_partkey::VARCHAR AS part_key, p_brand AS brand, p_retailprice AS price, p_size > 25 AS large FROM part")
+def overwrite_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written over by one of other columns and types, made from it."""
+    path = scratch_path(spark, "overwritten")
+    publish(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), "p_name", "p_brand", "p_size", "p_retailprice"), path)
+    old = spark.read.parquet(path)
+    publish(old.select(F.col("part_key").cast("string").alias("part_key"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), (F.col("p_size") > 25).alias("large")), path)
+    return spark.read.parquet(path)
+
+
+@BOOK.query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN year(l_shipdate) = 1998 THEN l_extendedprice + 1 ELSE l_extendedprice END AS price, coalesce(strftime(l_shipdate, '%Y-%m'), 'none') AS _batch_id
+    FROM lineitem WHERE coalesce(year(l_shipdate) <> 1998 OR (month(l_shipdate) <= 6 AND l_quantity >= 10), true)"""
+)
+def partitions_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by month; the months of one year are replaced, those of its second half by nothing, others left as they are."""
+    path = scratch_path(spark, "months")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_extendedprice").alias("price"), F.coalesce(F.date_format("l_shipdate", "yyyy-MM"), F.lit("none")).alias("_batch_id"))
+    publish(lines, path, ["_batch_id"])
+    year = lines.where("_batch_id LIKE '1998-%'").withColumn("price", F.col("price") + 1)
+    publish_partitions(year.where("_batch_id <= '1998-06' AND l_quantity >= 10"), path, "_batch_id", year)
+    return spark.read.schema(lines.schema).parquet(path).drop("l_quantity")
+
+
 @BOOK.query(name="fingerprint")
 def fingerprint_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints({t: read(spark, sf_dir, t) for t in ("orders", "customer", "supplier", "part", "nation", "region", "lineitem")})

@@ -131,3 +131,29 @@ def test_partitions_come_back_when_a_rename_fails(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         T.publish_partitions(df.withColumn("v", F.lit(0)), path, "p", df.select("p"))
     assert rows(spark.read.parquet(path)) == [(10, "a b/c=d"), (20, "e"), (3, "f")] and not [x for x in tmp_path.iterdir() if x.name != "t"]
+
+
+def test_range_backfill_equals_batch_after_batch(spark, tmp_path):
+    data = {
+        "2024-01": [(1, "2024-01-02", 1, 5.0), (2, "2024-01-31", 1, 6.0), (3, "2023-12-28", 1, 7.0), (4, "2023-11-01", 1, 8.0)],
+        "2024-02": [(2, "2024-01-31", 1, 9.0), (5, "2024-02-03", 2, 1.0), (6, "2024-01-26", 2, -1.0), (7, "2024-01-27", 2, 2.0)],
+        "2024-03": [(8, "2024-03-01", 1, 3.0), (9, "2024-02-27", 1, 4.0)],
+        "2024-04": [(10, "2024-04-01", 1, 5.0)],
+    }
+    landed = None
+    for batch, found in data.items():
+        part = rides(spark, batch, found)
+        landed = part if landed is None else landed.unionByName(part)
+    summarise = lambda r: rollup_fact(r, ["day"], {"fare": "fare"}, {}, rows="rides")
+
+    def run(name, *ranges):
+        for first, last, *stages in ranges:
+            J.backfill_range(f"file://{tmp_path}/{name}", landed, first, last, ROW_RULES, project(), KEYS, LATEST, "day", "s._batch_id >= t._batch_id", summarise, *stages)
+        return [rows(spark.read.parquet(f"file://{tmp_path}/{name}/{t}").select(*c)) for t, c in (("silver", ["id", "day", "fare", "_batch_id"]), ("gold", ["day", "rides", "fare"]))]
+
+    once = run("once", ("2024-01", "2024-03"))
+    assert once == run("months", *((m, m) for m in ("2024-01", "2024-02", "2024-03"))) == run("once", ("2024-01", "2024-03"))
+    assert once == run("stages", ("2024-01", "2024-02", ["silver"]), ("2024-03", "2024-03", ["silver"]), ("2024-01", "2024-03", ["gold"]))
+    assert [r[0] for r in once[0]] == [1, 2, 3, 5, 7, 8, 9] and [r[3] for r in once[0] if r[0] == 2] == ["2024-02"]
+    with pytest.raises(ValueError):
+        run("none", ("2024-03", "2024-01"))

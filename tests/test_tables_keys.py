@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal as D
 
 import pytest
 from conftest import rows
@@ -75,3 +76,17 @@ def test_publish(spark, tmp_path):
     with pytest.raises(ValueError, match="outside"):
         T.publish_partitions(df, path, "d", touched)
     assert [r[0] for r in rows(spark.read.parquet(path).select("v"))] == [7]
+
+
+def test_totals_median_and_dimension_of_odd_rows(spark):
+    from sluice.operators.rollups import dimension, median_of, totals
+
+    df = spark.createDataFrame([("a", 3.0, 1.0, 1), ("a", 5.0, 3.0, 2), (None, 1.0, 0.0, None), ("b", None, None, 7)], "g string, x double, y double, k int")
+    df = df.withColumn("x", F.col("x").cast("decimal(18,2)"))
+    found = totals(df, ["x"], ["g"], shares={"share": ("x", "y", 10)})
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", 2, D("8.00"), 20.0), (None, 1, D("1.00"), None), ("b", 1, None, None)]))
+    assert [tuple(r) for r in totals(df, ["x"], rows="n").collect()] == [(4, D("9.00"))]
+    assert [tuple(r) for r in totals(df.limit(0), ["x"]).collect()] == [(0, None)] and not totals(df.limit(0), ["x"], ["g"]).count()
+    assert {r.g: r.y for r in median_of(df, ["g"], "y").collect()} == {"a": 2.0, None: 0.0, "b": None}
+    names = spark.createDataFrame([(1, "one"), (2, "two")], "id int, name string")
+    assert sorted(map(str, map(tuple, dimension(df, {"key": "k", "of": "name"}, (names, "k", "id")).collect()))) == sorted(map(str, [(1, "one"), (2, "two"), (None, None), (7, None)]))
