@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import new_path, scratch, slices, written
+from sluice.llm.common import mapped, new_path, scratch, slices, written
 
 SEED = 42
 MAX_BITS = 2
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
                 fp = _majorities(np.array(hashes, np.uint64), np.array(counts, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
 def _stars(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import ODD, SPACE, add_columns, mixed, range_sums, slices, summed, utf8, word_hashes, words_of, written
+from sluice.llm.common import ODD, SPACE, add_columns, mapped, mixed, range_sums, slices, summed, utf8, word_hashes, words_of, written
 
 #: Words are counted in 2 ** BITS buckets of their hash; so many classes of rarity for each doubling.
 BITS, FINE = 15, 4
@@ -306,9 +306,9 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     """(doc_id, row key, a, b): words a to b of a row of (doc_id, row key, text) that a window of a smaller doc_id covers."""
     rows = rows.where("doc_id is not null").select("doc_id", KEY, "text")
     known = rows.sparkSession.sparkContext.broadcast(word_counts(rows, width))
-    sent = rows.mapInArrow(_sent(width, known), SENT_DDL)
+    sent = mapped(rows, _sent(width, known), SENT_DDL)
     dealt = sent.repartition("minimiser").sortWithinPartitions("minimiser", "first_doc")
-    return dealt.mapInArrow(_found(width), f"doc_id long, {KEY} long, a int, b int")
+    return mapped(dealt, _found(width), f"doc_id long, {KEY} long, a int, b int")
 
 
 def _touched(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import Remembered, add_columns, gathered, packed_sizes, slices, written
+from sluice.llm.common import Remembered, add_columns, gathered, mapped, packed_sizes, slices, written
 
 #: Words that one Python worker remembers, twice over.
 CACHE_WORDS = 250_000
@@ -210,7 +210,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: s
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    rows.drop("h").mapInArrow(encode, schema).write.options(
+    mapped(rows.drop("h"), encode, schema).write.options(
         **{"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
     ).orc(path)
 
