@@ -179,10 +179,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and row of each word."""
+def words_of(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and row of each word, a longest run of bytes that `space` (by byte) does not have."""
     solid = np.zeros(len(raw) + 1, bool)
-    np.logical_not(SPACE[raw], out=solid[:-1])
+    np.logical_not(space[raw], out=solid[:-1])
     edge = np.zeros(len(raw) + 1, bool)  # a row begins here
     edge[offsets] = True
     first = solid.copy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, neighbours, pieces, quality, simhash, substrings, tokens, urls
+from sluice.llm import chat, decontaminate, neighbours, pieces, quality, resampling, simhash, substrings, tokens, urls
 from sluice.llm.common import new_path
 
 WORD_BPE = str(Path(public_tokenizers.path("word_bpe_49k.json")))
@@ -89,6 +89,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 #: The rows of op3: digests of the turns, and the length of the escaped text form with its three marks.
 OP3_SQL = r"""
 WITH turns AS (
@@ -145,6 +149,39 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN named n ON w.doc_id = n.doc_id
 """
 
+#: The rows of op11: CRC-32 by its table, over the bytes of each distinct run once.
+OP11_SQL = r"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+texts AS (SELECT doc_id, -1 AS item, text FROM documents UNION ALL SELECT NULL, row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT doc_id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+runs AS (
+  SELECT doc_id, item, unnest(w) AS f FROM words
+  UNION ALL SELECT doc_id, item, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM words WHERE len(w) > 1),
+counted AS (SELECT doc_id, item, f, count(*) AS n FROM runs GROUP BY ALL),
+hexed AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted)),
+bytes AS (SELECT f, list_transform(generate_series(1, len(h) // 2), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT) AS b FROM hexed),
+buckets AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k
+  FROM bytes, crc),
+placed AS (SELECT doc_id, item, k, sum(n)::BIGINT AS n FROM counted JOIN buckets USING (f) GROUP BY ALL),
+s AS (SELECT k, sum(n) AS s FROM placed WHERE item = -1 GROUP BY k),
+t AS (SELECT k, sum(n) AS t FROM placed WHERE item <> -1 GROUP BY k),
+totals AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS ss, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS tt),
+gains AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000))))::BIGINT AS g
+  FROM range(10000) r(k) LEFT JOIN s USING (k) LEFT JOIN t USING (k), totals),
+weights AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight FROM placed JOIN gains USING (k) WHERE item = -1 GROUP BY doc_id),
+scored AS (
+  SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words w LEFT JOIN weights x ON w.doc_id = x.doc_id WHERE w.item = -1),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END::BIGINT AS rank
+FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -156,5 +193,6 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_importance_resampling": OP11_SQL}
