@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, neighbours, pieces, quality, resampling, simhash, substrings, tokens, urls
+from sluice.llm import alignment, chat, decontaminate, minhash, neighbours, pieces, quality, resampling, simhash, substrings, tokens, urls
 from sluice.llm.common import new_path
 
 WORD_BPE = str(Path(public_tokenizers.path("word_bpe_49k.json")))
 PIECES = str(Path(public_tokenizers.path("piece_bpe_32k.model")))
+BYTE_BPE = str(Path(public_tokenizers.path("byte_bpe_50k.json")))
 RANKS, PATTERN = str(Path(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN
 END_ID = 1
 RULES = [
@@ -93,6 +94,15 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", minhash.kept())
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 #: The rows of op3: digests of the turns, and the length of the escaped text form with its three marks.
 OP3_SQL = r"""
 WITH turns AS (
@@ -149,6 +159,25 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN named n ON w.doc_id = n.doc_id
 """
 
+#: The rows of op12: all pairs that share a shingle, and the components of the links.
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM words w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN least l ON w.doc_id = l.a
+"""
+
 #: The rows of op11: CRC-32 by its table, over the bytes of each distinct run once.
 OP11_SQL = r"""
 WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
@@ -194,5 +223,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
-ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_importance_resampling": OP11_SQL}
+ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_importance_resampling": OP11_SQL, "op12_minhash_near_dedup": OP12_SQL}
