@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -28,19 +28,23 @@ from pyspark.sql import functions as F
 from sluice.llm.common import Remembered, gathered, mapped, new_path, scratch, slices, written
 from sluice.llm.pieces import BYTE, MARK, PieceModel
 
-#: Chunks that one Python worker remembers, twice over; chunks of a call; bytes of text of a block.
-CACHE_CHUNKS, AT_ONCE, BLOCK = 150_000, 4_000, 4 << 20
+#: Chunks that one Python worker remembers, twice over, and groups; chunks of a call, and of a text in it; bytes of text of a block.
+CACHE_CHUNKS, CACHE_GROUPS, AT_ONCE, TOGETHER, BLOCK = 150_000, 400_000, 4_000, 100, 4 << 20
 INTERNED_DDL = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, codes array<int>, code int, group string, times long"
 RESULT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-class Aligned(NamedTuple):
-    """A chunk: its groups as `a1,a2|b1`, its ids of either side, and whether both stand for its bytes."""
+class Chunk(NamedTuple):
+    """An aligned chunk: the packed numbers of its groups, its ids of either side, whether both stand for its bytes, and its groups as text."""
 
-    groups: list[str]
+    codes: bytes
     n_a: int
     n_b: int
     whole: bool
+    text: str
+
+
+BROKEN = Chunk(b"", 0, 0, False, "")
 
 
 class Aligner:
@@ -67,8 +71,25 @@ class Aligner:
         self.a_bytes = [bytes(byte.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(size)]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
-        self.names = [str(i) for i in range(max(size, len(model.pieces)))]
-        self.known = Remembered(CACHE_CHUNKS)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin anew with what the worker remembers: chunks, and the groups that their numbers stand for."""
+        self.known, self.groups = Remembered(CACHE_CHUNKS), []
+        self.numbers: dict[str, int] = {}
+        self.pairs: dict[int, int] = {}  # of groups of one id each: a * 2 ** 32 + b
+
+    def _number(self, group: str) -> int:
+        n = self.numbers.setdefault(group, len(self.groups))
+        if n == len(self.groups):
+            self.groups.append(group)
+        return n
+
+    def _pair(self, key: int) -> int:
+        n = self.pairs.get(key)
+        if n is None:
+            n = self.pairs[key] = self._number(f"{key >> 32}|{key & 0xFFFFFFFF}")
+        return n
 
     def chunks(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The distinct chunks of the texts, each without its first space; each chunk's number; where those of each text begin (and the last end)."""
@@ -80,7 +101,8 @@ class Aligner:
         coded = split.flatten().dictionary_encode()
         number, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
         # what ends in white space goes on with the next
-        ends = np.array([bool(c) and not c[-1].isspace() for c in distinct], bool)[number]
+        cut = pc.utf8_rtrim_whitespace(coded.dictionary)
+        ends = (pc.equal(cut, coded.dictionary).to_numpy(zero_copy_only=False) & (pc.binary_length(cut).to_numpy() > 0))[number]
         ends[at[1:] - 1] = True
         odd = np.flatnonzero(~ends)
         if not len(odd):
@@ -97,57 +119,80 @@ class Aligner:
             sizes[i] = len(whole)
         return list(place), np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes)])
 
-    def _new(self, chunks: list[str]) -> list[Aligned]:
-        out = []
-        for i in range(0, len(chunks), AT_ONCE):
-            some = chunks[i : i + AT_ONCE]
-            a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in some], add_special_tokens=False)]
-            b = self.b.encode(some, num_threads=self.threads)
-            for k in [k for k, c in enumerate(some) if not c]:  # a lone marker: that behind a letter
-                b[k] = self.b.encode("a ")[len(self.b.encode("a")) :]
-            out += self._aligned(some, a, b)
-        return out
-
-    def _aligned(self, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> list[Aligned]:
-        own = [(" " + c).encode() for c in chunks]
-        whole = [b"".join([self.a_bytes[i] for i in x]) == t == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(own, a, b)]
-        a, b = ([x if ok else [] for x, ok in zip(side, whole)] for side in (a, b))
-        ids = [np.fromiter((i for x in side for i in x), np.int64) for side in (a, b)]
-        # where tokens end, all chunks one after the other: a chunk's end is one of both
-        ends = [np.cumsum(size[i]) for size, i in zip(self.sizes, ids)]
-        both, to_a, to_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
-        names = [[self.names[i] for i in x.tolist()] for x in ids]
-        groups, p, q = [], 0, 0
-        for i, j in zip((to_a + 1).tolist(), (to_b + 1).tolist()):
-            groups.append(f"{names[0][p] if i == p + 1 else ','.join(names[0][p:i])}|{names[1][q] if j == q + 1 else ','.join(names[1][q:j])}")
-            p, q = i, j
-        last = np.cumsum([len(t) if ok else 0 for t, ok in zip(own, whole)])
-        stop = np.searchsorted(both, last, "right").tolist()
-        return [Aligned(groups[i:j], len(x), len(y), ok) for i, j, x, y, ok in zip([0, *stop], stop, a, b, whole)]
+    def _new(self, chunks: list[str]) -> list[Chunk]:
+        """Chunks that end in a character go as texts of many, whose ends are chunks' ends on both sides; others one by one."""
+        found: dict[str, Chunk] = {}
+        if self.apart:
+            closed = [c for c in chunks if c and not c[-1].isspace()]
+            for i in range(0, len(closed), AT_ONCE):
+                parts = [closed[k : k + TOGETHER] for k in range(i, min(i + AT_ONCE, len(closed)), TOGETHER)]
+                self._found(found, parts, [" ".join(p) for p in parts])
+        rest = [c for c in chunks if c not in found]
+        for i in range(0, len(rest), AT_ONCE):
+            some = rest[i : i + AT_ONCE]
+            self._found(found, [[c] for c in some], some)
+        return [found.get(c, BROKEN) for c in chunks]
+
+    def _found(self, found: dict[str, Chunk], parts: list[list[str]], texts: list[str]) -> None:
+        """Add the chunks of the parts, each of which is encoded as a text; those of a part whose bytes or ends do not fit are left out."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=self.threads)
+        for k in [k for k, t in enumerate(texts) if not t]:  # a lone marker: that behind a letter
+            b[k] = self.b.encode("a ")[len(self.b.encode("a")) :]
+        same = [b"".join([self.a_bytes[i] for i in x]) == (" " + t).encode() == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(texts, a, b)]
+        parts, a, b = ([x for x, ok in zip(side, same) if ok] for side in (parts, a, b))
+        chunks = list(chain.from_iterable(parts))
+        if not chunks:
+            return
+        ids = [np.array(list(chain.from_iterable(side)), np.int64) for side in (a, b)]
+        # where tokens end, all texts one after the other
+        both, to_a, to_b = np.intersect1d(*(np.cumsum(size[i]) for size, i in zip(self.sizes, ids)), assume_unique=True, return_indices=True)
+        to_a, to_b = to_a + 1, to_b + 1
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        codes = np.empty(len(both), np.uint32)
+        single = (n_a == 1) & (n_b == 1)
+        pairs, place = np.unique(ids[0][to_a[single] - 1] << 32 | ids[1][to_b[single] - 1], return_inverse=True)
+        codes[single] = np.fromiter(map(self._pair, pairs.tolist()), np.uint32, len(pairs))[place]
+        left, right = (list(map(str, x.tolist())) for x in ids)
+        for g, i, j, m, n in zip(*(x[~single].tolist() for x in (np.arange(len(both)), to_a, to_b, n_a, n_b))):
+            codes[g] = self._number(f"{','.join(left[i - m : i])}|{','.join(right[j - n : j])}")
+        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        at = np.searchsorted(both, ends)
+        fits = both[np.minimum(at, len(both) - 1)] == ends
+        fits[1:] &= fits[:-1]
+        stop, packed = (at + 1).tolist(), codes.tobytes()
+        names = [self.groups[k] for k in codes.tolist()]
+        sizes = [np.diff(x[at], prepend=0).tolist() for x in (to_a, to_b)]
+        for c, i, j, x, y, ok in zip(chunks, [0, *stop], stop, *sizes, fits.tolist()):
+            if ok:
+                found[c] = Chunk(packed[4 * i : 4 * j], x, y, True, ";".join(names[i:j]))
 
     def block(self, column: pa.Array) -> tuple[list[np.ndarray], list[str], pa.Array, list[str], np.ndarray]:
         """Of the texts of a block: n_a, n_b and n_groups; digests; codes; the groups that the codes stand for; how often each stands."""
+        if len(self.groups) > CACHE_GROUPS:
+            self.forget()
         texts = column.cast(pa.string()).fill_null("")
         distinct, number, at = self.chunks(texts)
         known = self.known.of([distinct], self._new)
         found = [known[c] for c in distinct]
-        per_chunk = np.array([(x.n_a, x.n_b, len(x.groups), not x.whole) for x in found], np.int64).reshape(-1, 4)
-        sums = np.zeros((len(number) + 1, 4), np.int64)
-        np.cumsum(per_chunk[number], axis=0, out=sums[1:])
-        counts = np.diff(sums[at], axis=0)
-        bad = (counts[:, 3] > 0) | pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        counts[bad] = 0
-        place: dict[str, int] = {}
-        packed = [array("I", [place.setdefault(g, len(place)) for g in x.groups]).tobytes() for x in found]
+        packed, *counts, whole, shown = zip(*found) if found else ((), (), (), (), ())
+        bad = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        if not all(whole):
+            broken = np.concatenate([[0], np.cumsum(~np.array(whole, bool)[number])])
+            bad |= np.diff(broken[at]) > 0
         if bad.any():  # their chunks go
             sizes = np.where(bad, 0, np.diff(at))
             number, at = number[~np.repeat(bad, np.diff(at))], np.concatenate([[0], np.cumsum(sizes)])
-        codes, ends = gathered(packed, number, at)
-        names = list(place)
-        cut, of = ends.tolist(), codes.tolist()
-        digests = [hashlib.sha256(";".join([names[k] for k in of[i:j]]).encode()).hexdigest() if j > i else "" for i, j in zip(cut, cut[1:])]
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes.view(np.int32)))
-        return [counts[:, k] for k in range(3)], digests, lists, names, np.bincount(codes, minlength=len(names))
+        codes, ends = gathered(list(packed), number, at)
+        totals = [np.diff(np.concatenate([[0], np.cumsum(np.array(n, np.int64)[number])])[at]) for n in counts]
+        cut, of = at.tolist(), number.tolist()
+        digests = [hashlib.sha256(";".join([shown[k] for k in of[i:j]]).encode()).hexdigest() if j > i else "" for i, j in zip(cut, cut[1:])]
+        times = np.bincount(codes, minlength=1)
+        used = np.flatnonzero(times)
+        local = np.zeros(len(times), np.int32)
+        local[used] = np.arange(len(used))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(local[codes]))
+        return [*totals, np.diff(ends)], digests, lists, [self.groups[k] for k in used.tolist()], times[used]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -173,9 +218,8 @@ def interned(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str
                 schema = ["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "codes", "code", "group", "times"]
                 first = [pa.array(np.full(n, block)), part.column("doc_id"), *(pa.array(x) for x in counts), pa.array(digests, pa.string()), lists]
                 yield pa.RecordBatch.from_arrays([*first, of_texts(pa.int32()), of_texts(pa.string()), of_texts(pa.int64())], schema)
-                full = np.flatnonzero(times)
-                rest = [of_groups(t).slice(0, len(full)) for t in (*[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), block)), *rest, pa.array(full, pa.int32()), pa.array([names[i] for i in full.tolist()], pa.string()), pa.array(times[full])], schema)
+                rest = [of_groups(t) for t in (*[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), *rest, pa.array(np.arange(k), pa.int32()), pa.array(names, pa.string()), pa.array(times)], schema)
                 block += 1
 
     return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, INTERNED_DDL)
