@@ -10,7 +10,7 @@ missed with MISSED at most. Whole sets decide on each pair.
 Half keys that one set alone has are dropped before pairs of them are formed. The members
 of a bucket are compared with two of its own, the one whose half keys most sets share and
 the least; links are followed; and of what is not joined by then in some bucket, pairs
-are found through prefixes (prefix_pairs), in space that is linear in the sets.
+are found through prefixes (prefix_links), in space that is linear in the sets.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from sluice.llm.components import components
 from sluice.llm.near_copies import _longs, _names, _sets_of, shingle_sets
 
 ROWS, MISSED, SEED = 4, 1e-5, 12
+#: Nodes of a shingle whose pairs become rows; of a larger crowd so many nodes are held against all others at a time.
+CROWD, OUTSIDERS = 32, 1_024
 #: The minima of a batch are computed over texts of so many bytes at a time.
 SLICE = 1 << 20
 SIGNED_DDL = "doc_id long, s1 long, s2 long, n int, halves array<long>"
@@ -84,27 +87,94 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes (node, root, shingles) of different roots, among them all whose sets have that per cent in common.
+def prefix_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (node, root, shingles): pairs (a, b) of different roots still to be compared, and links (a, b) that are; together they have all links.
 
-    Shingles have one order, the rarest first. Two such sets share a shingle within
-    the first n - ceil(n * percent / 100) + 1 of each, n its size: so texts that
-    share a template alone, however many, have none of it there. Of a
-    shingle's nodes those outside its most frequent root are joined with all.
+    Shingles have one order, the rarest first. Two sets that have that per cent in common
+    share a shingle within the first n - ceil(n * percent / 100) + 1 of each, n its
+    size: so texts that share a template alone, however many, have none of it there.
+    Of a shingle's nodes those outside its most frequent root are held against all:
+    pairs of up to CROWD nodes become rows; larger crowds, mostly near copies of one text
+    that are not near enough to each other, are compared inside tasks, and links alone leave these.
     """
     each = sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    lists = each.join(often, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("known"))
-    # shingles that one node has alone come first, and join with nothing
+    lists = each.join(often, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    lists = written(lists.select("node", "root", "n", F.col("x.s").alias("known")), "lists")
+    # shingles that one node has alone come first, and are in common with none
     length = F.expr(f"n - (n * {percent}L + 99) div 100 + 1 - (n - size(known))").cast("int")
-    rows = lists.select("node", "root", "n", F.explode(F.slice("known", 1, F.greatest(length, F.lit(0)))).alias("x")).select("node", "root", "n", "x.s")
-    rows = written(rows, "prefixes")
-    roots = rows.groupBy("s", "root").agg(F.count("*").alias("size")).groupBy("s").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
-    rows = rows.join(roots.select("s", F.col("m.root").alias("main")), "s")
-    out = rows.where("root != main").select("s", *(F.col(c).alias(f"{c}_1") for c in ("node", "root", "n")))
-    both = out.join(rows, "s").where((F.col("root") != F.col("root_1")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("node_1"))))
-    both = both.where(100 * F.least("n", "n_1") >= percent * F.greatest("n", "n_1"))
-    return both.select(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")).distinct()
+    rows = written(lists.select("node", "root", "n", F.explode(F.slice("known", 1, F.greatest(length, F.lit(0)))).alias("s")), "prefixes")
+    roots = rows.groupBy("s", "root").agg(F.count("*").alias("size")).groupBy("s")
+    roots = roots.agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"), F.sum("size").alias("size")).where("roots > 1")
+    roots = written(roots.select("s", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.size")).alias("outside")), "postings")
+
+    few = rows.join(roots.where(F.col("size") <= CROWD), "s")
+    out = few.where("root != main").select("s", *(F.col(c).alias(f"{c}_1") for c in ("node", "root", "n")))
+    both = out.join(few, "s").where((F.col("root") != F.col("root_1")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("node_1"))))
+    pairs = both.where(100 * F.least("n", "n_1") >= percent * F.greatest("n", "n_1")).select(*_pairs("node", "node_1")).distinct()
+
+    many = rows.join(roots.where(F.col("size") > CROWD), "s").select("s", "node", "main", F.ceil(F.col("outside") / OUTSIDERS).cast("int").alias("parts")).join(lists, "node")
+    own = many.where("root != main").withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "other": F.lit(0)})
+    every = many.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "other": F.lit(1)})
+    dealt = own.unionByName(every).select("s", "part", "other", "node", "root", "main", "n", "known").repartition("s", "part").sortWithinPartitions("s", "part", "other")
+    return pairs, mapped(dealt, _compared(percent), "a long, b long").distinct()
+
+
+def _compared(percent: int):
+    """Rows (s, part, other, node, root, main, n, known) sorted by s, part, other -> links (a, b) of rows with other = 0 and those with other = 1 behind them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, index = None, [], None
+        for batch in batches:
+            key = [np.asarray(batch.column(c)) for c in ("s", "part", "other")]
+            new = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in key])]))
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(batch)]):
+                rows = batch.slice(i, j - i)
+                if now != (key[0][i], key[1][i]):
+                    now, own, index = (key[0][i], key[1][i]), [], None
+                if not key[2][i]:
+                    own.append(rows)
+                elif own:
+                    index = index or _Crowd(pa.Table.from_batches(own).combine_chunks().to_batches()[0], percent)
+                    for part in slices(rows, 64 << 10):
+                        a, b = index.links(part)
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+class _Crowd:
+    """Nodes by the shingles that they share with others, to be held against further nodes."""
+
+    def __init__(self, rows: pa.RecordBatch, percent: int) -> None:
+        self.percent = percent
+        self.node, self.root, self.n = (np.asarray(rows.column(c)).astype(np.int64) for c in ("node", "root", "n"))
+        tokens, of = _flat(rows)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, first = np.unique(tokens[order], return_index=True)
+        self.of, self.at = of[order], np.append(first, len(order))
+
+    def links(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a node here and one of the rows that have the share in common, and different roots."""
+        node, root, main, n = (np.asarray(rows.column(c)).astype(np.int64) for c in ("node", "root", "main", "n"))
+        tokens, of = _flat(rows)
+        place = np.searchsorted(self.tokens, tokens)
+        there = place < len(self.tokens)
+        there[there] = self.tokens[place[there]] == tokens[there]
+        place, of = place[there], of[there]
+        size = self.at[place + 1] - self.at[place]
+        mine = self.of[np.repeat(self.at[place] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        common = np.bincount(np.repeat(of, size) * len(self.node) + mine, minlength=len(node) * len(self.node)).reshape(len(node), -1)
+        near = 100 * common >= self.percent * (n[:, None] + self.n - common)
+        j, i = np.nonzero(near & (root[:, None] != self.root) & ((root == main)[:, None] | (node[:, None] < self.node)))
+        return self.node[i], node[j]
+
+
+def _flat(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows, and the row of each."""
+    known = rows.column("known")
+    return np.asarray(known.flatten()), np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(known)))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,8 +222,9 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     placed = written(placed, "placed")
     apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("z")).where("x != z")
     left = placed.join(apart, "key", "left_semi").select("node", "root").distinct()
-    pairs = prefix_pairs(sets.join(left, "node"), percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(written(similar(written(pairs, "pairs"), sets, percent), "links"))
+    pairs, more = prefix_links(sets.join(left, "node"), percent)
+    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(similar(pairs, sets, percent).unionByName(more), "links"))
     roots = names.join(components(links), "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
 
     found = rows.select("doc_id", "s1", "s2", "n").join(roots, ["s1", "s2"], "left")

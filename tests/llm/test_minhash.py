@@ -99,21 +99,26 @@ def test_a_chain_and_a_large_group(spark):
     assert groups(spark, docs) == brute(docs)
 
 
-def test_texts_of_a_template_make_no_pairs(spark, monkeypatch):
+def test_texts_of_a_template_make_no_pairs(spark):
     """Many texts that share most of their shingles, but not enough: no pair of them is formed by the prefixes."""
-    rng = np.random.default_rng(6)
     core = [f"core{i}" for i in range(90)]
     docs = [(i, " ".join([*core, *(f"own{i}x{k}" for k in range(28))])) for i in range(500)]
-    found = []
-    real = minhash.prefix_pairs
-    monkeypatch.setattr(minhash, "prefix_pairs", lambda *a: found.append(real(*a)) or found[-1])
     assert groups(spark, docs) == sorted([(i, 116, i) for i in range(500)], key=str)
     sets = spark.createDataFrame([(i, i, [*range(90), *range(1000 + 28 * i, 1028 + 28 * i)]) for i in range(500)], "node long, root long, shingles array<long>")
-    assert real(sets, 85).count() == 0
-    near = [(i, i, sorted({*range(100), *rng.integers(1000, 1 << 40, 8).tolist()})) for i in range(40)]
-    pairs = {tuple(r) for r in real(spark.createDataFrame(near, "node long, root long, shingles array<long>"), 85).collect()}
-    want = {(a, b) for a, _, x in near for b, _, y in near if a < b and 100 * len({*x} & {*y}) >= 85 * len({*x} | {*y})}
-    assert want and want <= pairs
+    assert [x.count() for x in minhash.prefix_links(sets, 85)] == [0, 0]
+
+
+@pytest.mark.parametrize("crowd,outsiders", [(0, 7), (0, 1000), (5, 3), (1000, 10)])
+def test_prefixes_find_every_link(spark, monkeypatch, crowd, outsiders):
+    """Whatever is compared in tasks or as rows: all links between roots are there, and links that leave the tasks are right."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    monkeypatch.setattr(minhash, "OUTSIDERS", outsiders)
+    rng = np.random.default_rng(9)
+    near = [(i, i if i % 3 else 0, sorted({*range(100), *rng.integers(1000, 1 << 40, int(rng.integers(2, 9))).tolist()} - {*rng.integers(0, 100, 2).tolist()})) for i in range(60)]
+    near += [(100 + i, 100 + i, sorted(rng.integers(1 << 41, 1 << 42, 30).tolist())) for i in range(5)]
+    pairs, links = ({tuple(r) for r in x.collect()} for x in minhash.prefix_links(spark.createDataFrame(near, "node long, root long, shingles array<long>"), 85))
+    want = {(a, b) for a, r, x in near for b, q, y in near if a < b and r != q and 100 * len({*x} & {*y}) >= 85 * len({*x} | {*y})}
+    assert len(want) > 20 and links <= want <= pairs | links and (crowd or not pairs)
 
 
 def test_op12(spark):
