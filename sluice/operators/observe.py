@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
@@ -32,6 +32,11 @@ class RunRecord:
     def __init__(self, stage: str, batch_id: str, table: str | None) -> None:
         self.fields = {"stage": stage, "table": table, "batch_id": batch_id, "run_id": uuid.uuid4().hex}
         self.seen: dict[str, Observation] = {}
+        self.batches: list[dict] = []
+
+    def by_batch(self, counts: Iterable[Mapping]) -> None:
+        """What each batch of a stage that runs many at once has done (batch_id and counts): there is a record for each, instead of one."""
+        self.batches = [dict(c) for c in counts]
 
     def count(self, df: DataFrame, name: str = "rows_out") -> DataFrame:
         """df, whose rows are counted as they are written: no further pass."""
@@ -50,6 +55,7 @@ def recorded(spark: SparkSession, path: str, stage: str, batch_id: str, table: s
     """Time a stage and append one run record (RECORD) to the folder `path`, for a failed stage too.
 
     What the stage counts through the record is there if it was written before the end.
+    A stage of many batches leaves a record for each (RunRecord.by_batch), or one if it fails.
     """
     record, began = RunRecord(stage, batch_id, table), datetime.now(UTC)
     end: dict = {"status": "failed"}
@@ -62,8 +68,9 @@ def recorded(spark: SparkSession, path: str, stage: str, batch_id: str, table: s
     finally:
         done = datetime.now(UTC)
         times = {"started_at": began.isoformat(), "finished_at": done.isoformat(), "duration_s": (done - began).total_seconds()}
-        row = spark.createDataFrame([(json.dumps(record.fields | end | times),)], "value string")
-        row.coalesce(1).write.mode("append").text(path)
+        parts = record.batches if end["status"] == "success" and record.batches else [{}]
+        lines = spark.createDataFrame([(json.dumps(record.fields | end | times | x),) for x in parts], "value string")
+        lines.coalesce(1).write.option("maxRecordsPerFile", 1).mode("append").text(path)
 
 
 def record_lineage(spark: SparkSession, path: str, records: DataFrame) -> None:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.tables import scratch_path
+
 
 def exact(c: str | Column, kind: str = "decimal(18,2)") -> Column:
     """An amount as a decimal, so that sums do not depend on order; null if it does not fit."""
@@ -48,9 +50,53 @@ def totals(df: DataFrame, sums: Sequence[str], by: Sequence[str] = (), rows: str
     return found.select(*by, rows, *(F.col(f"__{c}").alias(c) for c in sums), *(ratio(f"__{a}", f"__{b}", scale).alias(n) for n, (a, b, scale) in shares.items()))
 
 
-def median_of(df: DataFrame, keys: Sequence[str], column: str, digits: int = 2) -> DataFrame:
-    """The exact median of a column for each key, rounded; nulls don't count, and none but nulls give null."""
-    return df.groupBy(*keys).agg(F.round(F.median(column), digits).alias(column))
+#: Values of a group that one task may sort, and ranges into which a larger group's values are counted at a time.
+HELD, RANGES = 10_000, 64
+
+
+def median_of(df: DataFrame, keys: Sequence[str], column: str, digits: int = 2, held: int = HELD) -> DataFrame:
+    """The exact median of a column for each key, rounded; nulls don't count, and none but nulls give null.
+
+    If no group has more than `held` values, that is Spark's own median, which holds a
+    group's distinct values in a task. Otherwise the values of larger groups are counted by
+    ranges, whose bounds are approximate quantiles; the range that has the middle is
+    counted by ranges again, until it has few values or one alone. The bounds need
+    not be right, as the counts are exact.
+    """
+    rows = df.select(F.struct(*keys or [F.lit(0)]).alias("k"), F.col(column).alias("x"))
+    large = rows.groupBy("k").agg(F.count("x").alias("inside")).where(F.col("inside") > held)
+    # the two middle ranks from 0, what is below the bounds between which both lie, and how many are inside these
+    state = _written(large.select("k", F.expr("(inside - 1) div 2").alias("r1"), F.expr("inside div 2").alias("r2"), F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "inside", F.lit(False).alias("done")), "median")
+    if state.isEmpty():
+        return df.groupBy(*keys).agg(F.round(F.median(column), digits).alias(column))
+    small = rows.join(state.select("k"), "k", "left_anti").groupBy("k").agg(F.round(F.median("x"), digits).alias(column))
+    values = rows.where("x is not null").withColumn("x", F.col("x").cast("double"))
+    within = F.expr("lo is null or x between lo and hi")
+    while not (open_ := state.where(~F.col("done") & (F.col("inside") > held))).isEmpty():
+        inside = values.join(open_, "k").where(within)
+        bounds = inside.groupBy("k").agg(F.array_distinct(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).alias("bounds"))
+        # a bound is a range of its own: a value that stands very often is found so
+        ranged = inside.join(bounds, "k").withColumn("range", 2 * F.size(F.filter("bounds", lambda b: b < F.col("x"))) + F.array_contains("bounds", F.col("x")).cast("int"))
+        counts = ranged.groupBy("k", "range").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z"), *(F.first(c).alias(c) for c in ("r1", "r2", "below")))
+        counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("k").orderBy("range")) - F.col("n") + F.col("below"))
+        middle = counts.where((F.col("before") <= F.col("r2")) & (F.col("before") + F.col("n") > F.col("r1")))
+        # the middle ranks in two ranges: they are the last value of the one and the first of the other
+        two = F.count("*") > 1
+        lo, hi = F.when(two, F.min_by("z", "before")).otherwise(F.min("a")), F.when(two, F.max_by("a", "before")).otherwise(F.max("z"))
+        found = middle.groupBy("k").agg(F.first("r1").alias("r1"), F.first("r2").alias("r2"), F.min("before").alias("below"), lo.alias("lo"), hi.alias("hi"), F.sum("n").alias("inside"), (two | (F.min("a") == F.max("z"))).alias("done"))
+        state = _written(state.join(open_.select("k"), "k", "left_anti").unionByName(found), "median")
+    rest = values.join(state.where("not done"), "k").where(within).groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("all"), *(F.first(c).alias(c) for c in ("r1", "r2", "below")))
+    pick = lambda r: F.get("all", (F.col(r) - F.col("below")).cast("int"))
+    ends = state.where("done").select("k", "lo", "hi").unionByName(rest.select("k", pick("r1").alias("lo"), pick("r2").alias("hi")))
+    big = ends.select("k", F.round((F.col("lo") + F.col("hi")) / 2, digits).alias(column))
+    return small.unionByName(big).select(*(F.col(f"k.{c}").alias(c) for c in keys), column)
+
+
+def _written(state: DataFrame, name: str) -> DataFrame:
+    """A row for each large group, written to the shared folder: later rounds don't compute earlier ones again."""
+    path = scratch_path(state.sparkSession, name)
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
 
 
 def dimension(df: DataFrame, columns: Mapping[str, str], *lookups: tuple[DataFrame, str, str]) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what is at path, if anything is."""
+    fs, place = _fs(spark, path)
+    fs.delete(place, True)
+
+
 def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """df as the whole table at path: written beside it, then swapped in, so that df may read path.
 
@@ -113,6 +120,24 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
         fs.delete(old, True)
 
 
+@contextmanager
+def _moves(fs) -> Iterator[Callable]:
+    """A function that renames; if anything fails before the end, what it has renamed goes back."""
+    done: list[tuple] = []
+
+    def move(a, b) -> None:
+        if not fs.rename(a, b):
+            raise OSError(f"could not rename {a} to {b}")
+        done.append((a, b))
+
+    try:
+        yield move
+    except BaseException:
+        for a, b in reversed(done):
+            fs.rename(b, a)
+        raise
+
+
 def publish_partitions(df: DataFrame, path: str, partition_by: str, touched: DataFrame) -> None:
     """Replace the touched partitions (one column, named as partition_by) by the rows of df, which must lie in them.
 
@@ -135,27 +160,67 @@ def publish_partitions(df: DataFrame, path: str, partition_by: str, touched: Dat
             raise ValueError(f"rows outside the touched partitions: {sorted(outside)[:3]}")
         fs.mkdirs(root)
         fs.mkdirs(child(work, "old"))
-        moved: list[tuple] = []
-
-        def move(a, b) -> None:
-            if not fs.rename(a, b):
-                raise OSError(f"could not rename {a} to {b}")
-            moved.append((a, b))
-
-        try:
+        with _moves(fs) as move:
             for name in sorted(names):
                 if fs.exists(child(path, name)):
                     move(child(path, name), child(work, "old", name))
                 if name in made:
                     move(child(work, "new", name), child(path, name))
-        except BaseException:
-            for a, b in reversed(moved):
-                fs.rename(b, a)
-            raise
     finally:
         fs.delete(child(work), True)
 
 
+def replace_files(new: DataFrame, path: str, predicate: str, partition_by: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+    """replace_where on disk: the rows of the predicate go, those of new, which must match it, come.
+
+    Only files that hold a matching row are read whole and written again, which a pushed-down
+    filter finds by statistics where it can; the other files keep their names and times. With
+    `order` new files hold ranges of these columns, so that later predicates on them hit few.
+    If a rename fails, the old files come back. new may read the table, which is made if it
+    is not there. Columns that only new has are null in what is rewritten, and missing in files that are not.
+    """
+    spark = new.sparkSession
+    path = path.rstrip("/")
+    work = f"{path}.staged-{uuid.uuid4().hex}"
+    fs, root = _fs(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    had = fs.exists(root)
+    hit, kept = [], None
+    if had:
+        table = spark.read.parquet(path)
+        uris = [r[0] for r in table.where(predicate).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]
+        hit = [place(spark._jvm.java.net.URI(u)) for u in uris]  # names in a path are escaped once more in its URI
+        if hit:
+            kept = spark.read.schema(table.schema).option("basePath", path).parquet(*(str(h) for h in hit))
+    rows = replace_where(kept, new, predicate)
+    if order:
+        rows = rows.repartitionByRange(*partition_by, *order).sortWithinPartitions(*partition_by, *order)
+    elif partition_by:
+        rows = rows.hint("rebalance", *partition_by)
+    try:
+        writer = rows.write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{work}/new")
+        if not had:
+            fs.mkdirs(root.getParent())
+            if not fs.rename(place(f"{work}/new"), root):
+                raise OSError(f"could not publish {path}")
+            return
+        fs.mkdirs(place(f"{work}/old"))
+        base = len(str(fs.resolvePath(place(f"{work}/new"))))
+        with _moves(fs) as move:
+            for k, old in enumerate(hit):
+                move(old, place(f"{work}/old/{k}"))
+            files = fs.listFiles(place(f"{work}/new"), True)
+            while files.hasNext():
+                made = files.next().getPath()
+                if made.getName().startswith("part-"):
+                    final = place(path + str(made)[base:])
+                    fs.mkdirs(final.getParent())
+                    move(made, final)
+    finally:
+        fs.delete(place(work), True)
+
+
 def _folders(fs, place) -> set[str]:
     return {s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory()} if fs.exists(place) else set()
 
@@ -177,8 +242,7 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], partition:
         old = target.join(touched, target[partition].eqNullSafe(F.col("__touched")), "left_semi")
         publish_partitions(merge_upsert(old, new, keys, update_when, checked=True), path, partition, new.select(partition))
     finally:
-        fs, place = _fs(spark, staged)
-        fs.delete(place, True)
+        remove(spark, staged)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

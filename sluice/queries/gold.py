@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import calendar_of
-from sluice.jobs.layers import backfill, backfill_range, build_tables, gold_refresh, same_on_disk, silver
+from sluice.jobs.layers import Dimension, backfill, backfill_range, build_tables, gold_refresh, same_on_disk, silver
 from sluice.operators.contracts import Contract, conform
 from sluice.operators.keys import latest_per_key, row_id
+from sluice.operators.observe import latest_runs, read_runs
 from sluice.operators.rollups import date_dimension, dimension, is_weekend, ratio, resum, rollup_fact, top_k, totals, window_of
 from sluice.operators.rules import Rule, validate
 from sluice.operators.tables import scratch_path
@@ -134,6 +135,12 @@ def _project() -> dict:
     return {"line_id": row_id("l_orderkey", "l_linenumber"), "ship_date": F.to_date("l_shipdate"), **same}
 
 
+def _by_month() -> dict:
+    """The same, with the month of the day, which silver on disk is partitioned by."""
+    return _project() | {"ship_month": F.date_format("l_shipdate", "yyyy-MM")}
+
+
+MONTH_KEYS = ["line_id", "ship_date", "ship_month"]
 KEYS, LATEST = ["line_id", "ship_date"], ["_batch_id", "l_extendedprice", "l_suppkey"]
 BATCHED_SQL = """batched AS (SELECT l.*, date_trunc('month', o_orderdate) AS b, strftime(o_orderdate, '%Y-%m') AS _batch_id FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)"""
 SILVER_SQL = """SELECT sha256(l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR) AS line_id, l_orderkey, l_linenumber, l_shipdate::DATE AS ship_date, _batch_id, l_suppkey, l_extendedprice FROM {rows}
@@ -170,7 +177,7 @@ def rerun_silver_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> None:
         # two ranges of batches, one after the other
         for part in ("_batch_id < '1998-06'", "_batch_id >= '1998-06'"):
-            build_tables(root, rows.where(part), BATCH_RULES, calendar, _project(), KEYS, LATEST, "ship_date", "s._batch_id >= t._batch_id", ("1996-01-01", "1999-01-01"), summarise)
+            build_tables(root, rows.where(part), BATCH_RULES, calendar, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", ("1996-01-01", "1999-01-01"), summarise, day="ship_date")
 
     return same_on_disk(build, {t: f"{root}/{t}" for t in ("silver", "gold")}, spark)
 
@@ -198,5 +205,54 @@ def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _batched(spark, sf_dir)
     summarise = lambda r: rollup_fact(r, ["ship_date"], {"price": "l_extendedprice"}, {}, rows="lines")
     for first, last, stages in (("1996-01", "1997-12", ["silver"]), ("1997-06", "1998-12", ["silver", "gold"]), ("1996-01", "1996-12", ["gold"])):
-        backfill_range(root, rows, first, last, BATCH_RULES, _project(), KEYS, LATEST, "ship_date", "s._batch_id >= t._batch_id", summarise, stages)
+        backfill_range(root, rows, first, last, BATCH_RULES, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", summarise, stages, day="ship_date")
     return spark.read.parquet(f"{root}/gold")
+
+
+@BOOK.query(
+    f"""WITH {BATCHED_SQL}, flagged AS (SELECT *, array_to_string(list_filter([
+      CASE WHEN l_quantity NOT BETWEEN 1 AND 49 THEN 'quantity_range: quantity outside 1..49' END,
+      CASE WHEN NOT (l_shipdate >= b - INTERVAL 7 DAY AND l_shipdate < b + INTERVAL 1 MONTH) THEN 'in_window: outside the batch and its late window' END], lambda x: x IS NOT NULL), '; ') AS why FROM batched),
+    good AS (SELECT * FROM flagged WHERE why = ''), silver AS ({SILVER_SQL.format(rows='good')})
+    SELECT 'silver' AS kind, _batch_id, NULL AS why, count(*)::BIGINT AS n, sum(l_orderkey)::BIGINT AS keys, NULL::BIGINT AS valid, NULL::BIGINT AS quarantined FROM silver GROUP BY 2
+    UNION ALL SELECT 'quarantine', _batch_id, why, count(*), sum(l_orderkey)::BIGINT, NULL, NULL FROM flagged WHERE why <> '' GROUP BY 2, 3
+    UNION ALL SELECT 'run', _batch_id, NULL, count(*), NULL, count(*) FILTER (why = ''), count(*) FILTER (why <> '') FROM flagged GROUP BY 2"""
+)
+def silver_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver, its quarantine and the run records, built on disk in two ranges of batches, the second of them twice, and read back."""
+    root = scratch_path(spark, "silver")
+    rows = _batched(spark, sf_dir)
+    calendar = calendar_of(read(spark, sf_dir, "orders"), "o_orderdate")
+    for part in ("_batch_id < '1998-06'", "_batch_id >= '1998-06'", "_batch_id >= '1998-06'"):
+        build_tables(root, rows.where(part), BATCH_RULES, calendar, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", ("1996-01-01", "1999-01-01"), None, ["silver"])
+    none = F.lit(None).cast("long")
+    table = spark.read.parquet(f"{root}/silver").groupBy("_batch_id").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+    key = F.get_json_object("_record", "$.l_orderkey").cast("long")
+    bad = spark.read.parquet(f"{root}/silver_quarantine").groupBy("_batch_id", F.col("_reasons").alias("why")).agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
+    runs = latest_runs(read_runs(spark, f"{root}/runs")).where("status = 'success' AND rows_in = rows_valid + rows_quarantined")
+    out = table.select(F.lit("silver").alias("kind"), "_batch_id", F.lit(None).cast("string").alias("why"), "n", "keys", none.alias("valid"), none.alias("quarantined"))
+    out = out.unionByName(bad.select(F.lit("quarantine").alias("kind"), "_batch_id", "why", "n", "keys", none.alias("valid"), none.alias("quarantined")))
+    return out.unionByName(runs.select(F.lit("run").alias("kind"), F.col("batch_id").alias("_batch_id"), F.lit(None).cast("string").alias("why"), F.col("rows_in").alias("n"), none.alias("keys"), F.col("rows_valid").alias("valid"), F.col("rows_quarantined").alias("quarantined")))
+
+
+@BOOK.query(
+    f"""WITH {BATCHED_SQL}, arrived AS (SELECT l_suppkey, strftime(o_orderdate, '%Y-%m') AS _batch_id, l_suppkey % 3 <> 1 AS fit FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount > 0.05 AND year(o_orderdate) BETWEEN 1996 AND 1998),
+    known AS (SELECT l_suppkey, min(_batch_id) AS first, max(_batch_id) AS last FROM arrived WHERE fit GROUP BY 1),
+    good AS (SELECT batched.* FROM batched LEFT JOIN known USING (l_suppkey) WHERE year(b) BETWEEN 1996 AND 1998 AND {WINDOW_SQL} AND coalesce(known.first <= _batch_id, false)), silver AS ({SILVER_SQL.format(rows='good')})
+    SELECT 'lines' AS kind, _batch_id, count(*)::BIGINT AS n, sum(l_orderkey)::BIGINT AS keys FROM silver GROUP BY 2
+    UNION ALL SELECT 'suppliers', last, count(*), sum(l_suppkey)::BIGINT FROM known GROUP BY 2
+    UNION ALL SELECT 'unfit suppliers', _batch_id, count(*), sum(l_suppkey)::BIGINT FROM arrived WHERE NOT fit GROUP BY 2"""
+)
+def backfill_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and lines of three years on disk, in ranges of months: a supplier is known from the batch that brings it first, whichever range that is in."""
+    root = scratch_path(spark, "dimensions")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("_batch_id"))
+    arrived = read(spark, sf_dir, "lineitem").where("l_discount > 0.05").join(orders, "l_orderkey").select(F.col("l_suppkey").alias("s_suppkey"), "_batch_id", F.lit("suppliers").alias("_source"), F.lit("2024-01-01").alias("_ingested_at"))
+    fit = Rule("supplier_fit", "expression", "s_suppkey", "not one of ours", {"expr": "s_suppkey % 3 <> 1"})
+    columns = {c: F.col(c) for c in ("s_suppkey", "_batch_id")}
+    suppliers = Dimension("suppliers", arrived, "s_suppkey", "l_suppkey", columns, ["s_suppkey"], ["_batch_id"], [fit])
+    for first, last in (("1996-01", "1997-06"), ("1997-07", "1998-12"), ("1997-01", "1997-12")):
+        backfill_range(root, _batched(spark, sf_dir), first, last, BATCH_RULES, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", None, ["silver"], dimensions=[suppliers])
+    found = lambda kind, table, key: spark.read.parquet(f"{root}/{table}").groupBy("_batch_id").agg(F.count("*").alias("n"), F.sum(key).alias("keys")).withColumn("kind", F.lit(kind))
+    unfit = found("unfit suppliers", "suppliers_quarantine", F.get_json_object("_record", "$.s_suppkey").cast("long"))
+    return found("lines", "silver", "l_orderkey").unionByName(found("suppliers", "suppliers", "s_suppkey")).unionByName(unfit)

@@ -121,18 +121,16 @@ def dq_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query(
     f"""WITH {FLAGGED_SQL} SELECT _batch_id, l_orderkey, l_linenumber, array_to_string(list_transform(why, lambda x: split_part(x, ':', 1)), ',') AS rules, array_to_string(why, '; ') AS _reasons,
     strftime(l_shipdate, '%Y-%m-%d') AS ship_day, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f') AS at, l_suppkey AS supplier, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_returnflag AS flag,
-    8::INT - (l_quantity IS NULL)::INT - (l_returnflag IS NULL)::INT + 1 AS fields FROM flagged WHERE len(why) > 0"""
+    8::INT - (l_quantity IS NULL)::INT - (l_returnflag IS NULL)::INT + 1 AS fields, true AS whole FROM flagged WHERE len(why) > 0"""
 )
 def dq_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = _validated(spark, sf_dir).quarantine
     kinds = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate string, _batch_id string"
-    bad = bad.withColumn("x", F.from_json("_record", kinds))
-    whole = (F.col("x.l_orderkey") == F.col("l_orderkey")) & (F.col("x.l_linenumber") == F.col("l_linenumber")) & (F.col("x._batch_id") == F.col("_batch_id"))
-    return bad.where(whole).select(
-        "_batch_id", "l_orderkey", "l_linenumber", F.array_join("_failed_rules", ",").alias("rules"), "_reasons", F.substring("x.l_shipdate", 1, 10).alias("ship_day"), F.col("x.l_shipdate").alias("at"),
-        F.col("x.l_suppkey").alias("supplier"), F.col("x.l_quantity").alias("quantity"), F.col("x.l_extendedprice").alias("price"), F.col("x.l_discount").alias("discount"), F.col("x.l_returnflag").alias("flag"),
-        F.size(F.json_object_keys("_record")).alias("fields"),
-    )
+    named = "struct<order:bigint, line:int, supplier:bigint, quantity:double, price:double, discount:double, flag:string, at:string, batch:string>"
+    # inline makes columns of the parsed record: it is parsed once
+    bad = bad.select("_batch_id", "l_orderkey", "l_linenumber", F.array_join("_failed_rules", ",").alias("rules"), "_reasons", F.size(F.json_object_keys("_record")).alias("fields"), F.inline(F.array(F.from_json("_record", kinds).cast(named))))
+    whole = F.col("order").eqNullSafe(F.col("l_orderkey")) & F.col("line").eqNullSafe(F.col("l_linenumber")) & F.col("batch").eqNullSafe(F.col("_batch_id"))
+    return bad.select("_batch_id", "l_orderkey", "l_linenumber", "rules", "_reasons", F.substring("at", 1, 10).alias("ship_day"), "at", "supplier", "quantity", "price", "discount", "flag", "fields", whole.alias("whole"))
 
 
 @BOOK.query(f"WITH {FLAGGED_SQL} SELECT count(*)::BIGINT AS rows_in, (count(*) FILTER (len(why) = 0))::BIGINT AS rows_valid, (count(*) FILTER (len(why) > 0))::BIGINT AS rows_quarantined FROM flagged")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import arrival, bounds, calendar_of
-from sluice.jobs.layers import bronze
+from sluice.jobs.layers import bronze, load_bronze
 from sluice.operators.contracts import Contract, conform, drift_rows, evolve_union
 from sluice.operators.keys import row_id
 from sluice.operators.observe import read_runs, table_columns
 from sluice.operators.tables import scratch_path
 from sluice.queries.book import Book, read
-from sluice.sources.files import manifest, manifest_mismatches, parallel_arrays_to_rows, read_batches, read_payloads, write_batches
+from sluice.sources.files import land_manifest, manifest, manifest_mismatches, parallel_arrays_to_rows, read_batches, read_evolved, read_payloads, verify_manifest, write_batches
 from sluice.sources.snapshots import asof_snapshot, asof_snapshots, keyed_lookup, read_lookup
 
 BOOK = Book()
@@ -123,9 +123,16 @@ def keyed_lookup_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_lookup(part.withColumn("line", F.col("p_partkey")), ["p_brand", "p_type"], "line")
 
 
-@BOOK.query()
+@BOOK.query("SELECT 'orders_' || strftime(o_orderdate, '%Y-%m') || '.parquet' AS name, count(*)::BIGINT AS rows, true AS digested FROM orders GROUP BY 1")
 def landing_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest(spark, f"{sf_dir}/orders.parquet")
+    """A folder of month files is landed, its manifest written before anything reads it, and verified; the rows of each file beside its digest."""
+    path = scratch_path(spark, "landing")
+    write_batches(read(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), path, "month", "orders")
+    recorded = land_manifest(spark, path)
+    verify_manifest(recorded, manifest(spark, path))
+    rows = read_batches(spark, path).groupBy(F.col("_source_file").alias("name")).agg(F.count("*").alias("rows"))
+    digested = F.col("sha256").rlike("^[0-9a-f]{64}$") & (F.col("bytes") > 0)
+    return recorded.join(rows, "name", "full_outer").select("name", "rows", F.coalesce(digested, F.lit(False)).alias("digested"))
 
 
 @BOOK.query(
@@ -233,3 +240,37 @@ def read_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     days.withColumn("record", record).select(cut.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     runs = read_runs(spark, path).where("stage is not null")
     return runs.groupBy("stage").agg(F.count("*").alias("runs"), F.sum("rows_in").alias("rows_in"), F.max(F.col("finished_at").cast("timestamp_ntz")).alias("last"))
+
+
+#: Orders as months of three schemas: narrow keys and no price; the contract's own; a further column, and keys as they come.
+MONTHS = Contract("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp_ntz"}, frozenset({"o_orderkey", "o_orderdate"}))
+MONTHS_SQL = """SELECT o_orderkey, o_custkey, CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice END AS o_totalprice, o_orderdate, CASE WHEN year(o_orderdate) >= 1997 THEN o_orderpriority END AS priority, strftime(o_orderdate, '%Y-%m') AS _batch_id"""
+
+
+def _land_months(spark: SparkSession, sf_dir: str, path: str) -> None:
+    orders = read(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    key, customer, date = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
+    write_batches(orders.where("month < '1995'").select(key.cast("int").alias("O_OrderKey"), customer.cast("int").alias("o_custkey"), date, "month"), path, "month", "orders")
+    write_batches(orders.where("month >= '1995' AND month < '1997'").select(key, customer, "o_totalprice", date, "month"), path, "month", "orders")
+    write_batches(orders.where("month >= '1997'").select(date, key, customer, F.col("o_orderpriority").alias("priority"), "o_totalprice", "month"), path, "month", "orders")
+
+
+@BOOK.query(MONTHS_SQL + ", 'orders_' || strftime(o_orderdate, '%Y-%m') || '.parquet' AS _source_file FROM orders")
+def read_drifting_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months whose columns differ in type, number and order, in one reading by the contract."""
+    path = scratch_path(spark, "drifting")
+    _land_months(spark, sf_dir, path)
+    return read_batches(spark, path, MONTHS)
+
+
+@BOOK.query(f"SELECT * REPLACE (CASE WHEN _batch_id LIKE '1995-0%' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice), 'orders' AS _source FROM ({MONTHS_SQL} FROM orders)")
+def bronze_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed months as a table by month; some months are landed again, changed, and loaded over their own partitions alone."""
+    landed, table = scratch_path(spark, "drifting"), scratch_path(spark, "bronze")
+    _land_months(spark, sf_dir, landed)
+    load_bronze(spark, landed, table, MONTHS, "orders", LOADED)
+    again = scratch_path(spark, "again")
+    changed = read(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")).where("month LIKE '1995-0%'")
+    write_batches(changed.select("o_orderkey", "o_custkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), "o_orderdate", "month"), again, "month", "orders")
+    load_bronze(spark, again, table, MONTHS, "orders", LOADED)
+    return read_evolved(spark, table).drop("_ingested_at")

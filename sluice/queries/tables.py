@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.keys import first_per_key, fingerprint_diff, fingerprints, latest_per_key, text_fingerprint
-from sluice.operators.serving import capped_sql, page, role_tables, scoped_session
-from sluice.operators.tables import merge_upsert, publish, publish_partitions, replace_where, scratch_path
+from sluice.operators.serving import capped_sql, page, page_after, role_tables, scoped_session, token_of
+from sluice.operators.tables import merge_upsert, publish, publish_partitions, replace_files, replace_where, scratch_path
 from sluice.queries.book import Book, read
 
 BOOK = Book()
@@ -116,6 +116,22 @@ def partitions_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(lines.schema).parquet(path).drop("l_quantity")
 
 
+@BOOK.query(
+    """SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-06-01' THEN l_extendedprice + 1 ELSE l_extendedprice END AS price
+    FROM lineitem WHERE NOT (l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-06-01' AND l_quantity < 10)"""
+)
+def replace_files_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in files by ship date; three months are made anew from the table itself, twice, in the files that have any of them."""
+    path = scratch_path(spark, "pruned")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", F.col("l_extendedprice").alias("price"))
+    lines.repartitionByRange(16, "l_shipdate").sortWithinPartitions("l_shipdate").write.parquet(path)
+    window = "l_shipdate >= TIMESTAMP_NTZ'1996-03-01' AND l_shipdate < TIMESTAMP_NTZ'1996-06-01'"
+    for more in (1, 0):
+        new = spark.read.parquet(path).where(window).where("l_quantity >= 10")
+        replace_files(new.withColumn("price", F.col("price") + more), path, window, order=["l_shipdate"])
+    return spark.read.parquet(path).drop("l_quantity")
+
+
 @BOOK.query(name="fingerprint")
 def fingerprint_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints({t: read(spark, sf_dir, t) for t in ("orders", "customer", "supplier", "part", "nation", "region", "lineitem")})
@@ -163,3 +179,18 @@ def scoped_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100")
 def browse_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 100, 25)
+
+
+@BOOK.query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders WHERE (o_orderpriority, o_orderkey) > ('3-MEDIUM', 1000) ORDER BY o_orderpriority, o_orderkey LIMIT 75")
+def continued_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages, each by the token of the last row before it."""
+    orders, order = read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), ["o_orderpriority", "o_orderkey"]
+    token, out = token_of({"o_orderpriority": "3-MEDIUM", "o_orderkey": 1000}, order, orders), None
+    for _ in range(3):
+        found = page_after(orders, order, token, 25)
+        out = found if out is None else out.unionByName(found)
+        last = found.orderBy(*(F.desc(c) for c in order)).first()
+        if last is None:
+            break
+        token = token_of(last, order, orders)
+    return out

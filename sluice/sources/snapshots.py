@@ -39,12 +39,13 @@ def keyed_lookup(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    """A CSV file with a header as a keyed lookup; the last line of a key wins.
+    """CSV files with a header as a keyed lookup; the last line of a key wins, and of several files that of the greatest path.
 
-    Lines are numbered in the one reading that ranks them: ids rise within a file's splits in their order.
+    A line's place is its file, the split in it, and a number that rises within the split.
     """
     rows = spark.read.csv(path, header=True, schema=schema)
-    return keyed_lookup(rows.withColumn("__line", F.monotonically_increasing_id()), keys, "__line")
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return keyed_lookup(rows.withColumn("__line", line), keys, "__line")
 
 
 def jdbc_snapshot(spark: SparkSession, url: str, table: str, updated: str, cutoff: str, **options: str) -> DataFrame:

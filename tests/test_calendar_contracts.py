@@ -11,10 +11,10 @@ from sluice.operators import contracts as K
 
 
 def test_months():
-    assert C.add_months("2023-11", 3) == "2024-02"
-    assert C.add_months("2024-01", -1) == "2023-12"
-    assert C.context("2024-01") == {"batch_start": "2024-01-01", "batch_end": "2024-02-01", "late_start": "2023-12-25"}
-    for bad in ("2024-13", "2024-1", "x", "2024-00"):
+    assert C.add_months("2019-10", 27) == "2022-01" and C.add_months("2019-10", 0) == "2019-10" and C.add_months("2000-02", -50) == "1995-12"
+    assert C.context("2020-02", 31) == {"batch_start": "2020-02-01", "batch_end": "2020-03-01", "late_start": "2020-01-01"}
+    assert C.context("2021-03") == {"batch_start": "2021-03-01", "batch_end": "2021-04-01", "late_start": "2021-02-22"}
+    for bad in ("2021", "202103", "2021-3 ", "21-03", "2021-03-01", "٢٠٢١-1x", ""):
         with pytest.raises(ValueError):
             C.parse_month(bad)
 

@@ -6,9 +6,10 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from conftest import DATA, rows
 
 from sluice.functions.calendar import batch_calendar
+from sluice.operators.contracts import BreakingSchema, Contract
 from sluice.operators import observe as O
 from sluice.operators import rollups as R
 from sluice.operators import serving as S
@@ -35,6 +36,82 @@ def test_batches_by_name(spark, tmp_path):
     assert rows(L.read_batches(spark, str(tmp_path)).select("v", "_batch_id")) == [(1, "2024-01"), (2, "2024-02"), (3, None)]
 
 
+def test_months_of_different_schemas(spark, tmp_path):
+    land = lambda month, data, schema, k="": pq_file(spark, data, schema, tmp_path / "landed" / f"trips_{month}{k}.parquet")
+    land("2021-01", [(1, 1.5)], "ID int, fare float")
+    land("2021-02", [(2, 2.5, "x")], "id bigint, fare double, note string")
+    land("2021-02", [(3, 3)], "id int, tip int", ".1")  # two files of a month that do not agree
+    land("2021-03", [("y", 4, 4.5, 2.5)], "note string, id bigint, fare double, tip double")
+    land("other", [(9, 9.0)], "id int, fare double")
+    contract = Contract("trips", {"id": "bigint", "fare": "double"}, frozenset({"id"}))
+    out = L.read_batches(spark, str(tmp_path / "landed"), contract)
+    assert out.dtypes[:2] == [("id", "bigint"), ("fare", "double")] and dict(out.dtypes)["tip"] == "double" and out.columns[-2:] == ["_batch_id", "_source_file"]
+    got = rows(out.select("id", "fare", "note", "tip", "_batch_id", "_source_file"))
+    assert got == [
+        (1, 1.5, None, None, "2021-01", "trips_2021-01.parquet"), (2, 2.5, "x", None, "2021-02", "trips_2021-02.parquet"), (3, None, None, 3.0, "2021-02", "trips_2021-02.1.parquet"),
+        (4, 4.5, "y", 2.5, "2021-03", "trips_2021-03.parquet"), (9, 9.0, None, None, None, "trips_other.parquet"),
+    ]
+    assert rows(L.read_batches(spark, [str(tmp_path / "landed" / "trips_2021-01.parquet"), str(tmp_path / "landed" / "trips_2021-03.parquet")], contract).select("id", "tip")) == [(1, None), (4, 2.5)]
+    land("2021-04", [("z", 1.0)], "id string, fare double")
+    land("2021-05", [(1.0,)], "fare double")
+    with pytest.raises(BreakingSchema, match="2021-04: id: string.*2021-05: id: required"):
+        L.read_batches(spark, str(tmp_path / "landed"), contract)
+    with pytest.raises(FileNotFoundError):
+        L.read_batches(spark, str(make_dir(tmp_path / "empty")))
+
+
+def make_dir(path):
+    path.mkdir()
+    return path
+
+
+def pq_file(spark, data, schema, path):
+    """One Parquet file, as a landing has it."""
+    folder = path.parent.parent / f"{path.name}.work"
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(folder))
+    path.parent.mkdir(exist_ok=True)
+    next(folder.glob("part-*")).rename(path)
+
+
+def test_digests_of_large_files_and_odd_names(spark, tmp_path):
+    folder = make_dir(tmp_path / "landed files")
+    contents = {"a b%20c.bin": b"x" * 10, "é#?.bin": b"", "plain": b"\x00\xff" * 5_000_000}
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    want = sorted((n, hashlib.sha256(c).hexdigest(), len(c)) for n, c in contents.items())
+    assert rows(L.manifest(spark, str(folder))) == want == rows(L.manifest(spark, str(folder), streamed=False))
+    recorded = L.land_manifest(spark, str(folder))
+    assert rows(recorded) == want and (tmp_path / "landed files.manifest").is_dir()
+    with open(folder / "sparse", "wb") as f:
+        f.truncate((2 << 30) + 5)  # more than a row holds
+    (size, digest), = [(r.bytes, r.sha256) for r in L.manifest(spark, str(folder)).where("name = 'sparse'").collect()]
+    whole = hashlib.sha256()
+    for n in [1 << 20] * 2048 + [5]:
+        whole.update(bytes(n))
+    assert (size, digest) == ((2 << 30) + 5, whole.hexdigest())
+    assert rows(L.manifest_mismatches(recorded, L.manifest(spark, str(folder)))) == []
+
+
+def test_lookup_of_several_files(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("id,name\n1,late\n")
+    (tmp_path / "a.csv").write_text("id,name\n1,early\n2,x\n2,y\n")
+    assert rows(P.read_lookup(spark, str(tmp_path), "id int, name string", ["id"])) == [(1, "late"), (2, "y")]
+
+
+def test_exact_medians_of_large_groups(spark):
+    rng = __import__("random").Random(4)
+    groups = {
+        "normal": [rng.gauss(0, 1) for _ in range(999)], "heavy": [rng.random() ** -3 for _ in range(1000)], "few": [1.0, 2.0, 5.0], "one": [7.0] * 700, "two": [1.0] * 400 + [2.0] * 400,
+        "ties": [float(rng.randrange(4)) for _ in range(901)], "skewed": [0.0] * 500 + [rng.random() for _ in range(501)], "null": [None, None], "some": [None] * 600 + [3.0, 4.0], None: [float(i) for i in range(602)],
+    }
+    data = [(k, v) for k, x in groups.items() for v in x]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    want = rows(df.groupBy("k").agg(R.F.round(R.F.median("v"), 6).alias("v")))
+    for held in (10_000, 100, 1):
+        assert rows(R.median_of(df, ["k"], "v", 6, held=held)) == want
+    assert rows(R.median_of(df.where("k = 'two'"), [], "v", held=100)) == [(1.5,)] and rows(R.median_of(df.where("false"), ["k"], "v")) == []
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"one")
     (tmp_path / "y.bin").write_bytes(b"two")
@@ -87,6 +164,60 @@ def test_scoped_session(spark):
         S.browse(frames, [], "one", ["id"])
 
 
+def test_scope_of_the_analysed_plan(spark):
+    spark.range(7).createOrReplaceGlobalTempView("secret")
+    spark.sql("CREATE TABLE IF NOT EXISTS other USING parquet AS SELECT 1 AS x")
+    session = S.scoped_session(spark, {"a": lambda s: s.range(3).selectExpr("id", "id % 2 AS odd"), "b": lambda s: s.range(9)}, ["a"])
+    try:
+        for bad in (
+            "SELECT * FROM global_temp.secret",
+            "SELECT * FROM other",
+            "SELECT * FROM spark_catalog.default.other",
+            "SELECT java_method('java.lang.System', 'getProperty', 'user.name')",
+            "SELECT reflect('java.util.UUID', 'randomUUID') FROM a",
+            "SELECT id FROM a WHERE id IN (SELECT x FROM other)",
+            "SELECT id, (SELECT max(id) FROM global_temp.secret) FROM a",
+            "WITH a AS (SELECT * FROM global_temp.secret) SELECT * FROM a",
+            "SELECT id FROM a WHERE EXISTS (SELECT 1 FROM global_temp.secret s WHERE s.id = a.id)",
+            "SELECT a.id FROM a JOIN LATERAL (SELECT x FROM other WHERE x = a.id) ON true",
+            "SELECT count(*) FROM a GROUP BY try_reflect('java.lang.System', 'getProperty', 'user.name')",
+        ):
+            with pytest.raises(S.NotAllowed):
+                S.capped_sql(session, bad)
+        for good, n in (
+            ("SELECT * FROM a", 3), ("SELECT odd, count(*) AS n, sum(id) OVER () AS s FROM a GROUP BY odd, id", 3), ("WITH x AS (SELECT * FROM a) SELECT x.id, (SELECT max(id) FROM a) AS m FROM x WHERE id IN (SELECT id FROM a)", 3),
+            ("SELECT explode(sequence(1, 4)) AS i", 4), ("VALUES (1), (2)", 2), ("SELECT upper('x'), decode(encode('x', 'UTF-8'), 'UTF-8'), current_date(), date_format(now(), 'yyyy')", 1), ("SELECT * FROM a AS t JOIN range(2) r ON t.id = r.id", 2),
+            ("SELECT id FROM A UNION ALL SELECT id FROM a", 6),
+        ):
+            assert S.capped_sql(session, good).count() == n
+    finally:
+        spark.sql("DROP TABLE other")
+        spark.catalog.dropGlobalTempView("secret")
+
+
+def test_pages_by_continuation(spark):
+    data = [(None, None, 1), (None, "x", 2), ("a", None, 3), ("a", "y'z", 4), ("b", "", 5), ("b", "q", 6)]
+    df = spark.createDataFrame(data, "k string, l string, v int").repartition(3)
+    for size in (1, 2, 4, 6, 9):
+        found, token = [], None
+        while True:
+            rows_, token = S.next_page(df, ["k", "l"], token, size)
+            found += [r.v for r in rows_]
+            if token is None:
+                break
+        assert found == [1, 2, 3, 4, 5, 6]
+    kinds = spark.createDataFrame([(datetime(2020, 1, 1, 0, 0, 0, i), date(2020, 1, 1), Decimal("12345678901234567.89"), 0.1 * i, i % 2 == 0, i) for i in range(5)], "at timestamp_ntz, d date, x decimal(20,2), f double, o boolean, i long")
+    order = ["d", "x", "o", "f", "at", "i"]
+    whole = [r.i for r in S.page(kinds, order, 0, 9).collect()]
+    for k, r in enumerate(S.page(kinds, order, 0, 9).collect()):
+        assert [x.i for x in S.page_after(kinds, order, S.token_of(r, order, kinds), 9).collect()] == whole[k + 1 :]
+    for bad in ("x", "e30=", S.token_of({"l": "x"}, ["l"], df)):
+        with pytest.raises(ValueError):
+            S.page_after(df, ["k", "l"], bad, 3)
+    plan = S.page_after(spark.read.parquet(f"{DATA}/sf0.001/orders.parquet"), ["o_orderkey"], S.token_of({"o_orderkey": 900}, ["o_orderkey"], spark.read.parquet(f"{DATA}/sf0.001/orders.parquet")), 5)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(o_orderkey,900)" in plan
+
+
 def run(stage, table, status, n, valid, bad, at, run_id):
     return (stage, table, "b", status, n, valid, bad, valid, 2.0, at, run_id)
 
