@@ -78,6 +78,20 @@ def free_name(name: str, df: DataFrame) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots and backticks, for F.col."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain_names(docs: DataFrame, *used: str, without: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but the used ones renamed by their place, so that none clashes with an operator's own; and the names they had.
+
+    Columns named in `without` are left out.
+    """
+    names = [c for c in docs.columns if c not in without or c in used]
+    return docs.select(*(F.col(quoted(c)).alias(c if c in used else f"__c{i}") for i, c in enumerate(names))), names
+
+
 def least_hashed(rows: DataFrame, key: list[str], n: int, total: int) -> DataFrame:
     """n rows (all, if there are fewer) of distinct keys: those of least hash, the same in every run.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.automaton import FOLD, Automaton, built, packed
-from sluice.llm.common import add_columns, new_path, utf8, words_of
+from sluice.llm.common import add_columns, new_path, plain_names, utf8, words_of
 
 #: An automaton is built from items of about so many bytes; its arrays have some ten times as many.
 ITEM_BYTES = 1 << 20
@@ -176,7 +176,7 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = 10, most_share
     Documents without hits keep their text as it is, null texts too. The columns are
     those of docs.
     """
-    own = {c: f"__own_{c}" for c in docs.columns if c in FOUND.names}
-    found = _searched(docs.withColumnsRenamed(own), items, window, text, cut=True)
+    plain, names = plain_names(docs, text)
+    found = _searched(plain, items, window, text, cut=True)
     found = found.where(~((F.col("n_words") > 0) & (n_hit() > most_share * F.col("n_words"))))
-    return found.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    return found.select(*plain.columns).toDF(*names)

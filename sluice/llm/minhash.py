@@ -24,9 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import ODD, ODD2, mapped, mixed, new_path, scratch, slices, utf8, written
+from sluice.llm.common import ODD, ODD2, mapped, mixed, new_path, range_sums, scratch, slices, utf8, word_hashes, words_of, written
 from sluice.llm.components import components
-from sluice.llm.near_copies import _longs, _names, _sets_of, shingle_sets
 
 ROWS, MISSED, SEED = 4, 1e-5, 12
 #: Nodes of a shingle whose pairs become rows; of a larger crowd so many nodes are held against all others at a time.
@@ -34,6 +33,12 @@ CROWD, OUTSIDERS = 32, 1_024
 #: The minima of a batch are computed over texts of so many bytes at a time.
 SLICE = 1 << 20
 SIGNED_DDL = "doc_id long, s1 long, s2 long, n int, halves array<long>"
+SETS_DDL = "doc_id long, s1 long, s2 long, shingles array<long>"
+#: Ids of candidates that are broadcast; more are joined.
+BROADCAST = 1_000_000
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def n_tables(percent: int) -> int:
@@ -43,6 +48,36 @@ def n_tables(percent: int) -> int:
     return math.ceil(math.log(MISSED / 2) / math.log1p(-((percent / 100) ** ROWS)))
 
 
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows' texts: the distinct shingles, as sorted 64-bit hashes, one row's after the other; where each row's begin (and the last end)."""
+    starts, ends, row = words_of(raw, offsets)
+    h = word_hashes(_LOWER[raw], starts, ends)
+    begin = np.searchsorted(row, np.arange(len(offsets)))
+    n = np.diff(begin)
+    count = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(np.int64))
+    of = np.repeat(np.arange(len(n)), count)
+    first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[of]
+    found = mixed(range_sums(mixed(h ^ ODD2), ODD, first, first + np.minimum(shingle, n[of])))
+    order = np.lexsort((found, of))
+    found, of = found[order], of[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    return found[new], np.searchsorted(of[new], np.arange(len(offsets)))
+
+
+def _names(found: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Two sums over each row's shingles, which name its set; zeros for an empty one."""
+    names, full = np.zeros((2, len(begin) - 1), np.uint64), np.flatnonzero(np.diff(begin))
+    if len(full):
+        for name, salt in zip(names, (ODD, ODD2)):
+            name[full] = np.add.reduceat(mixed(found ^ salt), begin[:-1][full])
+    return names
+
+
+def _longs(begin: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
 def _signed(shingle: int, tables: int):
     """Batches (doc_id, text) -> SIGNED_DDL: what names the set, its size, and the half keys of both collections."""
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, (2 * tables * ROWS, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,6 +101,31 @@ def _signed(shingle: int, tables: int):
     return run
 
 
+def _sets(shingle: int):
+    """Batches (doc_id, text) -> SETS_DDL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found, begin = shingle_sets(*utf8(part.column("text")), shingle)
+                columns = [part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in _names(found, begin)), _longs(begin, found)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "shingles"])
+
+    return run
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, names: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the texts of the documents that they are named by."""
+    wanted = written(wanted, "wanted")
+    ids = wanted.withColumnRenamed("node", "doc_id")
+    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
+    found = mapped(some.select("doc_id", "text"), _sets(shingle), SETS_DDL).withColumnRenamed("doc_id", "node")
+    own = names.join(wanted, "node", "left_semi")
+    # an id with several texts can name several sets: the node is all of them
+    return found.join(own, ["node", "s1", "s2"], "left_semi").groupBy("node", "s1", "s2").agg(F.first("shingles").alias("shingles")).select("node", "shingles")
+
+
+
 def table_keys(nodes: DataFrame, tables: int) -> DataFrame:
     """(key, node, weight) of nodes (node, halves): the keys of all tables, but for those of half keys that no other node has.
 
@@ -177,13 +237,14 @@ def _flat(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(known.flatten()), np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(known)))
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text", empty_alike: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the size of its set, and the smallest doc_id it can reach over links.
 
     Two rows link where their sets of distinct shingles have at least that per cent of
     their union in common. Words are lower-cased for A-Z only; a text with fewer words
     than a shingle has its whole word sequence as the one shingle. A null text, or one
-    without words, has the empty set and links with nothing. Rows that repeat a doc_id
+    without words, has the empty set and links with nothing (with empty_alike, with others
+    of that kind). Rows that repeat a doc_id
     with another text are that document too, and link through it. A row without a
     doc_id takes no part: its component is null. No rows give no rows.
 
@@ -192,18 +253,24 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: st
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "near_groups")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with scratch(spark):
-        _groups(rows, shingle, percent).write.parquet(path)
+        _groups(rows, shingle, percent, empty_alike).write.parquet(path)
     return spark.read.schema("doc_id long, n_shingles long, component_id long").parquet(path)
 
 
+def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, component_id) of each id, for a stage that keeps one document of each group: texts without words are copies of each other; rows without an id are left out."""
+    found = near_groups(docs, shingle, percent, empty_alike=True).where("doc_id is not null")
+    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def _pairs(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _groups(docs: DataFrame, shingle: int, percent: int, empty_alike: bool) -> DataFrame:
     tables = n_tables(percent)
     rows = written(mapped(docs, _signed(shingle, tables), SIGNED_DDL), "signed")
-    known = rows.where("doc_id is not null and n > 0")
+    known = rows.where("doc_id is not null" if empty_alike else "doc_id is not null and n > 0")
     nodes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")), "nodes")
     names = nodes.select("s1", "s2", "node")
     ids = known.select("doc_id", "s1", "s2").distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import add_columns, scratch, summed, utf8, words_of, word_hashes, written
+from sluice.llm.common import add_columns, plain_names, scratch, summed, utf8, words_of, word_hashes, written
 
 #: Random features, their seed, ridge penalty per row, and bins of the calibration.
 FEATURES, SEED, RIDGE, BINS = 256, 20, 1e-3, 512
@@ -210,9 +210,18 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3
 
 
-def trained(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """A model from (doc_id, stats) and (doc_id, label); rows of fold 1, of no fold, or without label are not learned from."""
-    rows = stats.where(fold() != 1).select("doc_id", "stats").join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
+#: Labelled ids that are broadcast, so that statistics are computed of labelled texts alone.
+MOST_IDS = 1_000_000
+
+
+def trained(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """A model from (doc_id, text) or (doc_id, stats) and (doc_id, label); rows of fold 1, of no fold, or without label are not learned from."""
+    rows = docs.where(fold() != 1)
+    if "stats" not in docs.columns:
+        ids = labels.where(F.col(label).isin(0, 1)).select("doc_id").where(fold() != 1).distinct()
+        # beyond the bound statistics, which are short, are joined in place of texts
+        rows = with_statistics(rows.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_IDS else rows)
+    rows = rows.select("doc_id", "stats").join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
     rows = rows.select("stats", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("calibrate"))
     return fit(written(rows, "labelled"))
 
@@ -232,7 +241,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """The rows of docs that are predicted to be good, with their columns."""
     with scratch(docs.sparkSession):
-        model = trained(written(with_statistics(docs.select("doc_id", "text")), "stats"), labels, label)
-    own = {c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")}
-    good = scored(docs.withColumnsRenamed(own), model, text="text").where("predicted = 1")
-    return good.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+        model = trained(docs.select("doc_id", "text"), labels, label)
+    plain, names = plain_names(docs, "doc_id", "text")
+    return scored(plain, model, text="text").where("predicted = 1").select(*plain.columns).toDF(*names)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import ODD, SPACE, add_columns, mapped, mixed, range_sums, slices, summed, utf8, word_hashes, words_of, written
+from sluice.llm.common import ODD, SPACE, add_columns, mapped, mixed, plain_names, range_sums, slices, summed, utf8, word_hashes, words_of, written
 
 #: Words are counted in 2 ** BITS buckets of their hash; so many classes of rarity for each doubling.
 BITS, FINE = 15, 4
@@ -339,6 +339,8 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     rows of the same doc_id do not remove from each other. Other columns pass through;
     columns named as the three new ones are replaced. No rows give no rows.
     """
+    new = ("n_words", "n_removed", "kept_text")
+    docs, names = plain_names(docs, doc_id, text, without=new)
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias(KEY))
     several = ids.groupBy("doc_id").agg((F.min(KEY) != F.max(KEY)).alias("differ")).where("differ and doc_id is not null").limit(1).count()
     # Rows are told apart by their text's hash, which is only sent where an id has several texts.
@@ -372,4 +374,4 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
 
         return cut
 
-    return add_columns(joined, fields, make, drop=(KEY, DOC, SPANS))
+    return add_columns(joined, fields, make, drop=(KEY, DOC, SPANS)).toDF(*names, *new)

@@ -11,7 +11,7 @@ from conftest import DATA, rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluice.llm import components, decontaminate, near_copies, simhash, substrings
+from sluice.llm import components, decontaminate, minhash, simhash, substrings
 from sluice.llm.queries import OP5_SQL, OP6_SQL, op5_substring_dedup, op6_decontamination, op10_simhash_near_dedup
 
 SF = f"{DATA}/sf0.001"
@@ -136,8 +136,8 @@ def edited_copies():
 def test_similar_groups(spark):
     data = edited_copies()
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.component_id for r in near_copies.similar_groups(df).collect()} == jaccard_brute(data)
-    assert rows(near_copies.similar_groups(df.where("false"))) == []
+    assert {r.doc_id: r.component_id for r in minhash.similar_groups(df).collect()} == jaccard_brute(data)
+    assert rows(minhash.similar_groups(df.where("false"))) == []
 
 
 def test_near_dedup_stage_finds_edited_copies(spark):

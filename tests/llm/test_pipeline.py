@@ -59,9 +59,9 @@ def odd_rows(spark):
     """Nulls, empty and very long texts, repeated rows and ids, and columns named as those of the operators."""
     good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(6).collect()]
     data = [(1, good[0]), (1, good[0]), (1, good[0]), (2, good[1]), (2, good[2]), (None, good[3]), (None, good[3]), (3, None), (4, ""), (5, None), (None, None), (6, good[4] + "\n" + " ".join(f"{w}{i}" for i in range(3_000) for w in good[5].split()[:30])), (7, "z" * 300_000)]
-    names = ["score", "stats", "n_words", "n_removed", "kept_text", "hit_items", "hit_spans", "ids", "parity", "component_id", "__row_key", "key"]
+    names = ["score", "stats", "n_words", "n_removed", "kept_text", "hit_items", "hit_spans", "ids", "parity", "component_id", "__row_key", "key", "a.b", "__word", "__at", "__maybe", "__spans", "__bit", "__own_score", "__own_n_words", "__c0", "node", "`q`"]
     rows = [(i, t, "en", "s", len(t or ""), *[f"own{i}"] * len(names)) for i, t in data]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)).repartition(3), names
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names)).repartition(3), names
 
 
 def test_odd_rows_pass_every_stage(spark):
