@@ -114,13 +114,25 @@ def run_gauges(runs: DataFrame) -> DataFrame:
     return long.where("value is not null").select("metric", "stage", "table", "batch_id", "value")
 
 
+def _plain(value: Column) -> Column:
+    """A number with its digits, six behind the point at most and one at least, never in powers of ten."""
+    return F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+
+
 def exposition(gauges: DataFrame, prefix: str) -> DataFrame:
     """A line `name{labels} value` for each gauge, for df.write.text."""
     label = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    text = F.format_string(prefix + '_%s{stage="%s",table="%s",batch="%s"} %s', "metric", label("stage"), label("table"), label("batch_id"), F.col("value").cast("string"))
+    text = F.format_string(prefix + '_%s{stage="%s",table="%s",batch="%s"} %s', "metric", label("stage"), label("table"), label("batch_id"), _plain(F.col("value")))
     return gauges.select(text.alias("value"))
 
 
+def freshness_lines(fresh: DataFrame, prefix: str, stage: str = "gold") -> DataFrame:
+    """The lines of freshness(..): the age in seconds, none without a success, and 1 where the objective is breached."""
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'{prefix}_{name}{{stage="{stage}"}} '), _plain(value)))
+    lines = F.array_compact(F.array(line("freshness_seconds", F.col("freshness_seconds")), line("slo_breached", F.col("slo_breached").cast("double"))))
+    return fresh.select(F.explode(lines).alias("value"))
+
+
 def freshness(runs: DataFrame, now: datetime, slo_hours: float, stage: str = "gold") -> DataFrame:
     """One row (freshness_seconds, slo_breached): the age of the last success of all the stage's runs; none is a breach."""
     last = F.max(F.when((F.col("stage") == stage) & (F.col("status") == "success"), F.col("finished_at").cast("timestamp")))

@@ -51,11 +51,20 @@ def run_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.run_gauges(runs(spark, sf_dir))
 
 
+_PLAIN = r"regexp_replace(({})::DECIMAL(38,6)::VARCHAR, '(\.[0-9]+?)0+$', '\1')"
+_AGE = "(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(finished_at)))"
+
+
 @BOOK.query(
-    f"""WITH {LAST_SQL} SELECT 'lake_' || metric || '{{stage="' || stage || '",table="' || "table" || '",batch="' || batch_id || '"}} ' || value::VARCHAR AS value FROM gauges WHERE metric IN ('failed', 'rows_in')"""
+    f"""WITH {LAST_SQL} SELECT 'lake_' || metric || '{{stage="' || stage || '",table="' || "table" || '",batch="' || batch_id || '"}} ' || {_PLAIN.format("value")} AS value FROM gauges
+    UNION ALL SELECT unnest(['lake_freshness_seconds{{stage="purchase"}} ' || {_PLAIN.format(_AGE + " / 1e6::DOUBLE")}, 'lake_slo_breached{{stage="purchase"}} ' || ({_AGE} > 26 * 3600 * 1000000::BIGINT)::INT::VARCHAR || '.0'])
+      FROM runs WHERE stage = 'purchase' AND status = 'success'"""
 )
 def gauge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.exposition(observe.run_gauges(runs(spark, sf_dir)).where(F.col("metric").isin("failed", "rows_in")), "lake")
+    """All gauges of the latest runs, and the freshness of a stage."""
+    found = runs(spark, sf_dir)
+    lines = observe.exposition(observe.run_gauges(found), "lake")
+    return lines.unionByName(observe.freshness_lines(observe.freshness(found, NOW, 26, stage="purchase"), "lake", "purchase"))
 
 
 @BOOK.query(

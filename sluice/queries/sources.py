@@ -75,19 +75,34 @@ def schema_evolve_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve_union(old, new)
 
 
-@BOOK.query(
-    """SELECT 'nation' AS "table", p::INT AS position, c AS "column", t AS type, n AS nulls, (SELECT count(*) FROM nation) AS rows FROM (VALUES
-      (0, 'n_nationkey', 'int', (SELECT count(*) FILTER (n_nationkey IS NULL) FROM nation)),
-      (1, 'n_name', 'string', (SELECT count(*) FILTER (n_name IS NULL) FROM nation)),
-      (2, 'n_regionkey', 'int', (SELECT count(*) FILTER (n_regionkey IS NULL) FROM nation))) v(p, c, t, n)
-    UNION ALL SELECT 'labels', p::INT, c, t, n, (SELECT count(*) FROM labels) FROM (VALUES
-      (0, 'doc_id', 'bigint', (SELECT count(*) FILTER (doc_id IS NULL) FROM labels)),
-      (1, 'quality', 'int', (SELECT count(*) FILTER (quality IS NULL) FROM labels)),
-      (2, 'toxic', 'int', (SELECT count(*) FILTER (toxic IS NULL) FROM labels))) v(p, c, t, n)""",
-    name="table_columns",
-)
+#: The test tables, as column and type.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _columns_sql(table: str) -> str:
+    names, types = zip(*(c.split() for c in TABLES[table].split(", ")))
+    nulls = ", ".join(f"count(*) FILTER ({c} IS NULL)" for c in names)
+    return f"""SELECT '{table}' AS "table", unnest(range({len(names)}))::INT AS position, unnest({list(names)}) AS "column", unnest({list(types)}) AS type, unnest(nulls) AS nulls, rows FROM (SELECT [{nulls}] AS nulls, count(*) AS rows FROM {table})"""
+
+
+@BOOK.query(" UNION ALL ".join(map(_columns_sql, TABLES)), name="table_columns")
 def table_columns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_columns({t: read(spark, sf_dir, t) for t in ("nation", "labels")})
+    return table_columns({t: read(spark, sf_dir, t) for t in TABLES})
 
 
 @BOOK.query(

@@ -236,6 +236,8 @@ def test_gauges_and_freshness(spark):
     assert tuple(O.freshness(runs, now, 26).first()) == (6 * 3600, False)
     assert tuple(O.freshness(runs, now, 5).first()) == (6 * 3600, True)
     assert tuple(O.freshness(runs.where("false"), now, 26).first()) == (None, True)
+    assert rows(O.freshness_lines(O.freshness(runs, now, 26), "lake")) == [('lake_freshness_seconds{stage="gold"} 21600.0',), ('lake_slo_breached{stage="gold"} 0.0',)]
+    assert rows(O.freshness_lines(O.freshness(runs.where("false"), now, 26), "lake")) == [('lake_slo_breached{stage="gold"} 1.0',)]
 
 
 def test_lineage_and_columns(spark):
