@@ -133,6 +133,11 @@ def add_columns(
     make() runs once in each task and returns the function from a batch of about `most`
     bytes to the new arrays.
     """
+    odd = {c: f"__odd{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    if odd:  # mapInArrow can't name these
+        out = add_columns(df.toDF(*(odd.get(c, c) for c in df.columns)), fields, make, tuple(odd.get(c, c) for c in drop), most)
+        names = {v: c for c, v in odd.items()}
+        return out.toDF(*(names.get(c, c) for c in out.columns))
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
     schema = T.StructType([*kept, *fields])

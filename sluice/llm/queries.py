@@ -42,6 +42,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express: host, path, and what the rules say."""
+    return urls.with_rules(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv_id, text = PROBE
     probe = spark.createDataFrame([(conv_id, 0, "user", text), (conv_id, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -103,6 +108,21 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
 
 
+#: Host, path and rule of each page: the longest rule of its host or a domain above it, whose path it starts with.
+RULES_SQL = r"""
+WITH parts AS (SELECT row_number() OVER () AS i, page_id, coalesce(url, '') AS u FROM pages),
+named AS (
+  SELECT i, page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM parts),
+rules(verdict, pattern) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+split AS (SELECT verdict, pattern, regexp_extract(pattern, '^[^/]*') AS name, regexp_extract(pattern, '/.*') AS rest FROM rules),
+fits AS (
+  SELECT i, arg_max(verdict, length(pattern)) AS verdict, arg_max(pattern, length(pattern)) AS rule
+  FROM named JOIN split ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, rest) GROUP BY i)
+SELECT page_id, host, path, rule, verdict FROM named LEFT JOIN fits USING (i)
+"""
+
 #: The rows of op3: digests of the turns, and the length of the escaped text form with its three marks.
 OP3_SQL = r"""
 WITH turns AS (
@@ -225,5 +245,6 @@ QUERIES = {
     "op11_importance_resampling": op11_importance_resampling,
     "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
+    "url_rules": url_rules,
 }
-ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_importance_resampling": OP11_SQL, "op12_minhash_near_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_importance_resampling": OP11_SQL, "op12_minhash_near_dedup": OP12_SQL, "url_rules": RULES_SQL}
