@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import calendar_of
-from sluice.operators.rules import Rule, Validated, validate
+from sluice.operators.rules import Rule, Validated, load_rules, validate
 from sluice.queries.book import Book, read
 
 BOOK = Book()
@@ -181,3 +183,25 @@ def dq_rule_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = {name: read(spark, sf_dir, table).where(condition) for name, (table, condition) in known.items()}
     flagged = validate(rows.join(dated, "l_orderkey"), ORDER_RULES, calendar=calendar_of(orders, "o_orderdate"), batch="_batch_id", refs=refs).flagged
     return flagged.groupBy(F.array_join("_failed_rules", ",").alias("rules")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+#: Rules as a file has them: what has no place of its own is a parameter of the rule's type.
+RULE_FILE = """{"lines": [
+  {"name": "part_known", "type": "not_null", "column": "l_partkey"},
+  {"name": "tax_range", "type": "range", "column": "l_tax", "description": "tax outside 0.01..0.07", "min": 0.01, "max": 0.07},
+  {"name": "status_known", "type": "in_set", "column": "l_linestatus", "values": ["O"]},
+  {"name": "flag_letter", "type": "regex", "column": "l_returnflag", "description": "no such flag", "pattern": "^[AN]$"},
+  {"name": "dear_enough", "type": "expression", "expr": "l_extendedprice >= 1000 * l_quantity"},
+  {"name": "supplier_exists", "type": "referential", "column": "l_suppkey", "ref_table": "suppliers", "ref_column": "s_suppkey"}],
+ "orders": [{"name": "once", "type": "unique", "column": "o_orderkey"}]}"""
+
+
+@BOOK.query(
+    """SELECT array_to_string(list_filter([CASE WHEN l_partkey IS NULL THEN 'part_known' END, CASE WHEN l_tax NOT BETWEEN 0.01::DOUBLE AND 0.07::DOUBLE THEN 'tax_range: tax outside 0.01..0.07' END,
+      CASE WHEN l_linestatus NOT IN ('O') THEN 'status_known' END, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'flag_letter: no such flag' END, CASE WHEN NOT coalesce(l_extendedprice >= 1000 * l_quantity, false) THEN 'dear_enough' END,
+      CASE WHEN l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 5000) THEN 'supplier_exists' END], lambda x: x IS NOT NULL), '; ') AS _reasons, count(*)::BIGINT AS n, sum(l_orderkey)::BIGINT AS keys FROM lineitem GROUP BY 1"""
+)
+def dq_loaded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of one table of a rule file, over all its rows."""
+    flagged = validate(read(spark, sf_dir, "lineitem"), load_rules(json.loads(RULE_FILE), "lines"), refs={"suppliers": _suppliers(spark, sf_dir)}).flagged
+    return flagged.groupBy("_reasons").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))

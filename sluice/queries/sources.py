@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.calendar import arrival, bounds, calendar_of
 from sluice.jobs.layers import bronze, load_bronze
-from sluice.operators.contracts import Contract, conform, drift_rows, evolve_union
+from sluice.operators.contracts import BreakingSchema, Contract, conform, drift_rows, evolve_union
 from sluice.operators.keys import row_id
 from sluice.operators.observe import read_runs, table_columns
 from sluice.operators.tables import scratch_path
@@ -64,6 +64,23 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift_rows(spark, ORDERS, dict(orders.dtypes)).join(nulls, "column", "left")
 
 
+@BOOK.query(
+    """SELECT 'months' AS contract, NULL AS problem, count(*)::BIGINT AS rows FROM orders
+    UNION ALL SELECT 'orders', 'orders is broken by o_totalprice: double values do not fit a int column, o_region: required, but not in the table', count(*) FILTER (false) FROM orders"""
+)
+def contract_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by a contract that they fit, and by one that they break in two columns: no row of these is read."""
+    orders, out = read(spark, sf_dir, "orders"), None
+    for name, contract in (("months", MONTHS), ("orders", ORDERS)):
+        try:
+            rows, problem = conform(orders, contract)[0], None
+        except BreakingSchema as e:
+            rows, problem = spark.createDataFrame([], orders.schema), str(e)
+        found = rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("contract"), F.lit(problem).cast("string").alias("problem"), "rows")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @BOOK.query(
     """SELECT o_orderkey, o_custkey::DOUBLE AS o_custkey, o_totalprice, NULL::VARCHAR AS o_channel FROM orders WHERE o_orderkey % 2 = 0
     UNION ALL SELECT o_orderkey, o_custkey + 0.5, NULL, 'web' FROM orders WHERE o_orderkey % 2 = 1"""
