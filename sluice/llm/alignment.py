@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Remembered, gathered, mapped, new_path, scratch, slices, written
+from sluice.llm.common import Remembered, gathered, kept, mapped, new_path, scratch, slices, written
 from sluice.llm.pieces import BYTE, MARK, PieceModel
 
 #: Chunks that one Python worker remembers, twice over, and groups; chunks of a call, and of a text in it; bytes of text of a block.
@@ -195,13 +195,8 @@ class Aligner:
         return [*totals, np.diff(ends)], digests, lists, [self.groups[k] for k in used.tolist()], times[used]
 
 
-_aligners: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(a: str, b: str) -> Aligner:
-    if (a, b) not in _aligners:
-        _aligners[a, b] = Aligner(a, b)
-    return _aligners[a, b]
+    return kept((Aligner.__name__, a, b), lambda: Aligner(a, b))
 
 
 def interned(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -111,11 +111,29 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict = {}
+_used: set = set()
+
+
+def kept(key, make: Callable):
+    """What a worker keeps from task to task: make() once, until a task of `mapped` ends that has not used it.
+
+    So the tables of one operator are not still there when a worker goes on with another.
+    """
+    if key not in _kept:
+        _kept[key] = make()
+    _used.add(key)
+    return _kept[key]
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema), where a task leaves no unused memory with its Python worker, which waits for further tasks."""
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _used.clear()
         yield from run(batches)
+        for key in _kept.keys() - _used:
+            del _kept[key]
         give_back()
 
     return df.mapInArrow(of_task, schema)

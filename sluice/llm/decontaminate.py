@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.automaton import FOLD, Automaton, built, packed
-from sluice.llm.common import add_columns, new_path, plain_names, utf8, words_of
+from sluice.llm.common import add_columns, kept, new_path, plain_names, utf8, words_of
 
 #: An automaton is built from items of about so many bytes; its arrays have some ten times as many.
 ITEM_BYTES = 1 << 20
@@ -68,17 +68,15 @@ def automata(items: DataFrame, window: int, item_id: str = "item_id", text: str
     return [f.rsplit("/", 1)[1] for f in files]
 
 
-_held: OrderedDict[str, Automaton] = OrderedDict()
-
-
 def _automaton(name: str) -> Automaton:
     """The automaton of a file that the executor has; the worker holds those it used last."""
-    if name not in _held:
-        while len(_held) >= HELD:
-            _held.popitem(last=False)
-        _held[name] = Automaton(pq.read_table(SparkFiles.get(name)).column(0)[0].as_py())
-    _held.move_to_end(name)
-    return _held[name]
+    held: OrderedDict[str, Automaton] = kept(Automaton.__name__, OrderedDict)
+    if name not in held:
+        while len(held) >= HELD:
+            held.popitem(last=False)
+        held[name] = Automaton(pq.read_table(SparkFiles.get(name)).column(0)[0].as_py())
+    held.move_to_end(name)
+    return held[name]
 
 
 FOUND = T.StructType(

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sluice.llm.common import Remembered, add_columns, gathered
+from sluice.llm.common import Remembered, add_columns, gathered, kept
 
 MARK = "▁"
 #: Types of pieces, and of models, in the file format.
@@ -229,13 +229,8 @@ def _joined(words: list[str]) -> list[str]:
     return [*out, MARK * (run - 1)] if run else out
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return kept((PieceCodec.__name__, path), lambda: PieceCodec(path))
 
 
 ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType())]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import Remembered, add_columns, gathered, mapped, packed_sizes, slices, written
+from sluice.llm.common import Remembered, add_columns, gathered, kept, mapped, packed_sizes, slices, written
 
 #: Words that one Python worker remembers, twice over.
 CACHE_WORDS = 250_000
@@ -29,9 +29,6 @@ SLICE = 4 << 20
 #: Ids are written in this form.
 ID = np.dtype("<u4")
 
-_encoders: dict[str, "WordEncoder"] = {}
-
-
 class WordEncoder:
     """text -> packed ids, through a bounded word table.
 
@@ -104,10 +101,8 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of this file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The worker's encoder of this file."""
+    return kept((WordEncoder.__name__, path), lambda: WordEncoder(path))
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from conftest import DATA, rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import pieces, tokens
+from sluice.llm import common, pieces, tokens
 from sluice.llm.queries import PIECES, WORD_BPE, op1_token_counts, op7_sentencepiece, op9_token_files
 
 ODD = ["", " ", "\n\t", "İstanbul ΣΑΣ ς", "<|endoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "don't 's it's,", "12.5, x9", "é́ ﬁ 漢字 🎉🎉", "x" * 300_000, "a b　c", "ÀÉ!! (ok).", "...", "word " * 50_000]
@@ -95,7 +95,7 @@ def test_pieces_against_the_library(spark, docs):
 def test_ids_are_the_rebuilt_tokenizers(monkeypatch):
     """Whatever the library that verifies says, ids are right, and parity tells."""
     texts = ["Hello world.", "  two  spaces ", "naïve 漢字 🎉\n", " " * 70 + "x", "", "a▁b ", "y" * 5_000]
-    monkeypatch.setattr(pieces, "_codecs", {})
+    monkeypatch.setattr(common, "_kept", {})
     c = pieces.codec(PIECES)
     want = c.check.encode(texts)
     monkeypatch.setattr(c, "_check", lambda rows: [[5] for _ in rows])
