@@ -111,6 +111,16 @@ def give_back() -> None:
         trim(0)
 
 
+#: Spark's setting for the bytes of a batch that goes to a Python worker, what it is unless someone sets it, and what these operators set then.
+BATCH_BYTES, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session by BATCH bytes, where nobody has set a bound: both sides of each task hold a batch, and texts are long."""
+    if spark.conf.get(BATCH_BYTES, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, BATCH)
+
+
 _kept: dict = {}
 _used: set = set()
 
@@ -136,6 +146,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             del _kept[key]
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(of_task, schema)
 
 
