@@ -62,11 +62,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, path)
 
 
+#: Bytes of a row group of written tables, which a task holds until it is whole.
+ROW_GROUP = 32 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,6 +37,8 @@ PAIRS = 1 << 20
 
 #: Bytes of strings that are sorted at a time, and of text that is cut: what texts of a slice share is sent once.
 SLICE, CUT = 2 << 20, 4 << 20
+#: Strings that are objects at a time.
+AT_ONCE = 20_000
 #: Buckets of the table that tells which documents lose words at most; see _touched.
 MOST_BUCKETS = 1 << 26
 
@@ -150,10 +152,14 @@ def _of_part(part: pa.RecordBatch, width: int, known: WordCounts) -> pa.RecordBa
     space = SPACE[raw]
     kept = ~space
     kept[1:] |= kept[:-1] & space[1:]  # a word, and one space behind it
-    at = np.zeros(len(raw) + 1, np.int64)
+    at = np.zeros(len(raw) + 1, np.int32 if len(raw) < 1 << 31 else np.int64)
     np.cumsum(kept, out=at[1:])
+    begin, end = at[starts[a]], at[ends[b]]
     whole = np.where(space, np.uint8(32), raw)[kept].tobytes()
-    packed = pa.array([whole[x:y] for x, y in zip(at[starts[a]].tolist(), at[ends[b]].tolist())], pa.binary()).dictionary_encode()
+    del raw, space, kept, at, starts, ends
+    strings = [pa.array([whole[x:y] for x, y in zip(begin[i : i + AT_ONCE].tolist(), end[i : i + AT_ONCE].tolist())], pa.binary()) for i in range(0, len(begin), AT_ONCE)]
+    packed = pa.concat_arrays(strings or [pa.array([], pa.binary())]).dictionary_encode()
+    del whole, strings, begin, end
     who = np.empty(len(a), WHO)
     who["doc_id"], who["key"], who["word"] = np.asarray(part.column("doc_id"))[row], np.asarray(part.column(KEY))[row], word
     number = np.asarray(packed.indices)
