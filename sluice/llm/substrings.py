@@ -125,7 +125,7 @@ def _dealt(least: np.ndarray, order: np.ndarray, window: np.ndarray, width: int,
     return out
 
 
-def _sent(width: int, held):
+def _sent(width: int, held, cut: int):
     """Batches (key, doc_id, text) -> super-k-mers with who has them, one row for each distinct string of a slice.
 
     A string that many rows of a slice share is sent once with its occurrences, so
@@ -134,7 +134,7 @@ def _sent(width: int, held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, CUT):
+            for part in slices(batch, cut):
                 yield from slices(_of_part(part, width, held.value))
 
     return run
@@ -308,11 +308,11 @@ def _occurrences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return who, begin
 
 
-def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, width: int, cut: int = CUT) -> DataFrame:
     """(doc_id, row key, a, b): words a to b of a row of (doc_id, row key, text) that a window of a smaller doc_id covers."""
     rows = rows.where("doc_id is not null").select("doc_id", KEY, "text")
     known = rows.sparkSession.sparkContext.broadcast(word_counts(rows, width))
-    sent = mapped(rows, _sent(width, known), SENT_DDL)
+    sent = mapped(rows, _sent(width, known, cut), SENT_DDL)
     dealt = sent.repartition("minimiser").sortWithinPartitions("minimiser", "first_doc")
     return mapped(dealt, _found(width), f"doc_id long, {KEY} long, a int, b int")
 
@@ -336,14 +336,15 @@ def _touched(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return out.withColumn(MAYBE, maybe).drop("__at", "__word", "__bit", "__bits")
 
 
-def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text", cut: int = CUT) -> DataFrame:
     """docs with n_words, n_removed and kept_text: each word goes that a window covers whose words also start in a smaller doc_id.
 
     kept_text joins the kept words by one space; the text itself stays as it is.
     Windows are judged on the input. Null and empty texts, and texts shorter than a
     window, lose nothing; rows without a doc_id are kept whole and remove nothing;
     rows of the same doc_id do not remove from each other. Other columns pass through;
-    columns named as the three new ones are replaced. No rows give no rows.
+    columns named as the three new ones are replaced. No rows give no rows. cut: bytes of
+    text that are cut into strings at a time, which a worker holds some thirty times.
     """
     new = ("n_words", "n_removed", "kept_text")
     docs, names = plain_names(docs, doc_id, text, without=new)
@@ -351,7 +352,7 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     several = ids.groupBy("doc_id").agg((F.min(KEY) != F.max(KEY)).alias("differ")).where("differ and doc_id is not null").limit(1).count()
     # Rows are told apart by their text's hash, which is only sent where an id has several texts.
     keyed = docs.withColumns({KEY: F.xxhash64(text) if several else F.lit(0).cast("long"), DOC: F.col(doc_id).cast("long")})
-    spans = repeated_spans(keyed.select(F.col(DOC).alias("doc_id"), KEY, F.col(text).alias("text")), width)
+    spans = repeated_spans(keyed.select(F.col(DOC).alias("doc_id"), KEY, F.col(text).alias("text")), width, cut)
     spans = spans.groupBy(F.col("doc_id").alias(DOC), KEY).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias(SPANS))
     spans = written(spans, "spans")
     keyed = _touched(keyed, spans)
