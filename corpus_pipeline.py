@@ -15,7 +15,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, minhash, pieces, quality, substrings
+from sluice.llm import decontaminate, minhash, pieces, quality, simhash, substrings
 from sluice.llm.common import new_path, plain_names, remove, scratch
 from sluice.llm.queries import LEAK_WORDS, PIECES, table
 
@@ -55,14 +55,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (Jaccard similarity of shingles) one row of the smallest id stays.
 
-    At this similarity fingerprints of op10 differ in some ten of 64 bits, which no deletion of
-    bits selects: so pairs come from minima (minhash.near_groups), and whole sets decide.
+    Groups come from SimHash fingerprints (simhash.near_groups, the operator of op10) of the same
+    shingles; whole sets decide on each of its pairs. At the bound fingerprints differ in some
+    ten of 64 bits, which no deletion of bits selects: what they leave apart is searched by minima
+    (minhash.near_groups), so that no pair of that similarity is lost.
 
     Texts without words are copies of each other. Rows that share an id are one document,
     of which the row of the least text hash stays. Rows without an id are compared with
     none and all stay.
     """
-    found = minhash.similar_groups(docs, SHINGLE, SIMILARITY)
+    alike = simhash.near_groups(docs, SHINGLE).where("doc_id != component_id")
+    found = minhash.similar_groups(docs, SHINGLE, SIMILARITY, likely=alike.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     return _one_row_each(docs.join(_bounded(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns))
 

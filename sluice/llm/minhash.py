@@ -237,7 +237,7 @@ def _flat(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(known.flatten()), np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(known)))
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text", empty_alike: bool = False) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text", empty_alike: bool = False, likely: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the size of its set, and the smallest doc_id it can reach over links.
 
     Two rows link where their sets of distinct shingles have at least that per cent of
@@ -248,18 +248,21 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: st
     with another text are that document too, and link through it. A row without a
     doc_id takes no part: its component is null. No rows give no rows.
 
+    likely: pairs (a, b) of ids that another method found, as fingerprints do. They are held
+    against the bound first, and what they join is not compared again.
+
     Equal sets are one node. The result is written; what was written on the way goes.
     """
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "near_groups")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with scratch(spark):
-        _groups(rows, shingle, percent, empty_alike).write.parquet(path)
+        _groups(rows, shingle, percent, empty_alike, likely).write.parquet(path)
     return spark.read.schema("doc_id long, n_shingles long, component_id long").parquet(path)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, likely: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) of each id, for a stage that keeps one document of each group: texts without words are copies of each other; rows without an id are left out."""
-    found = near_groups(docs, shingle, percent, empty_alike=True).where("doc_id is not null")
+    found = near_groups(docs, shingle, percent, empty_alike=True, likely=likely).where("doc_id is not null")
     return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
@@ -267,7 +270,15 @@ def _pairs(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _groups(docs: DataFrame, shingle: int, percent: int, empty_alike: bool) -> DataFrame:
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes the links do not join yet."""
+    roots = written(components(links), "roots")
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where("root_a is null or root_b is null or root_a != root_b").select("a", "b")
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int, empty_alike: bool, likely: DataFrame | None = None) -> DataFrame:
     tables = n_tables(percent)
     rows = written(mapped(docs, _signed(shingle, tables), SIGNED_DDL), "signed")
     known = rows.where("doc_id is not null" if empty_alike else "doc_id is not null and n > 0")
@@ -280,10 +291,20 @@ def _groups(docs: DataFrame, shingle: int, percent: int, empty_alike: bool) -> D
     keys = written(table_keys(nodes, tables), "keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"), F.min("node").alias("least")).where("size > 1")
     members = written(keys.select("key", "node").join(buckets.drop("size"), "key"), "members")
-    sets = written(_sets_of(docs.where("doc_id is not null"), members.select("node").distinct(), names, shingle), "sets")
+    wanted, first = members.select("node"), own
+    if likely is not None:
+        node = ids.join(names, ["s1", "s2"]).select("doc_id", "node")
+        side = lambda x: node.select(F.col("doc_id").alias(x), F.col("node").alias(f"node_{x}"))
+        likely = likely.join(side("a"), "a").join(side("b"), "b").select(*_pairs("node_a", "node_b")).where("a != b").distinct()
+        likely = written(likely, "likely")
+        wanted = wanted.unionByName(likely.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = written(_sets_of(docs.where("doc_id is not null"), wanted.distinct(), names, shingle), "sets")
     tried = members.select("node", F.explode(F.array("hub", "least")).alias("other")).where("node != other").select(*_pairs("node", "other")).distinct()
+    if likely is not None:
+        first = written(similar(likely, sets, percent).unionByName(own), "links")
+        tried = _apart(tried.join(likely, ["a", "b"], "left_anti"), first)
     tried = written(tried, "tried")
-    links = written(similar(tried, sets, percent).unionByName(own), "links")
+    links = written(similar(tried, sets, percent).unionByName(first), "links")
 
     placed = members.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed")

@@ -5,7 +5,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 from test_duplicates import jaccard_brute
 
-from sluice.llm import decontaminate, quality
+from sluice.llm import decontaminate, minhash, quality
 from sluice.llm.common import written
 
 SF = f"{DATA}/sf0.001"
@@ -90,6 +90,20 @@ def test_each_stage_takes_odd_rows(spark):
     assert 1 <= kept["quality classifier"] <= n and kept["benchmark decontamination"] <= n
 
 
+def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """Near copies go without any bucket of minima, which only serve pairs that fingerprints leave apart; a pair of fingerprints below the bound stays."""
+    rest = [" ".join(f"{w}{k}x{i}" for w in ("one", "two", "three") for i in range(100)) for k in range(3)]
+    common = " ".join(["it is all the same to me"] * 200)
+    data = [(3, rest[0]), (5, rest[1]), (4, rest[0]), (6, rest[0] + " end"), (8, None), (9, ""), (10, common + " here"), (11, common + " " + rest[2])]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in data], "doc_id long, text string, n_chars long")
+    whole = {r.doc_id for r in P.near_dedup_stage(spark, docs, SF).collect()}
+    groups = {r.doc_id: r.component_id for r in P.simhash.near_groups(docs, P.SHINGLE).collect()}
+    assert groups[6] == 3 and groups[11] == 10
+    keys = minhash.table_keys
+    monkeypatch.setattr(minhash, "table_keys", lambda *a: keys(*a).where("false"))
+    assert {r.doc_id for r in P.near_dedup_stage(spark, docs, SF).collect()} == whole == {3, 5, 8, 10, 11}
+
+
 def test_run_leaves_one_table(spark):
     import os
 
