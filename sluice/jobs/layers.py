@@ -15,7 +15,7 @@ from sluice.operators.keys import fingerprint_diff, fingerprints, latest_per_key
 from sluice.operators.observe import RunRecord, recorded
 from sluice.operators.rollups import window_of
 from sluice.operators.rules import Rule, Validated, validate
-from sluice.operators.tables import exists, merge_upsert, publish, publish_partitions, remove, replace_files, replace_where, upsert_partitions
+from sluice.operators.tables import CODEC, exists, merge_upsert, publish, publish_partitions, remove, replace_files, replace_where, upsert_partitions
 from sluice.sources.files import list_files, month_of, read_batches, table_groups
 
 META = ("_batch_id", "_source", "_ingested_at")
@@ -147,7 +147,7 @@ def staged(checked: Validated, path: str, run: RunRecord) -> Validated:
     """
     spark = checked.flagged.sparkSession
     verdict = F.when(F.size("_failed_rules") == 0, "valid").otherwise("quarantined")
-    run.split(checked.flagged).withColumn("__verdict", verdict).write.partitionBy("__verdict").parquet(path)
+    run.split(checked.flagged).withColumn("__verdict", verdict).write.options(**CODEC).partitionBy("__verdict").parquet(path)
     back = spark.read.schema(checked.flagged.withColumn("__verdict", verdict).schema).parquet(path)
     good = F.col("__verdict") == "valid"
     counts = back.groupBy("_batch_id").agg(F.count("*").alias("rows_in"), F.count_if(good).alias("rows_valid"), F.count_if(~good).alias("rows_quarantined"), F.count_if(good == (F.size("_failed_rules") > 0)).alias("mixed")).collect()
@@ -160,6 +160,12 @@ def staged(checked: Validated, path: str, run: RunRecord) -> Validated:
     return Validated(back, checked.columns, checked.keep)
 
 
+def publish_quarantine(checked: Validated, path: str, touched: DataFrame) -> None:
+    """The quarantine of the touched batches replaced; flagged rows are shuffled, and their records made behind that."""
+    record = lambda rows: Validated(rows, checked.columns, checked.keep).quarantine
+    publish_partitions(checked.flagged.where(F.size("_failed_rules") > 0), path, "_batch_id", touched, record)
+
+
 def build_silver(root: str, checked: Validated, project: Mapping[str, Column], keys: Sequence[str], latest: Sequence[str], partition: str, update_when: str, batches: DataFrame | None = None, table: str = "silver") -> None:
     """Flagged rows of some batches as the table and its quarantine on disk, with a run record for each batch.
 
@@ -177,7 +183,7 @@ def build_silver(root: str, checked: Validated, project: Mapping[str, Column], k
             upsert_partitions(latest_per_key(_projected(found, project), keys, latest), f"{root}/{table}", keys, partition, update_when)
             touched = found.flagged.select("_batch_id")
             touched = touched.unionByName(batches.select("_batch_id")) if batches else touched
-            publish_partitions(found.quarantine, f"{root}/{table}_quarantine", "_batch_id", touched)
+            publish_quarantine(found, f"{root}/{table}_quarantine", touched)
     finally:
         remove(spark, work)
 
@@ -218,7 +224,7 @@ def build_dimension(root: str, dim: Dimension, calendar: DataFrame, update_when:
             first = found.valid.select(dim.key, "_batch_id")
             first = first.unionByName(spark.read.schema(first.schema).parquet(dim.known(root))) if exists(spark, dim.known(root)) else first
             publish(first.where(F.col(dim.key).isNotNull()).groupBy(dim.key).agg(F.min("_batch_id").alias("_batch_id")), dim.known(root))
-            publish_partitions(found.quarantine, f"{root}/{dim.name}_quarantine", "_batch_id", calendar.select("_batch_id").unionByName(found.flagged.select("_batch_id")))
+            publish_quarantine(found, f"{root}/{dim.name}_quarantine", calendar.select("_batch_id").unionByName(found.flagged.select("_batch_id")))
     finally:
         remove(spark, work)
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from sluice.operators.contracts import evolve_union
 
 
+#: How tables are compressed: ids in hex have half their bytes by it, and all of them by Spark's usual codec.
+CODEC = {"compression": "zstd"}
+
+
 class MergeError(ValueError):
     """A merge source has a null key, or one key twice."""
 
@@ -104,7 +108,7 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     spark = df.sparkSession
     fs, final = _fs(spark, path)
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    writer = (df.hint("rebalance", *partition_by) if partition_by else df).write
+    writer = (df.hint("rebalance", *partition_by) if partition_by else df).write.options(**CODEC)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
     old = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     new = spark._jvm.org.apache.hadoop.fs.Path(staged)
@@ -138,9 +142,12 @@ def _moves(fs) -> Iterator[Callable]:
         raise
 
 
-def publish_partitions(df: DataFrame, path: str, partition_by: str, touched: DataFrame) -> None:
+def publish_partitions(df: DataFrame, path: str, partition_by: str, touched: DataFrame, made: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Replace the touched partitions (one column, named as partition_by) by the rows of df, which must lie in them.
 
+    made: what is written of df, row by row. It runs behind the shuffle, so that columns which
+    it derives, as records in JSON, are not shuffled beside what they are derived from.
+
     Other partitions are not read or written. A touched partition without rows goes,
     which a dynamic overwrite alone would leave in place. Old partitions are set aside,
     new ones renamed in, and the old deleted when all are in place; if a rename fails,
@@ -152,11 +159,12 @@ def publish_partitions(df: DataFrame, path: str, partition_by: str, touched: Dat
     fs, root = _fs(spark, path)
     child = lambda *names: spark._jvm.org.apache.hadoop.fs.Path("/".join(names))
     try:
-        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(f"{work}/new")
+        dealt = df.hint("rebalance", partition_by)
+        (made(dealt) if made else dealt).write.options(**CODEC).partitionBy(partition_by).parquet(f"{work}/new")
         # Spark names the folders of the touched partitions too
         touched.select(partition_by).distinct().withColumn("touched", F.lit(True)).write.partitionBy(partition_by).parquet(f"{work}/touched")
-        made, names = (_folders(fs, child(work, x)) for x in ("new", "touched"))
-        if outside := made - names:
+        filled, names = (_folders(fs, child(work, x)) for x in ("new", "touched"))
+        if outside := filled - names:
             raise ValueError(f"rows outside the touched partitions: {sorted(outside)[:3]}")
         fs.mkdirs(root)
         fs.mkdirs(child(work, "old"))
@@ -164,7 +172,7 @@ def publish_partitions(df: DataFrame, path: str, partition_by: str, touched: Dat
             for name in sorted(names):
                 if fs.exists(child(path, name)):
                     move(child(path, name), child(work, "old", name))
-                if name in made:
+                if name in filled:
                     move(child(work, "new", name), child(path, name))
     finally:
         fs.delete(child(work), True)
@@ -198,7 +206,7 @@ def replace_files(new: DataFrame, path: str, predicate: str, partition_by: Seque
     elif partition_by:
         rows = rows.hint("rebalance", *partition_by)
     try:
-        writer = rows.write
+        writer = rows.write.options(**CODEC)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{work}/new")
         if not had:
             fs.mkdirs(root.getParent())
@@ -235,7 +243,7 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], partition:
         return publish(new, path, [partition])
     staged = f"{path.rstrip('/')}.rows-{uuid.uuid4().hex}"
     try:
-        new.write.parquet(staged)
+        new.write.options(**CODEC).parquet(staged)
         new = spark.read.schema(new.schema).parquet(staged)
         touched = new.select(F.col(partition).alias("__touched")).distinct()
         target = spark.read.parquet(path)

@@ -12,7 +12,7 @@ from sluice.operators.keys import latest_per_key, row_id
 from sluice.operators.observe import latest_runs, read_runs
 from sluice.operators.rollups import date_dimension, dimension, is_weekend, ratio, resum, rollup_fact, top_k, totals, window_of
 from sluice.operators.rules import Rule, validate
-from sluice.operators.tables import scratch_path
+from sluice.operators.tables import publish, scratch_path
 from sluice.queries.book import Book, read
 
 BOOK = Book()
@@ -148,12 +148,19 @@ SILVER_SQL = """SELECT sha256(l_orderkey::VARCHAR || '|' || l_linenumber::VARCHA
 WINDOW_SQL = "l_quantity BETWEEN 1 AND 49 AND l_shipdate >= b - INTERVAL 7 DAY AND l_shipdate < b + INTERVAL 1 MONTH"
 
 
-def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _batched(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("_batch_id"))
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").join(orders, "l_orderkey")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", *more).join(orders, "l_orderkey")
     return rows.withColumns({"_source": F.lit("lines"), "_ingested_at": F.lit("2024-01-01")})
 
 
+def _landed(rows: DataFrame, root: str) -> DataFrame:
+    """The rows as a bronze table under root: runs that read it, each a range of batches, don't join again."""
+    path = f"{root}/bronze"
+    publish(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @BOOK.query(f"WITH {BATCHED_SQL}, good AS (SELECT * FROM batched WHERE {WINDOW_SQL}) {SILVER_SQL.format(rows='good')}")
 def silver_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = calendar_of(read(spark, sf_dir, "orders"), "o_orderdate")
@@ -171,7 +178,7 @@ def silver_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerun_silver_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver, its quarantine and gold are built on disk, twice, and read back."""
     root = scratch_path(spark, "rerun")
-    rows = _batched(spark, sf_dir)
+    rows = _landed(_batched(spark, sf_dir), root)
     calendar = calendar_of(read(spark, sf_dir, "orders"), "o_orderdate")
     summarise = lambda r: rollup_fact(r, ["ship_date"], {"price": "l_extendedprice"}, {}, rows="lines")
 
@@ -203,7 +210,7 @@ def backfill_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of months through chosen stages: silver alone, then both over months that overlap, then gold alone of a year whose silver is there."""
     root = scratch_path(spark, "backfill")
-    rows = _batched(spark, sf_dir)
+    rows = _landed(_batched(spark, sf_dir), root)
     summarise = lambda r: rollup_fact(r, ["ship_date"], {"price": "l_extendedprice"}, {}, rows="lines")
     for first, last, stages in (("1996-01", "1997-12", ["silver"]), ("1997-06", "1998-12", ["silver", "gold"]), ("1996-01", "1996-12", ["gold"])):
         backfill_range(root, rows, first, last, BATCH_RULES, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", summarise, stages, day="ship_date")
@@ -222,7 +229,7 @@ def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silver_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver, its quarantine and the run records, built on disk in two ranges of batches, the second of them twice, and read back."""
     root = scratch_path(spark, "silver")
-    rows = _batched(spark, sf_dir)
+    rows = _landed(_batched(spark, sf_dir), root)
     calendar = calendar_of(read(spark, sf_dir, "orders"), "o_orderdate")
     for part in ("_batch_id < '1998-06'", "_batch_id >= '1998-06'", "_batch_id >= '1998-06'"):
         build_tables(root, rows.where(part), BATCH_RULES, calendar, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", ("1996-01-01", "1999-01-01"), None, ["silver"])
@@ -247,13 +254,14 @@ def silver_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backfill_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and lines of three years on disk, in ranges of months: a supplier is known from the batch that brings it first, whichever range that is in."""
     root = scratch_path(spark, "dimensions")
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("_batch_id"))
-    arrived = read(spark, sf_dir, "lineitem").where("l_discount > 0.05").join(orders, "l_orderkey").select(F.col("l_suppkey").alias("s_suppkey"), "_batch_id", F.lit("suppliers").alias("_source"), F.lit("2024-01-01").alias("_ingested_at"))
+    rows = _landed(_batched(spark, sf_dir, "l_discount"), root)
+    arrived = rows.where("l_discount > 0.05").select(F.col("l_suppkey").alias("s_suppkey"), "_batch_id", F.lit("suppliers").alias("_source"), "_ingested_at")
+    rows = rows.drop("l_discount")
     fit = Rule("supplier_fit", "expression", "s_suppkey", "not one of ours", {"expr": "s_suppkey % 3 <> 1"})
     columns = {c: F.col(c) for c in ("s_suppkey", "_batch_id")}
     suppliers = Dimension("suppliers", arrived, "s_suppkey", "l_suppkey", columns, ["s_suppkey"], ["_batch_id"], [fit])
     for first, last in (("1996-01", "1997-06"), ("1997-07", "1998-12"), ("1997-01", "1997-12")):
-        backfill_range(root, _batched(spark, sf_dir), first, last, BATCH_RULES, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", None, ["silver"], dimensions=[suppliers])
+        backfill_range(root, rows, first, last, BATCH_RULES, _by_month(), MONTH_KEYS, LATEST, "ship_month", "s._batch_id >= t._batch_id", None, ["silver"], dimensions=[suppliers])
     found = lambda kind, table, key: spark.read.parquet(f"{root}/{table}").groupBy("_batch_id").agg(F.count("*").alias("n"), F.sum(key).alias("keys")).withColumn("kind", F.lit(kind))
     unfit = found("unfit suppliers", "suppliers_quarantine", F.get_json_object("_record", "$.s_suppkey").cast("long"))
     return found("lines", "silver", "l_orderkey").unionByName(found("suppliers", "suppliers", "s_suppkey")).unionByName(unfit)

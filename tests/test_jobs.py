@@ -325,3 +325,21 @@ def test_replaced_files_come_back(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         T.replace_files(df.where("day < 2"), path, "day < 2")
     assert names_and_times(tmp_path / "t") == before and rows(spark.read.parquet(path)) == rows(df)
+
+
+def test_records_are_made_behind_the_shuffle(spark, tmp_path):
+    """What goes through the shuffle of a quarantine is the row, not its JSON record beside it; the quarantine is the same."""
+    from sluice.jobs.layers import META, publish_quarantine
+    from sluice.operators.rules import validate
+    from sluice.operators.tables import publish_partitions
+
+    seen = []
+    rows = spark.createDataFrame([(i, f"2024-0{i % 3 + 1}", "s", "t") for i in range(30)], "id long, _batch_id string, _source string, _ingested_at string")
+    checked = validate(rows, [Rule("small", "range", "id", "too large", {"max": 9})], keep=META)
+    publish_partitions(checked.quarantine, f"{tmp_path}/plain", "_batch_id", rows.select("_batch_id"))
+    publish_quarantine(checked, f"{tmp_path}/dealt", rows.select("_batch_id"))
+    found = [sorted(map(str, spark.read.parquet(f"{tmp_path}/{t}").collect())) for t in ("plain", "dealt")]
+    assert found[0] == found[1] and len(found[0]) == 20
+    publish_partitions(rows, f"{tmp_path}/made", "_batch_id", rows.select("_batch_id"), lambda dealt: seen.append(dealt) or dealt.withColumn("record", F.to_json(F.struct("id"))))
+    plan = seen[0].withColumn("record", F.to_json(F.struct("id")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("record") < plan.index("RebalancePartitions")
