@@ -196,6 +196,24 @@ def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(i, min(step, n - i))
 
 
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about `most` bytes, however small or large they come."""
+    waiting, size = [], 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for part in slices(batch, most):
+            if waiting and size + part.nbytes > most:
+                yield whole()
+                waiting, size = [], 0
+            waiting.append(part)
+            size += part.nbytes
+    if waiting:
+        yield whole()
+
+
 class Remembered:
     """What has been computed for a key, in two generations of about `most` keys each; keys of over `longest` live for one call."""
 

@@ -20,25 +20,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import Remembered, add_columns, gathered, kept, mapped, packed_sizes, slices, written
+from sluice.llm.common import Remembered, add_columns, gathered, joined, kept, mapped, packed_sizes, slices, written
 
 #: Words that one Python worker remembers, twice over.
 CACHE_WORDS = 250_000
-#: Bytes of text that are encoded at a time.
-SLICE = 4 << 20
+#: Bytes of text that are encoded at a time: what a word of them costs is paid once.
+SLICE = 12 << 20
+#: A character that hardly any text has; it stands between words that are encoded together.
+MARK = "\x01"
 #: Ids are written in this form.
 ID = np.dtype("<u4")
 
 class WordEncoder:
     """text -> packed ids, through a bounded word table.
 
-    A new word of Latin letters, with or without points behind it, goes to the
-    library's BPE model in the form that the file's normaliser and byte-level
-    pre-tokenizer give it, where these are the usual ones; any other goes through
-    the whole tokenizer.
+    A word of Latin letters, with or without points behind it, is known by its lower-case
+    letters; new ones go to the library's BPE model in the form that the file's normaliser
+    and byte-level pre-tokenizer give them, where these are the usual ones. Any other word
+    goes through the whole tokenizer, many of them as one text.
     """
 
-    POINTS = ".,;:!?"
+    #: Letters whose lower-case forms do not depend on what is around them, with or without points behind.
+    LATIN = "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<points>[.,;:!?]*)$"
 
     def __init__(self, path: str) -> None:
         # as many threads as Spark gives a Python worker (spark.task.cpus)
@@ -46,7 +49,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.stems, self.points = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS), {}
+        self.words, self.stems = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS)
+        self.mark = None
+        alone = self._whole([MARK])[0]
+        if len(alone) == 1 and self._whole(["a", f"a {MARK} b", "b"])[1] == [*self._whole(["a"])[0], *alone, *self._whole(["b"])[0]]:
+            self.mark = alone[0]
         # Byte-level form: printable bytes stand for themselves, the others for characters from 256 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -61,31 +68,55 @@ class WordEncoder:
     def _model(self, word: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(self._form(word))]
 
+    def _stems(self, words: list[str]) -> list[bytes]:
+        """_model of each word, packed."""
+        tokenize, form = self.tokenizer.model.tokenize, self._form
+        return [array("I", [t.id for t in tokenize(w if w.isascii() else form(w))]).tobytes() if w else b"" for w in words]
+
     def _whole(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(words), 4_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 4_000], add_special_tokens=False)]
-
-    def _new(self, texts: list[str]) -> list[bytes]:
-        stems = [t.rstrip(self.POINTS) for t in texts]
-        # lower-case forms of these letters do not depend on what is around them
-        simple = [self.direct and s.isalpha() and max(s) < "\u0250" and "\u0130" not in s for s in stems]
-        lower = [s.lower() if ok else "" for s, ok in zip(stems, simple)]
-        model = self._model
-        known = self.stems.of([lower], lambda new: [array("I", model(s) if s else []).tobytes() for s in new])
-        other = [t for t, ok in zip(texts, simple) if not ok]
-        other += {t[len(s) :] for t, s, ok in zip(texts, stems, simple) if ok and len(s) < len(t)} - self.points.keys()
-        whole = {t: array("I", x).tobytes() for t, x in zip(other, self._whole(other))}
-        if len(self.points) < CACHE_WORDS:
-            self.points |= {t: x for t, x in whole.items() if not t.strip(self.POINTS)}
-        points = whole | self.points
-        return [known[l] + (points[t[len(s) :]] if len(s) < len(t) else b"") if ok else whole[t] for t, s, l, ok in zip(texts, stems, lower, simple)]
+        return [ids for i in range(0, len(words), 1_000) for ids in self._joined(words[i : i + 1_000])]
+
+    def _joined(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word: all are encoded as one text, with MARK between them, where its id shows each place once."""
+        if self.mark is not None and not any(MARK in w for w in words):
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, ID)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(words) - 1:
+                ids = ids.tolist()
+                return [ids[a:b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _other(self, words: list[str]) -> list[bytes]:
+        """The whole tokenizer's ids of each word, packed."""
+        return [array("I", x).tobytes() for x in self._whole(words)]
+
+    def _values(self, words: pa.Array) -> list[bytes]:
+        """The packed ids of distinct words, in their order.
+
+        Words of Latin letters share those of their lower-case form, and of the points behind it.
+        """
+        parts = pc.extract_regex(words, self.LATIN) if self.direct else pa.nulls(len(words), pa.struct({"stem": pa.string(), "points": pa.string()}))
+        latin = np.flatnonzero(np.asarray(parts.is_valid()))
+        other = _strings(words.filter(parts.is_null()))
+        parts = parts.drop_null()
+        stems, points = pc.utf8_lower(parts.field("stem")).dictionary_encode(), parts.field("points").dictionary_encode()
+        distinct, tails = _strings(stems.dictionary), _strings(points.dictionary)
+        known = self.stems.of([distinct], self._stems)
+        stem = list(map(known.__getitem__, distinct))
+        known = self.words.of([other, tails], self._other)
+        tail = [known[t] for t in tails]
+        out = np.empty(len(words), object)
+        out[latin] = [stem[i] + tail[j] for i, j in zip(np.asarray(stems.indices).tolist(), np.asarray(points.indices).tolist())]
+        rest = np.ones(len(words), bool)
+        rest[latin] = False
+        out[rest] = [known[w] for w in other]
+        return out.tolist()
 
     def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Where each text's words begin (and the last end), each word's number, and the packed ids of the words by number."""
         split = pc.ascii_split_whitespace(column.cast(pa.string()).fill_null(""))
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self.words.of([distinct], self._new)
-        return np.asarray(split.offsets).astype(np.int64), np.asarray(coded.indices), [known[w] for w in distinct]
+        return np.asarray(split.offsets).astype(np.int64), np.asarray(coded.indices), self._values(coded.dictionary)
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
@@ -100,6 +131,10 @@ class WordEncoder:
         return gathered(ids, word, at)
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of this file."""
     return kept((WordEncoder.__name__, path), lambda: WordEncoder(path))
@@ -115,10 +150,9 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            for part in slices(batch, SLICE):
-                n_tokens, n_docs = np.unique(enc.counts(part.column(0)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_docs, pa.int64())], ["n_tokens", "n_docs"])
+        for part in joined(batches, SLICE):
+            n_tokens, n_docs = np.unique(enc.counts(part.column(0)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_docs, pa.int64())], ["n_tokens", "n_docs"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
@@ -192,16 +226,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: s
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("task_offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(tokenizer), 0
-        for batch in batches:
-            for part in slices(batch, SLICE):
-                ids, at = enc.encode(part.column("text"))
-                n = len(at) - 1
-                ids = np.insert(ids, at[1:], end_id).view(np.int32)
-                at = at + np.arange(n + 1)
-                column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
-                made = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(before + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), column], ["doc_id", "task_offset", "n_tokens", "ids"])
-                before += int(at[-1])
-                yield from slices(made)
+        for part in joined(batches, SLICE):
+            ids, at = enc.encode(part.column("text"))
+            n = len(at) - 1
+            ids = np.insert(ids, at[1:], end_id).view(np.int32)
+            at = at + np.arange(n + 1)
+            column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+            made = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(before + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), column], ["doc_id", "task_offset", "n_tokens", "ids"])
+            before += int(at[-1])
+            yield from slices(made)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")

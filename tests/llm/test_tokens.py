@@ -42,6 +42,25 @@ def test_few_words_are_remembered(monkeypatch):
     assert len(e.words.now) + len(e.words.before) < 100
 
 
+def test_forms_of_a_word_are_encoded_once(monkeypatch):
+    e, asked = tokens.WordEncoder(WORD_BPE), []
+    stems = e._stems
+    monkeypatch.setattr(e, "_stems", lambda new: asked.extend(new) or stems(new))
+    texts = ["Blorple blorple, BLORPLE!? blorple", "\x01 a\x01b \x01", "漢字 x9 \u3000z don't", "blorple. Élan élan;"]
+    ids, at = e.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == whole(texts)
+    assert sorted(asked) == ["blorple", "élan"]
+    words = [w for t in ODD[-300:] for w in t.split()] + ["\x01", "<|endoftext|>"]
+    assert e._whole(words) == whole(words) and e._whole(words[:-2]) == whole(words[:-2])
+
+
+def test_small_batches_are_encoded_together():
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * 100] * n)], ["text"]) for n in (3, 0, 5, 1, 400)]
+    parts = list(common.joined(iter(batches), 5_000))
+    assert sum(p.num_rows for p in parts) == 409 and parts[0].num_rows == 9
+    assert max(p.nbytes for p in parts) < 6_000 and list(common.joined(iter([]), 5)) == []
+
+
 def test_histogram(spark, docs):
     sizes = np.array([len(x) for x in whole([r.text or "" for r in docs.collect()])])
     sums = tokens.with_suffix_sums(tokens.length_histogram(docs, WORD_BPE), block=4)
