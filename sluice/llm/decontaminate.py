@@ -28,6 +28,8 @@ from sluice.llm.common import add_columns, kept, new_path, plain_names, utf8, wo
 
 #: An automaton is built from items of about so many bytes; its arrays have some ten times as many.
 ITEM_BYTES = 1 << 20
+#: Bytes of text that are matched at a time; a worker holds some forty times as many.
+SLICE = 2 << 20
 #: Automata that a worker holds at most.
 HELD = 3
 
@@ -98,11 +100,11 @@ def with_hits(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "
     return _searched(docs, items, window, text, cut=False)
 
 
-def _searched(docs: DataFrame, items: DataFrame, window: int, text: str, cut: bool) -> DataFrame:
-    """with_hits; `cut` takes the hit words out of the text."""
+def _searched(docs: DataFrame, items: DataFrame, window: int, text: str, cut: bool, most: int = SLICE) -> DataFrame:
+    """with_hits; `cut` takes the hit words out of the text. most: bytes of text at a time."""
     files = automata(items, window)
     fields = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut else [])]
-    return add_columns(docs, fields, lambda: lambda batch: _matched(batch.column(text), files, cut))
+    return add_columns(docs, fields, lambda: lambda batch: _matched(batch.column(text), files, cut), most=most)
 
 
 def _matched(column: pa.Array, files: list[str], cut: bool) -> list[pa.Array]:
@@ -167,14 +169,14 @@ def items_digest(names: str = "hit_items") -> Column:
     return F.sha2(F.concat_ws(",", names), 256)
 
 
-def without_hits(docs: DataFrame, items: DataFrame, window: int = 10, most_share: float = 0.5, text: str = "text") -> DataFrame:
+def without_hits(docs: DataFrame, items: DataFrame, window: int = 10, most_share: float = 0.5, text: str = "text", most: int = SLICE) -> DataFrame:
     """docs without benchmark passages: hit words are cut from the text; a document goes when over most_share of its words are hit.
 
     Each span goes from its first word's first character to its last word's last.
     Documents without hits keep their text as it is, null texts too. The columns are
-    those of docs.
+    those of docs. most: bytes of text that are matched at a time.
     """
     plain, names = plain_names(docs, text)
-    found = _searched(plain, items, window, text, cut=True)
+    found = _searched(plain, items, window, text, True, most)
     found = found.where(~((F.col("n_words") > 0) & (n_hit() > most_share * F.col("n_words"))))
     return found.select(*plain.columns).toDF(*names)

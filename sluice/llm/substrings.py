@@ -55,12 +55,12 @@ class WordCounts:
     hot: int  # the least class whose windows are dealt by their sets of words
 
 
-def word_counts(rows: DataFrame, width: int) -> WordCounts:
-    """Counts of all words of the texts of (.., text, ..), by bucket."""
+def word_counts(rows: DataFrame, width: int, most: int = SLICE) -> WordCounts:
+    """Counts of all words of the texts of (.., text, ..), by bucket; so many bytes of text at a time."""
 
     def count(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(1 << BITS)
-        for part in slices(batch, SLICE):
+        for part in slices(batch, most):
             raw, offsets = utf8(part.column(0))
             starts, ends, _ = words_of(raw, offsets)
             total += np.bincount((word_hashes(raw, starts, ends) >> np.uint64(64 - BITS)).view(np.int64), minlength=1 << BITS)
@@ -177,13 +177,13 @@ def _of_part(part: pa.RecordBatch, width: int, known: WordCounts) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(columns, ["minimiser", "first_doc", "key", "word", "packed", "more"])
 
 
-def _found(width: int):
+def _found(width: int, most: int = SLICE):
     """Rows of SENT_DDL sorted by (minimiser, first_doc) -> (doc_id, key, a, b): words a to b of the row are in a window that an earlier document has.
 
     As rows come in order of their first document, the first row with a window has
     the window's first document, and rows leave as they come. Held over are only the
     strings of the minimiser at the end that have a window first; rows are looked at when
-    they are as many bytes as these, so that none is sorted more than a few times.
+    they are `most` bytes, or as many as these, so that none is sorted more than a few times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +198,10 @@ def _found(width: int):
                 yield made
 
         for batch in batches:
-            for part in slices(batch, SLICE):
+            for part in slices(batch, most):
                 waiting.append(part)
                 size += part.nbytes
-                if size >= max(SLICE, held.nbytes if held else 0):
+                if size >= max(most, held.nbytes if held else 0):
                     yield from done()
         if waiting:
             yield from done()
@@ -311,10 +311,11 @@ def _occurrences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(rows: DataFrame, width: int, cut: int = CUT) -> DataFrame:
     """(doc_id, row key, a, b): words a to b of a row of (doc_id, row key, text) that a window of a smaller doc_id covers."""
     rows = rows.where("doc_id is not null").select("doc_id", KEY, "text")
-    known = rows.sparkSession.sparkContext.broadcast(word_counts(rows, width))
+    most = min(SLICE, cut)
+    known = rows.sparkSession.sparkContext.broadcast(word_counts(rows, width, most))
     sent = mapped(rows, _sent(width, known, cut), SENT_DDL)
     dealt = sent.repartition("minimiser").sortWithinPartitions("minimiser", "first_doc")
-    return mapped(dealt, _found(width), f"doc_id long, {KEY} long, a int, b int")
+    return mapped(dealt, _found(width, most), f"doc_id long, {KEY} long, a int, b int")
 
 
 def _touched(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -344,7 +345,8 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     window, lose nothing; rows without a doc_id are kept whole and remove nothing;
     rows of the same doc_id do not remove from each other. Other columns pass through;
     columns named as the three new ones are replaced. No rows give no rows. cut: bytes of
-    text that are cut into strings at a time, which a worker holds some thirty times.
+    text that are cut into strings at a time, which a worker holds some thirty times; where it
+    is less than SLICE, words are counted, strings sorted and texts joined by as much, too.
     """
     new = ("n_words", "n_removed", "kept_text")
     docs, names = plain_names(docs, doc_id, text, without=new)
@@ -361,7 +363,7 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
 
     def make():
-        def cut(batch: pa.RecordBatch) -> list[pa.Array]:
+        def shorter(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column(text).cast(pa.large_binary()).fill_null(b"").to_pylist()
             spans = batch.column(SPANS)
             n_words, n_removed, kept = [], [], []
@@ -379,6 +381,6 @@ def without_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
                 kept.append(b" ".join(left))
             return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
 
-        return cut
+        return shorter
 
-    return add_columns(joined, fields, make, drop=(KEY, DOC, SPANS)).toDF(*names, *new)
+    return add_columns(joined, fields, make, (KEY, DOC, SPANS), min(SLICE, cut)).toDF(*names, *new)

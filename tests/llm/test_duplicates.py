@@ -232,6 +232,19 @@ def test_a_word_in_every_second_document_gathers_nothing():
     assert np.bincount(windows, b - a - 11).max() < 0.002 * (b - a - 11).sum()
 
 
+def test_strings_are_looked_at_by_as_much_as_is_cut(monkeypatch):
+    """What a worker holds of strings follows the bytes that the caller sets, and the spans do not."""
+    sizes, real = [], substrings._of_rows
+    monkeypatch.setattr(substrings, "_of_rows", lambda part, held, width: sizes.append(part.nbytes) or real(part, held, width))
+    n = 400
+    columns = [pa.array(np.arange(n, dtype=np.int32) // 2), pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array([b"v%d w%d x%d y%d z%d" % ((i // 2,) * 5) for i in range(n)]), pa.nulls(n, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["minimiser", "first_doc", "key", "word", "packed", "more"])
+    spans = lambda *most: sorted(tuple(r.values()) for b in substrings._found(3, *most)(iter([batch])) for r in b.to_pylist())
+    few = spans(2_000)
+    assert len(sizes) > 3 and max(sizes) < 4_000
+    assert few == spans() == [(i, 0, 0, 5) for i in range(1, n, 2)]
+
+
 def same_as_sql(spark, query, sql):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -282,6 +295,16 @@ def test_hits(spark, monkeypatch, width, item_bytes):
     assert none.where(F.size("hit_spans") > 0).count() == 0 and none.count() == len(docs)
 
 
+def test_cuts_do_not_depend_on_the_bytes_at_a_time(spark):
+    items = spark.createDataFrame([(1, "a b c d"), (2, "q r s")], "item_id long, text string")
+    docs = [(i, f"x{i} A, b c d y q r s z" + " w" * (i % 7)) for i in range(60)] + [(60, None), (61, "a b c d")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    few = rows(decontaminate.without_hits(d, items, 3, most=100))
+    assert few == rows(decontaminate.without_hits(d, items, 3)) and len(few) == 60 + 1 - sum(7 > 0.5 * (10 + i % 7) for i in range(60))
+    spans = lambda **how: rows(substrings.without_repeats(d, 3, **how))
+    assert spans(cut=100) == spans()
+
+
 def test_long_and_repetitive_items(spark):
     """Linear in equal words, small in memory, and matched as short ones are."""
     import time
