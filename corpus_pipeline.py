@@ -23,7 +23,7 @@ from sluice.llm.queries import LEAK_WORDS, PIECES, table
 SHINGLE, SIMILARITY = 5, 80
 #: Words of a passage that stays only where it stands first.
 PASSAGE_WORDS = 50
-#: Bytes of text and of strings that substring dedup and decontamination work on at a time.
+#: Bytes of text and of strings that substring dedup, decontamination and encoding work on at a time.
 CUT = 1 << 19
 #: A document with more than this share of benchmark words goes.
 MOST_LEAKED = 0.5
@@ -104,7 +104,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, parity, round_trip) of each row: texts as token ids, decoded again and compared; null and empty texts have none."""
-    ids = pieces.encoded(docs.select("doc_id", "text"), PIECES, verify=True)
+    ids = pieces.encoded(docs.select("doc_id", "text"), PIECES, verify=True, most=CUT)
     return ids.select("doc_id", "ids", "n_tokens", "parity", "round_trip")
 
 

@@ -140,15 +140,26 @@ def kept(key, make: Callable):
     return _kept[key]
 
 
+# Functions of this module reach a worker by name; a function inside another takes copies of the tables that it names along.
+
+
+def _begin() -> None:
+    _used.clear()
+
+
+def _end() -> None:
+    for key in _kept.keys() - _used:
+        del _kept[key]
+    give_back()
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema), where a task leaves no unused memory with its Python worker, which waits for further tasks."""
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _used.clear()
+        _begin()
         yield from run(batches)
-        for key in _kept.keys() - _used:
-            del _kept[key]
-        give_back()
+        _end()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(of_task, schema)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sluice.llm.common import Remembered, add_columns, gathered, kept
+from sluice.llm.common import Remembered, add_columns, gathered, give_back, kept
 
 MARK = "▁"
 #: Types of pieces, and of models, in the file format.
@@ -161,11 +161,12 @@ class PieceCodec:
             sizes = np.where(empty, 0, np.diff(at))
             number, at = number[~np.repeat(empty, np.diff(at))], np.concatenate([[0], np.cumsum(sizes)])
         known = self.known.of([distinct], self._new)
-        ids, ends = gathered([known[c][0] for c in distinct], number, at)
+        made = [x if isinstance(x := known[c], tuple) else (x, True, True) for c in distinct]
+        ids, ends = gathered([x[0] for x in made], number, at)
         # a text's ids decode to what its chunks' ids decode to, one after the other
         flags = []
         for k in (1, 2):
-            wrong = np.array([not known[c][k] for c in distinct], bool)
+            wrong = np.array([not x[k] for x in made], bool)
             flags.append(np.diff(np.concatenate([[0], np.cumsum(wrong[number])])[at]) == 0 if wrong.any() else np.ones(len(texts), bool))
         return ids, ends, *flags
 
@@ -186,8 +187,8 @@ class PieceCodec:
             out += self._checked(some, [e.ids for e in own], self._check(as_checked[i : i + AT_ONCE]))
         return out
 
-    def _new(self, chunks: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """What is remembered of new chunks. Those of one marker go as texts of many; their first ids tell them apart."""
+    def _new(self, chunks: list[str]) -> list[bytes | tuple[bytes, bool, bool]]:
+        """What is remembered of new chunks: of those without a fault the packed ids alone. Those of one marker go as texts of many; their first ids tell them apart."""
         found: dict[str, tuple[bytes, bool, bool]] = {}
         single = [c for c in chunks if c and not c.startswith(MARK)]
         for i in range(0, len(single), AT_ONCE):
@@ -207,7 +208,7 @@ class PieceCodec:
         if "" in chunks:  # a lone marker, at the end of a text: that of a letter and a space, less the letter
             alone, own = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "a "))
             found[""] = array("I", own[len(alone) :]).tobytes(), own == self._check(["a "])[0], self.tokenizer.decode(own, skip_special_tokens=False) == "a "
-        return [found[c] for c in chunks]
+        return [x[0] if x[1] and x[2] else x for x in map(found.__getitem__, chunks)]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """The texts of runs of ids, by the rebuilt decoder."""
@@ -236,7 +237,7 @@ def codec(path: str) -> PieceCodec:
 ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType())]
 
 
-def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = False, most: int = SLICE) -> DataFrame:
     """docs with ids, n_tokens and parity (the SentencePiece library gives the same ids) in place of the text.
 
     The ids are the rebuilt tokenizer's, whatever the library says.
@@ -247,6 +248,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = Fals
 
     Whole texts are encoded; a null text is empty and has no ids. Other columns pass
     through, and those named as the new ones are replaced. No rows give no rows.
+    most: bytes of text at a time; what these have taken goes back to the system.
     """
 
     def make():
@@ -258,12 +260,13 @@ def encoded(docs: DataFrame, model: str, text: str = "text", verify: bool = Fals
             made = [column, pa.array(np.diff(ends), pa.int64()), pa.array(same)]
             if verify:
                 made.append(pa.array(back))
+            give_back()
             return made
 
         return encode
 
     fields = [*ENCODED, T.StructField("round_trip", T.BooleanType())] if verify else ENCODED
-    return add_columns(docs, fields, make, drop=(text,), most=SLICE)
+    return add_columns(docs, fields, make, drop=(text,), most=most)
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -180,3 +180,29 @@ def test_queries(spark):
     assert sums.agg(F.sum("n_docs")).first()[0] == len(docs) and sums.first().total_tokens == starts[-1] - len(docs)
     assert op7_sentencepiece(spark, SF).where("parity and round_trip").count() == len(docs)
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_a_task_drops_the_tables_that_it_has_not_used(monkeypatch):
+    """As a worker has it: the function of the tasks comes pickled, the tables are the module's own."""
+    from pyspark import cloudpickle
+
+    sent = []
+
+    class Docs:
+        class sparkSession:  # noqa: N801
+            conf = {}
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            sent.append(cloudpickle.loads(cloudpickle.dumps(run)))
+
+    monkeypatch.setattr(common, "_kept", {"of another operator": 1})
+    common.mapped(Docs(), lambda batches: (common.kept("own", list) and b or b for b in batches), "x int")
+    for _ in range(2):
+        assert list(sent[0](iter([1, 2]))) == [1, 2] and list(common._kept) == ["own"]
+
+
+def test_pieces_at_a_time(spark, monkeypatch):
+    """The bytes that are encoded at a time change no result."""
+    texts = ["Hello world.", "  two  spaces ", "naïve 漢字 🎉\n", " " * 70 + "x", "", None, "a▁b ", "y" * 5_000] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(pieces.encoded(docs, PIECES, verify=True, most=64).collect()) == sorted(pieces.encoded(docs, PIECES, verify=True).collect())
