@@ -15,7 +15,7 @@ from sluice.operators.keys import fingerprint_diff, fingerprints, latest_per_key
 from sluice.operators.observe import RunRecord, recorded
 from sluice.operators.rollups import window_of
 from sluice.operators.rules import Rule, Validated, validate
-from sluice.operators.tables import CODEC, exists, merge_upsert, publish, publish_partitions, remove, replace_files, replace_where, upsert_partitions
+from sluice.operators.tables import exists, merge_upsert, publish, publish_partitions, remove, replace_files, replace_where, upsert_partitions
 from sluice.sources.files import list_files, month_of, read_batches, table_groups
 
 META = ("_batch_id", "_source", "_ingested_at")
@@ -140,16 +140,18 @@ def _projected(checked: Validated, project: Mapping[str, Column]) -> DataFrame:
 
 
 def staged(checked: Validated, path: str, run: RunRecord) -> Validated:
-    """The flagged rows written once to path, by verdict, and read again from there: no rule runs twice.
+    """The flagged rows written once to path, by verdict, and read again from there: no rule runs twice, and who wants valid rows reads these alone.
+
+    They are soon removed, so they have Spark's usual codec, which takes less time than that of tables.
 
     Counts of the write itself and of what was written must agree, in all and by batch; else
     it is an error, and nothing has been published.
     """
     spark = checked.flagged.sparkSession
-    verdict = F.when(F.size("_failed_rules") == 0, "valid").otherwise("quarantined")
-    run.split(checked.flagged).withColumn("__verdict", verdict).write.options(**CODEC).partitionBy("__verdict").parquet(path)
+    verdict = checked.good  # a boolean, which Spark sorts by without comparing texts
+    run.split(checked.flagged).withColumn("__verdict", verdict).write.partitionBy("__verdict").parquet(path)
     back = spark.read.schema(checked.flagged.withColumn("__verdict", verdict).schema).parquet(path)
-    good = F.col("__verdict") == "valid"
+    good = F.col("__verdict")
     counts = back.groupBy("_batch_id").agg(F.count("*").alias("rows_in"), F.count_if(good).alias("rows_valid"), F.count_if(~good).alias("rows_quarantined"), F.count_if(good == (F.size("_failed_rules") > 0)).alias("mixed")).collect()
     names = ("rows_in", "rows_valid", "rows_quarantined", "mixed")
     seen = {c: run.seen["split"].get.get(c, 0) for c in names}
@@ -157,13 +159,14 @@ def staged(checked: Validated, path: str, run: RunRecord) -> Validated:
     if total != seen or total["rows_in"] != total["rows_valid"] + total["rows_quarantined"]:
         raise AssertionError(f"rows are not conserved: {seen} were checked, {total} written")
     run.by_batch({"batch_id": r._batch_id, "rows_in": r.rows_in, "rows_valid": r.rows_valid, "rows_quarantined": r.rows_quarantined, "rows_out": r.rows_valid} for r in counts)
-    return Validated(back, checked.columns, checked.keep)
+    return Validated(back, checked.columns, checked.keep, "__verdict")
 
 
 def publish_quarantine(checked: Validated, path: str, touched: DataFrame) -> None:
     """The quarantine of the touched batches replaced; flagged rows are shuffled, and their records made behind that."""
     record = lambda rows: Validated(rows, checked.columns, checked.keep).quarantine
-    publish_partitions(checked.flagged.where(F.size("_failed_rules") > 0), path, "_batch_id", touched, record)
+    bad = checked.flagged.where(~checked.good).select(*checked.columns, "_failed_rules", "_reasons")
+    publish_partitions(bad, path, "_batch_id", touched, record)
 
 
 def build_silver(root: str, checked: Validated, project: Mapping[str, Column], keys: Sequence[str], latest: Sequence[str], partition: str, update_when: str, batches: DataFrame | None = None, table: str = "silver") -> None:

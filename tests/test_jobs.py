@@ -343,3 +343,17 @@ def test_records_are_made_behind_the_shuffle(spark, tmp_path):
     publish_partitions(rows, f"{tmp_path}/made", "_batch_id", rows.select("_batch_id"), lambda dealt: seen.append(dealt) or dealt.withColumn("record", F.to_json(F.struct("id"))))
     plan = seen[0].withColumn("record", F.to_json(F.struct("id")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("record") < plan.index("RebalancePartitions")
+
+
+def test_flags_cost_no_lambda_and_verdicts_choose_files(spark, tmp_path):
+    """Flagging interprets nothing row by row, and of flagged rows on disk only those of the wanted verdict are read."""
+    checked = J.validate_batches(rides(spark, "2023-05", MAY), ROW_RULES, batch_calendar(spark, "2023-05", "2023-05"))
+    assert "lambda" not in checked.flagged._jdf.queryExecution().optimizedPlan().toString()
+    with J.recorded(spark, f"{tmp_path}/runs", "silver", "all", "t") as run:
+        found = J.staged(checked, f"{tmp_path}/flagged", run)
+    assert found.check_conserved() == (10, 6, 4) and rows(found.valid) == rows(checked.valid) and rows(found.quarantine) == rows(checked.quarantine)
+    files = lambda df: {f.split("/")[-2] for f in df.inputFiles()}
+    assert files(found.flagged) == {"__verdict=false", "__verdict=true"}
+    for part, wanted in ((found.valid, "__verdict#"), (found.quarantine, "NOT __verdict#")):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert f"PartitionFilters: [isnotnull(__verdict#" in plan and wanted in plan.partition("PartitionFilters: ")[2].partition("], PushedFilters")[0]
