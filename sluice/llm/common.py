@@ -68,10 +68,12 @@ ROW_GROUP = 32 << 20
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return written_to(df, new_path(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_name(name: str, df: DataFrame) -> str:

@@ -291,6 +291,78 @@ def test_no_query_lacks_neighbours(spark, monkeypatch):
     assert len(found(spark, huge, 5, 20, "array<double>")) == 10
 
 
+def shuffled(spark) -> int:
+    """Rows that all stages so far have written for shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    new = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, new, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_stay_in_their_tasks(spark):
+    """75 queries find over 1,400 of 1,500 vectors each in their files; what is shuffled follows the input nevertheless."""
+    rng = np.random.default_rng(5)
+    before, data = shuffled(spark), [(i, rng.normal(size=16).tolist()) for i in range(1_500)]
+    close(found(spark, data, 20, 20, "array<double>"), exact(data, 20, 20))
+    assert shuffled(spark) - before < 20 * len(data)
+
+
+def test_shards_and_blocks_of_any_size(spark, monkeypatch):
+    for name, n in (("SHARD_ROWS", 37), ("BLOCK_ROWS", 3), ("BLOCKS", 5)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng = np.random.default_rng(6)
+    data = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(500)]
+    data = [(i, v) for i, v in data if any(v)]
+    close(found(spark, data, 20), exact(data, 20, 20))
+
+
+@pytest.mark.parametrize("kind", ["single", "underflow", "overflow"])
+def test_best_of_shards(monkeypatch, kind):
+    """Files opened and ranked as the footrule says; the nearest by the product in double precision, ties to the smaller id, whatever stands in which shard."""
+    monkeypatch.setattr(neighbours, "PAIRS", 50)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)) * {"underflow": 1e-170, "overflow": 1e160}.get(kind, 1)
+    x = x.astype(np.float32) if kind == "single" else x
+    x[100:120] = x[:20]
+    top = np.abs(x).max().astype(float)
+    held = neighbours.Pivots(x[:40].astype(float), top, np.sqrt(((x / top) ** 2).sum(1).max()))
+    best, whole = (neighbours.Best(np.arange(30), x[:30], 7, held) for _ in range(2))
+    wanted, near = held.nearest(x[:30], 12, queries=True), held.nearest(x, 5, queries=False)
+    for i in range(0, 300, 110):
+        own, part = near[i : i + 110], x[i : i + 110]
+        order = np.argsort(own.ravel(), kind="stable")
+        first = np.searchsorted(own.ravel()[order], np.arange(41)).astype(np.int32)
+        of, at = np.divmod(order, 5)
+        names = np.arange(i, i + len(part))
+        shard = neighbours.Shard(neighbours._row(neighbours.SHARD, names, 1_000 - names, part, of.astype(np.uint16), at.astype(np.uint8), first), 0, x.dtype)
+        for w in wanted:
+            saved = [sum(13 - abs(a - w.tolist().index(p)) for a, p in enumerate(mine) if p in w) for mine in own.tolist()]
+            want = sorted((n for n in range(len(part)) if saved[n]), key=lambda n: (-saved[n], n))
+            assert sorted(shard.ranked(w, 20).tolist()) == sorted(want[:20])
+            who, key = shard.found(w)
+            assert who[np.argsort(-key)].tolist() == want
+        best.search(shard, 110, wanted)
+        whole.search(shard, 0, None)
+    for b, looks in ((best, lambda q, n: set(near[n].tolist()) & set(wanted[q].tolist())), (whole, lambda q, n: True)):
+        for q in range(30):
+            with np.errstate(over="ignore", invalid="ignore"):
+                product = [float(np.add.accumulate(x[q].astype(float) * v.astype(float))[-1]) for v in x]
+            want = sorted((n for n in range(300) if looks(q, n)), key=lambda n: (product[n] != product[n], -product[n] if product[n] == product[n] else 0, -n))[:7]
+            mine = b.rows[0] == q
+            assert b.rows[3][mine].tolist() == want and np.array_equal(-b.rows[1][mine], [product[n] for n in want], equal_nan=True)
+            assert b.rows[2][mine].tolist() == [1_000 - n for n in want]
+
+
+def test_greatest_columns_in_order():
+    rng = np.random.default_rng(9)
+    for near in (rng.normal(size=(20, 500)), rng.normal(size=(20, 5_000)), rng.integers(0, 40, (20, 3_000)).astype(float), np.zeros((5, 4_000))):
+        for n in (1, 7, 40):
+            got = neighbours.greatest(near, n)
+            assert np.array_equal(np.take_along_axis(near, got, 1), -np.sort(-near, axis=1)[:, :n]) and all(len(set(r)) == n for r in got.tolist())
+    assert neighbours.greatest(rng.normal(size=(3, 6)), 6).shape == (3, 6)
+
+
 def test_neighbour_query_finds_the_nearest(spark):
     """Through the files, with production parameters."""
     data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
